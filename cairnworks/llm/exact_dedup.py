@@ -33,6 +33,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     text = ascii_lower(whole_text(text_col))
     rows = docs.select(F.col(id_col).alias("id"), text.alias("t"), F.pmod(F.spark_partition_id(), F.lit(salts)).alias("salt"))
     rows = rows.select("id", "t", F.unhex(F.sha2("t", 256)).alias("d"), "salt")
+    rows = rows.where("d is not null and salt is not null")  # always true; said so that both uses below share one exchange
 
     merged = rows.groupBy("d", "salt", "t").agg(F.sort_array(F.collect_list(F.struct("id")), asc=False).alias("ids"))
     merged = merged.select("d", "salt", "t", F.col("ids")[0]["id"].alias("w"), "ids")
