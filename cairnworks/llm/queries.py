@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairnworks.llm import decontaminate, exact_dedup, langid, line_dedup, packing, simhash_dedup, tokens, warc
+from cairnworks.llm import decontaminate, exact_dedup, extract, langid, line_dedup, packing, simhash_dedup, tokens, warc
 
 
 #: The tokenizer that the contracts of op1 and op6 name.
@@ -50,6 +50,10 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.main_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
@@ -65,6 +69,7 @@ QUERIES = {
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op6_token_counts": op6_token_counts,
     "op7_line_dedup": op7_line_dedup,
+    "op8_html_extraction": op8_html_extraction,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_language_id": op10_language_id,
 }
