@@ -25,7 +25,7 @@ from pyspark.sql.window import Window
 
 from cairnworks.llm.batches import by_bytes, map_batches
 from cairnworks.llm.columns import whole_text
-from cairnworks.llm.tokens import BATCH_BYTES, IdEncoder, whole_ids
+from cairnworks.llm.tokens import LOOKUP_BYTES, IdEncoder, whole_ids
 from cairnworks.scratch import materialize
 
 CAPACITY = 4096
@@ -154,7 +154,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_c
         def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
             out = []
             keys, texts = batch.column(0).to_pylist(), batch.column(1)
-            for first, end in by_bytes(texts, BATCH_BYTES):
+            for first, end in by_bytes(texts, LOOKUP_BYTES):
                 part = texts.slice(first, end - first).to_pylist()
                 all_ids = [whole_ids(encoder, part[0])] if len(part) == 1 else encoder.encode(part)
                 for key, ids in zip(keys[first:end], all_ids, strict=True):

@@ -22,6 +22,8 @@ from cairnworks.llm.columns import whole_text
 
 #: Bytes of text encoded at a time, and characters of one piece of a long text.
 BATCH_BYTES = 4 << 20
+#: Bytes of text whose distinct words are looked up together.
+LOOKUP_BYTES = 12 << 20
 PIECE_CHARS = 1 << 18
 
 
@@ -110,7 +112,7 @@ _PLAIN = re.compile("[!-~¡-ɏ]+")
 #: The pre-tokenizer's pattern for such text: contractions, runs of letters, single digits, the rest.
 _WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_²³¹¼-¾]+|[\d²³¹¼-¾]|(?:[^\s\w]|_)+")
 #: Entries of each table of a worker's encoder; a full table becomes the older half of itself.
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 400_000
 
 
 class _Remembered:
@@ -149,12 +151,27 @@ class IdEncoder:
         if kind != "tokenizers":
             raise ValueError("ids come from a .json file of the tokenizers library")
         self.fast = drops_white_space(self.model) and self._same_words()
+        suffix = getattr(self.model.model, "end_of_word_suffix", None)
+        vocab = self.model.get_vocab()
+        self.word_ends = np.zeros(max(vocab.values(), default=0) + 1, bool)
+        if suffix:
+            self.word_ends[[i for token, i in vocab.items() if token.endswith(suffix)]] = True
         self.words = _Remembered(CACHE_ENTRIES)
         self.stretches = _Remembered(CACHE_ENTRIES)
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [array("I", x.ids).tobytes() for x in self.model.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _encode_words(self, words: list[str]) -> list[bytes]:
+        """Ids of pre-tokens: all in one text, cut after the ids that end a word; one by one where that can't be."""
+        texts = [" ".join(words[k : k + 1000]) for k in range(0, len(words), 1000)]
+        ids = np.frombuffer(b"".join(self._library(texts)), "<u4")
+        ends = np.flatnonzero(self.word_ends[ids]) + 1
+        if len(ends) != len(words) or ends[-1] != len(ids):
+            return self._library(words)
+        held, ends = ids.tobytes(), (ends * 4).tolist()
+        return [held[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
     def _same_words(self) -> bool:
         sample = "".join(map(chr, range(0x21, 0x7F))) + " it's we'll I'd 42nd x_y a1b2 café ½² " + " ".join(map(chr, range(0xA1, 0x250)))
         return self._library([sample])[0] == b"".join(self._library(_WORDS.findall(sample.lower())))
@@ -169,29 +186,39 @@ class IdEncoder:
                 whole.append(s)
         new_words = self.words.missing({w for words in split.values() for w in words})
         known_words = self.words.now
-        for keys, table in ((new_words, known_words), (whole, known)):
+        for encode, keys, table in ((self._encode_words, new_words, known_words), (self._library, whole, known)):
             for first in range(0, len(keys), 50_000):
                 part = keys[first : first + 50_000]
-                table.update(zip(part, self._library(part), strict=True))
+                table.update(zip(part, encode(part), strict=True))
         for s, words in split.items():
             known[s] = known_words[words[0]] if len(words) == 1 else b"".join(map(known_words.__getitem__, words))
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Arrays of little-endian unsigned 32-bit ids, one for each text."""
-        if not self.fast:
-            return [np.frombuffer(x, "<u4") for x in self._library(texts)]
+    def _look_up(self, texts: list[str]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """Ids of each distinct stretch, the texts' stretches as places in that list, and each text's last place."""
         lists = pc.ascii_split_whitespace(pa.array(texts, pa.large_string()))
-        ends = lists.offsets.to_numpy()[1:]
         coded = lists.flatten().dictionary_encode()
         distinct = coded.dictionary.to_pylist()
         fresh = self.stretches.missing(distinct)
         if fresh:
             self._encode_stretches(fresh)
-        found = list(map(self.stretches.now.__getitem__, distinct))
+        return list(map(self.stretches.now.__getitem__, distinct)), coded.indices.to_numpy(), lists.offsets.to_numpy()[1:]
+
+    def count(self, texts: list[str]) -> list[int]:
+        """Numbers of ids, without putting the ids together."""
+        if not self.fast:
+            return [len(x) for x in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+        found, at, ends = self._look_up(texts)
+        lengths = np.fromiter(map(len, found), np.int64, len(found)) >> 2
+        return np.diff(np.concatenate([[0], np.cumsum(lengths[at])])[np.concatenate([[0], ends])]).tolist()
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Arrays of little-endian unsigned 32-bit ids, one for each text."""
+        if not self.fast:
+            return [np.frombuffer(x, "<u4") for x in self._library(texts)]
+        found, at, ends = self._look_up(texts)
         lengths = np.fromiter(map(len, found), np.int64, len(found)) >> 2
         ids = np.frombuffer(b"".join(found), "<u4")
         places = np.cumsum(lengths) - lengths
-        at = coded.indices.to_numpy()
         n = lengths[at]
         after = np.cumsum(n)
         out = ids[np.repeat(places[at] - (after - n), n) + np.arange(after[-1] if len(after) else 0)]
