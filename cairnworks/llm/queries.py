@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairnworks.llm import decontaminate, exact_dedup, extract, langid, line_dedup, packing, simhash_dedup, tokens, warc
+from cairnworks.llm import decontaminate, exact_dedup, extract, langid, line_dedup, packing, pii, simhash_dedup, tokens, warc
 
 
 #: The tokenizer that the contracts of op1 and op6 name.
@@ -17,6 +17,17 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), TOKENIZER)
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts are of base spans, as base_sha256 is; ``spans`` has what the patterns add too."""
+    found = pii.personal_data(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return found.select(
+        "doc_id",
+        *[pii.counted("base", kind).alias(f"n_{kind}") for kind in pii.KINDS],
+        F.sha2(pii.listed("base"), 256).alias("base_sha256"),
+        pii.listed("spans").alias("spans"),
+    )
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = warc.round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -64,6 +75,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op2_pii": op2_pii,
     "op3_warc": op3_warc,
     "op4_decontamination": op4_decontamination,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
