@@ -66,31 +66,33 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 2048, id_col: str
     """Rows (doc_id, n_bytes, n_tokens, over_limit), one for each input row.
 
     Whole texts are counted as the library gives them, without added tokens, truncation or
-    padding; null counts as empty. Batches are balanced by bytes. A text over ``PIECE_CHARS``
-    is cut before white space where the tokenizer drops white space, and else encoded whole.
+    padding; null counts as empty. Batches are balanced by bytes; of a tokenizer that drops white
+    space only the distinct words of a batch are encoded (see :class:`IdEncoder`), and a text over
+    ``PIECE_CHARS`` is cut before white space. Other tokenizers encode whole texts.
     Ids pass through unread, nulls and repeats included; other columns are not read.
     """
 
     def make():
         kind, model = load(tokenizer)
-        safe = kind == "tokenizers" and drops_white_space(model)
+        encoder = IdEncoder(tokenizer) if kind == "tokenizers" else None
+        safe, most = (True, LOOKUP_BYTES) if encoder and encoder.fast else (False, BATCH_BYTES)
 
         def lengths(texts: list[str]) -> list[int]:
             if kind == "sentencepiece":
                 return [len(x) for x in model.encode(texts, num_threads=1)]
-            return [len(x) for x in model.encode_batch_fast(texts, add_special_tokens=False)]
+            return encoder.count(texts)
 
         def count(batch: pa.RecordBatch) -> pa.RecordBatch:
             totals = np.zeros(batch.num_rows, np.int64)
             texts = batch.column(1)
-            for first, end in by_bytes(texts, BATCH_BYTES):
+            for first, end in by_bytes(texts, most):
                 rows, parts, size = [], [], 0
                 for row, text in enumerate(texts.slice(first, end - first).to_pylist(), first):
                     for part in pieces(text, PIECE_CHARS) if safe else (text,):
                         rows.append(row)
                         parts.append(part)
                         size += len(part)
-                        if size > BATCH_BYTES:
+                        if size > most:
                             np.add.at(totals, rows, lengths(parts))
                             rows, parts, size = [], [], 0
                 if parts:
