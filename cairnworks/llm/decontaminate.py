@@ -9,10 +9,10 @@ broadcast windows. Its size follows the benchmark, not the corpus; a benchmark o
 
 from __future__ import annotations
 
-import hashlib
 import re
 import uuid
 from bisect import bisect_left
+from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
@@ -104,19 +104,10 @@ def original_spans(text: str, runs: list[tuple[int, int]]) -> list[tuple[int, in
     return [(places[a][0], places[b - 1][1]) for a, b in runs]
 
 
-def contamination(
-    docs: DataFrame, benchmark: DataFrame, window: int = WINDOW_WORDS, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text"
-) -> DataFrame:
-    """Rows (doc_id, n_words, n_hit, items, spans), one for each input row.
-
-    ``items`` are the ids, as sorted strings, of items with an occurring window; ``spans`` are
-    the code points [start, end) of hit stretches in the original text. Null or empty text has
-    no words and no hits. Items without words or without an id match nothing; repeated items
-    count once. Document ids pass through unread, nulls and repeats included; other columns are
-    not read; an empty table on either side gives rows without hits, or none.
-    """
-    spark = docs.sparkSession
-    rows = benchmark.select(F.col(item_col).cast("string").alias("id"), F.col(item_text_col).alias("t")).where("id is not null").dropDuplicates()
+def _windows(benchmark: DataFrame, window: int, item_col: str, text_col: str) -> tuple[_Held, int]:
+    """The broadcast shards of (window, item ids), and their number."""
+    spark = benchmark.sparkSession
+    rows = benchmark.select(F.col(item_col).cast("string").alias("id"), F.col(text_col).alias("t")).where("id is not null").dropDuplicates()
     owners: dict[str, set[str]] = {}
     for item, text in rows.toLocalIterator():
         for w in item_windows(text, window):
@@ -129,8 +120,21 @@ def contamination(
             size = 0
         shards[-1].append((w, sorted(owners[w])))
         size += len(w)
-    held = _Held(spark.sparkContext.broadcast(shards), uuid.uuid4().hex)
-    n_shards = len(shards) if owners else 0
+    return _Held(spark.sparkContext.broadcast(shards), uuid.uuid4().hex), len(shards) if owners else 0
+
+
+def contamination(
+    docs: DataFrame, benchmark: DataFrame, window: int = WINDOW_WORDS, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text"
+) -> DataFrame:
+    """Rows (doc_id, n_words, n_hit, items, spans), one for each input row.
+
+    ``items`` are the ids, as sorted strings, of items with an occurring window; ``spans`` are
+    the code points [start, end) of hit stretches in the original text. Null or empty text has
+    no words and no hits. Items without words or without an id match nothing; repeated items
+    count once. Document ids pass through unread, nulls and repeats included; other columns are
+    not read; an empty table on either side gives rows without hits, or none.
+    """
+    held, n_shards = _windows(benchmark, window, item_col, item_text_col)
 
     def make():
         machines = [_automaton(held.token, k, held) for k in range(n_shards)]
@@ -156,6 +160,27 @@ def contamination(
     return map_batches(texts, make, "doc_id long, n_words long, n_hit long, items array<string>, spans array<struct<start:int,end:int>>")
 
 
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW_WORDS, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The input rows, all columns, that are not contaminated.
+
+    Rows are judged where they are read, so nothing is shuffled and repeated rows stay repeated.
+    """
+    held, n_shards = _windows(benchmark, window, item_col, item_text_col)
+    at = docs.columns.index(text_col)
+
+    def clean(text: str | None, machines) -> bool:
+        n_words, runs, _ = find_hits(text or "", machines)
+        n_hit = sum(b - a for a, b in runs)
+        return n_hit == 0 or n_hit * 20 < n_words
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        machines = [_automaton(held.token, k, held) for k in range(n_shards)]
+        for batch in batches:
+            yield batch.filter(pa.array([clean(x.as_py(), machines) for x in batch.column(at)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def contaminated(n_words: str = "n_words", n_hit: str = "n_hit"):
     """At least one word in twenty is hit."""
     return (F.col(n_hit) > 0) & (F.col(n_hit) * 20 >= F.col(n_words))

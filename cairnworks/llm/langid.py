@@ -210,6 +210,14 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     return fit(rows, idf)
 
 
+def _language(m: Model | None, text: str | None) -> tuple[str, float]:
+    if m is None or text is None or not _LETTER.search(text):
+        return UNDETERMINED, 0.0
+    p = m.probabilities(ngram_counts(text))
+    best = int(p.argmax())
+    return m.languages[best], float(p[best])
+
+
 def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (doc_id, held_out, lang_pred, score) from the text alone, one for each input row."""
     held = docs.sparkSession.sparkContext.broadcast(model)
@@ -220,15 +228,9 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
         def f(batch: pa.RecordBatch) -> pa.RecordBatch:
             names, scores = [], []
             for value in batch.column(2):
-                text = value.as_py()
-                if m is None or text is None or not _LETTER.search(text):
-                    names.append(UNDETERMINED)
-                    scores.append(0.0)
-                else:
-                    p = m.probabilities(ngram_counts(text))
-                    best = int(p.argmax())
-                    names.append(m.languages[best])
-                    scores.append(float(p[best]))
+                name, score = _language(m, value.as_py())
+                names.append(name)
+                scores.append(score)
             return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 
         return f
@@ -245,3 +247,18 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     repeats included; a null id is not held out; other columns are not read.
     """
     return predict(docs, train(docs, id_col, text_col, lang_col), id_col, text_col)
+
+
+def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The input rows, all columns, whose text gets a language; ``und`` ones go.
+
+    Rows are judged where they are read, so nothing is shuffled and repeated rows stay repeated.
+    """
+    held = docs.sparkSession.sparkContext.broadcast(train(docs, id_col, text_col, lang_col))
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([_language(held.value, x.as_py())[0] != UNDETERMINED for x in batch.column(at)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

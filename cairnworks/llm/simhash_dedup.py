@@ -74,16 +74,17 @@ def fingerprint_all(texts: list[bytes], words: int = 4) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4) -> DataFrame:
-    """Rows (doc_id, fp), one for each input row; fp is the fingerprint's 64 bits as a long."""
+    """Rows (doc_id, text_hash, fp), one for each input row; fp is the fingerprint's 64 bits as a long."""
 
     def make():
         def f(batch: pa.RecordBatch) -> pa.RecordBatch:
             prints = fingerprint_all(batch.column(1).cast(pa.binary()).to_pylist(), words)
-            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], names=["doc_id", "fp"])
+            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(prints.view(np.int64))], names=["doc_id", "text_hash", "fp"])
 
         return f
 
-    return map_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("t")), make, "doc_id long, fp long")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("t"))
+    return map_batches(rows.select("doc_id", "t", F.xxhash64("t").alias("text_hash")), make, "doc_id long, text_hash long, fp long")
 
 
 def _block_masks(blocks: int) -> list[int]:
@@ -158,7 +159,7 @@ def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, words: int = 4) -> DataFrame:
-    """Rows (doc_id, fp, component_id), one for each input row.
+    """Rows (doc_id, text_hash, fp, component_id), one for each input row.
 
     Fingerprints of at most ``radius`` differing bits link; component_id is the smallest doc_id
     that links reach, itself included. Null or empty text has no words and fingerprint zero,
@@ -173,10 +174,17 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rooted = rooted.select("fp", "first", F.coalesce("root", "fp").alias("root"))
     names = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     rooted = rooted.join(names, "root").select("fp", "component_id")
-    return prints.join(rooted, "fp").select("doc_id", "fp", "component_id")
+    return prints.join(rooted, "fp").select("doc_id", "text_hash", "fp", "component_id")
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, words: int = 4) -> DataFrame:
-    """The input rows, all columns, of one document of each component: the one that names it."""
-    found = near_groups(docs, id_col, text_col, radius, words).where("doc_id <=> component_id").select(F.col("doc_id").alias("__keep"))
-    return docs.join(found.distinct(), F.col(id_col).eqNullSafe(F.col("__keep")), "left_semi").dropDuplicates([id_col])
+    """The input rows, all columns, of one document of each component: the one with the smallest id.
+
+    Rows are told apart by id and text; of repeated rows one is kept.
+    """
+    found = near_groups(docs, id_col, text_col, radius, words)
+    first = found.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("r"))
+    kept = first.select(F.col("r.doc_id").alias("__keep"), F.col("r.text_hash").alias("__text"))
+    rows = docs.withColumn("__own_text", F.xxhash64(whole_text(text_col)))
+    rows = rows.join(kept, F.col(id_col).eqNullSafe(F.col("__keep")) & (F.col("__own_text") == F.col("__text")), "left_semi")
+    return rows.dropDuplicates([id_col, "__own_text"]).drop("__own_text")
