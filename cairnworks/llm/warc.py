@@ -19,7 +19,9 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from cairnworks.llm.batches import map_arrow
 from cairnworks.scratch import scratch_path, shuffle_partitions
 
 CRLF = b"\r\n"
@@ -132,20 +134,20 @@ def plan_records(pages: DataFrame, least_bytes: int = 0, id_col: str = "page_id"
     Of records with equal payloads of at least ``least_bytes`` bytes the one with the smallest
     id is the response, the others revisit it. Payloads are equal by SHA-256 and length. Groups
     are combined before the shuffle, and the way back is salted by page, so a payload that a
-    third of all pages share is spread over all partitions. Of repeated rows with the smallest
-    id one is the response. A null id is the smallest.
+    third of all pages share is spread over all partitions. Of rows with the same smallest id
+    the one with the smallest url is the response, and of repeated ones any. Nulls are smallest.
     """
     salts = shuffle_partitions(pages.sparkSession)
-    rows = pages.select(
-        F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), payload_of(html_col).alias("payload"), F.monotonically_increasing_id().alias("row")
-    )
+    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), payload_of(html_col).alias("payload"))
     key = F.struct(F.sha2("payload", 256).alias("sha"), F.octet_length("payload").alias("n"))
-    rows = rows.withColumn("key", key).withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(salts)).cast("int"))
-    shared = rows.groupBy("key").agg(F.min(F.struct("page_id", "row")).alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
+    rows = rows.withColumn("key", key).withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(salts)).cast("int"))
+    shared = rows.groupBy("key").agg(F.min(F.struct("page_id", "url")).alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
     shared = shared.where(F.col("key.n") >= least_bytes).select("key", "first")
     spread = rows.select("key", "salt").distinct().join(shared, "key")
-    both = rows.join(spread, ["key", "salt"], "left")
-    revisit = F.col("first").isNotNull() & (F.col("first.row") != F.col("row"))
+    nth = F.row_number().over(Window.partitionBy("key", "salt", "page_id", "url").orderBy(F.lit(1)))  # tells repeated rows apart
+    both = rows.join(spread, ["key", "salt"], "left").withColumn("nth", nth)
+    is_first = F.col("page_id").eqNullSafe(F.col("first.page_id")) & F.col("url").eqNullSafe(F.col("first.url")) & (F.col("nth") == 1)
+    revisit = F.col("first").isNotNull() & ~is_first
     return both.select("page_id", "url", "payload", revisit.alias("revisit"), F.when(revisit, F.col("first.page_id")).alias("refers_to"))
 
 
@@ -181,7 +183,7 @@ def write_archives(records: DataFrame, folder: str) -> DataFrame:
             path = name if folder.startswith("/") else f"{folder}/{os.path.basename(name)}"
             yield pa.RecordBatch.from_pydict({"path": [path], "n_records": [n]})
 
-    return records.mapInArrow(write, "path string, n_records long")
+    return map_arrow(records, write, "path string, n_records long")
 
 
 READ_SCHEMA = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary"
@@ -220,7 +222,7 @@ def read_archives(spark: SparkSession, paths: DataFrame, payloads: bool = True)
         if held:
             yield pa.RecordBatch.from_pylist(held, schema)
 
-    return paths.select("path").mapInArrow(read, READ_SCHEMA)
+    return map_arrow(paths.select("path"), read, READ_SCHEMA)
 
 
 def round_trip(pages: DataFrame, least_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", payloads: bool = False) -> DataFrame:

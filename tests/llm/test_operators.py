@@ -1,0 +1,420 @@
+"""Each operator against a plain version of its contract, on odd rows and without rows."""
+
+from __future__ import annotations
+
+import base64
+import hashlib
+import io
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+
+from cairnworks.llm import decontaminate, exact_dedup, extract, langid, line_dedup, packing, pii, simhash_dedup, tokens, training_pages, warc
+from cairnworks.llm.dom import parse
+from cairnworks.llm.fingerprints import close_pairs
+
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+LOWER = {c: c + 32 for c in range(65, 91)}
+
+
+def lower(text):
+    return (text or "").translate(LOWER)
+
+
+def bag(rows):
+    return Counter(tuple(r) for r in rows)
+
+
+def plain(docs):
+    return [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
+
+
+# --- op9
+
+
+def test_exact_groups(odd_docs, no_docs):
+    groups = defaultdict(list)
+    for i, t in plain(odd_docs):
+        groups[lower(t)].append(i)
+    best = {t: max((i for i in ids if i is not None), default=None) for t, ids in groups.items()}
+    got = exact_dedup.exact_groups(odd_docs).collect()
+    want = Counter((i, best[lower(t)], len(groups[lower(t)]), hashlib.sha256(lower(t).encode()).hexdigest()) for i, t in plain(odd_docs))
+    assert Counter((r["doc_id"], r["keep_id"], r["group_size"], r["text_sha256"]) for r in got) == want
+    kept = [r for r in got if r["kept"]]
+    assert Counter(r["text_sha256"] for r in kept) == Counter(hashlib.sha256(t.encode()).hexdigest() for t in groups) and all(r["doc_id"] == r["keep_id"] for r in kept)
+    assert exact_dedup.exact_groups(no_docs).count() == 0
+
+
+def test_kept_rows_are_whole(odd_docs, no_docs):
+    kept = exact_dedup.drop_exact_copies(odd_docs)
+    assert kept.columns == odd_docs.columns
+    want = Counter((r["keep_id"], r["text_sha256"]) for r in exact_dedup.exact_groups(odd_docs).where("kept").collect())
+    assert Counter((r["doc_id"], hashlib.sha256(lower(r["text"]).encode()).hexdigest()) for r in kept.collect()) == want
+    assert exact_dedup.drop_exact_copies(no_docs).count() == 0
+
+
+# --- op7
+
+
+def drop_lines(rows, least=40, many=5):
+    strip = " \t\n\x0b\x0c\r"
+    held = defaultdict(list)
+    for i, t in rows:
+        for key in {lower(x.strip(strip)) for x in (t or "").split("\n")}:
+            held[key].append(i)
+    owner = {k: max((i for i in v if i is not None), default=None) for k, v in held.items() if len(k) >= least and len(v) >= many}
+    out = []
+    for i, t in rows:
+        lines = (t or "").split("\n")
+        gone = [(o := owner.get(lower(x.strip(strip)))) is not None and (i is None or i < o) for x in lines]
+        out.append((i, len(lines), sum(gone), hashlib.sha256("\n".join(x for x, g in zip(lines, gone, strict=True) if not g).encode()).hexdigest()))
+    return Counter(out)
+
+
+def test_line_dedup(odd_docs, no_docs, spark):
+    hash_of = F.sha2("kept_text", 256)
+    got = line_dedup.drop_lines(odd_docs, line_dedup.keep_bitmaps(odd_docs)).select("doc_id", "n_lines", "n_dropped", hash_of).collect()
+    assert bag(got) == drop_lines(plain(odd_docs)) and any(r["n_dropped"] for r in got)
+    line = "x" * 40
+    rows = [(i, f"{line}\n{line}\nkeep {i}\n{line}\r") for i in range(6)] + [(9, "y" * 39)] * 6
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert bag(line_dedup.drop_lines(docs, line_dedup.keep_bitmaps(docs)).select("doc_id", "n_lines", "n_dropped", hash_of).collect()) == drop_lines(rows)
+    assert line_dedup.keep_bitmaps(no_docs).count() == 0
+
+
+# --- op5
+
+
+def slow_print(text, k=4):
+    import xxhash
+
+    w = [x for x in re.split("[\x20\x09-\x0d]+", lower(text)) if x]
+    grams = [" ".join(w[i : i + k]) for i in range(len(w) - k + 1)] if len(w) >= k else [" ".join(w)] * bool(w)
+    hs = [xxhash.xxh64_intdigest(g.encode(), 42) for g in grams]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
+
+
+def test_near_groups(odd_docs, no_docs):
+    rows = plain(odd_docs)
+    prints = [slow_print(t) for _, t in rows]
+    n = len(rows)
+    label = list(range(n))
+    for _ in range(n):
+        for a in range(n):
+            for b in range(n):
+                if bin(prints[a] ^ prints[b]).count("1") <= 4:
+                    label[a] = label[b] = min(label[a], label[b])
+    least = {c: min((rows[k][0] for k in range(n) if label[k] == c and rows[k][0] is not None), default=None) for c in set(label)}
+    got = simhash_dedup.near_groups(odd_docs).select("doc_id", "fp", "component_id").collect()
+    want = Counter((rows[k][0], prints[k] - (prints[k] >> 63 << 64), least[label[k]]) for k in range(n))
+    assert bag(got) == want
+    kept = simhash_dedup.drop_near_copies(odd_docs)
+    assert kept.columns == odd_docs.columns and Counter(r["doc_id"] for r in kept.collect()) == Counter(least.values())
+    assert simhash_dedup.near_groups(no_docs).count() == 0 and simhash_dedup.drop_near_copies(no_docs).count() == 0
+
+
+def test_bit_slices_find_what_popcounts_find():
+    r = np.random.default_rng(2)
+    base = r.integers(0, 2**64, 700, dtype=np.uint64)
+    near = base[:200] ^ (np.uint64(1) << r.integers(0, 64, 200).astype(np.uint64)) ^ (np.uint64(1) << r.integers(0, 64, 200).astype(np.uint64))
+    for prints in (np.unique(np.concatenate([base, near])), base[:1], base[:0]):
+        for radius in (1, 2, 4, 7):
+            got = {p for i, j in close_pairs(prints, radius) for p in zip(i.tolist(), j.tolist(), strict=True)}
+            d = np.bitwise_count(prints[:, None] ^ prints[None, :])
+            assert got == {(i, j) for i, j in zip(*np.nonzero(d <= radius), strict=True) if i < j}
+
+
+def test_oversized_buckets_keep_their_links(spark, monkeypatch):
+    monkeypatch.setattr(simhash_dedup, "BLOCK", 16)
+    r = np.random.default_rng(5)
+    center = int(r.integers(0, 2**63))
+    around = {center} | {center ^ (1 << a) ^ (1 << b) for a in range(0, 60, 2) for b in range(1, 12, 3)}
+    df = spark.createDataFrame([(v,) for v in around | {int(x) for x in r.integers(0, 2**63, 100)}], "fp long")
+    from cairnworks.operators.components import connected_components
+
+    found = connected_components(simhash_dedup.links(df))
+    assert found.where(F.col("node") == center).join(found.withColumnRenamed("node", "other"), "component").count() == len(around)
+
+
+# --- op4
+
+
+def slow_hits(text, windows, n=13):
+    word = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
+    w = word.findall(lower(text))
+    hit, items = set(), set()
+    for size in {len(k) for k in windows}:
+        for i in range(len(w) - size + 1):
+            if found := windows.get(tuple(w[i : i + size])):
+                items |= found
+                hit |= set(range(i, i + size))
+    return len(w), len(hit), sorted(items)
+
+
+def test_decontamination(spark, odd_docs, no_docs):
+    rows = plain(odd_docs)
+    quoted = " ".join((rows[5][1] + " " + rows[6][1]).split()[:20])
+    items = spark.createDataFrame([(1, quoted.upper()), (2, "Épée"), (3, None), (4, " .,"), (None, "alpha"), (5, "delta x1"), (5, "delta x1"), (6, "same; text")], "item_id long, text string").withColumn("doc_id", F.lit(7))
+    word = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
+    windows = defaultdict(set)
+    for r in items.collect():
+        w = word.findall(lower(r["text"]))
+        if w and r["item_id"] is not None:
+            for i in range(max(1, len(w) - 12)):
+                windows[tuple(w[i : i + 13])].add(str(r["item_id"]))
+    got = decontaminate.contamination(odd_docs, items).collect()
+    assert Counter((r["doc_id"], r["n_words"], r["n_hit"], tuple(r["items"])) for r in got) == Counter((i, a, b, tuple(c)) for i, t in rows for a, b, c in [slow_hits(t, windows)])
+    texts = dict(rows)
+    for r in got:
+        for s in r["spans"]:
+            if r["doc_id"] == 105:
+                assert texts[105][s["start"] : s["end"]] == "same text"
+    clean = decontaminate.drop_contaminated(odd_docs, items)
+    want = [i for i, t in rows for a, b, _ in [slow_hits(t, windows)] if not (b > 0 and 20 * b >= a)]
+    assert clean.columns == odd_docs.columns and Counter(r["doc_id"] for r in clean.collect()) == Counter(want)
+    assert decontaminate.contamination(no_docs, items).count() == 0 and decontaminate.contamination(odd_docs, items.limit(0)).where("n_hit > 0").count() == 0
+
+
+def test_sharded_automata_agree(spark, odd_docs, monkeypatch):
+    items = spark.createDataFrame([(i, t) for i, t in plain(odd_docs)[:12]], "item_id long, text string")
+    one = bag((r["doc_id"], r["n_hit"], tuple(r["items"])) for r in decontaminate.contamination(odd_docs, items).collect())
+    monkeypatch.setattr(decontaminate, "SHARD_CHARS", 200)
+    assert bag((r["doc_id"], r["n_hit"], tuple(r["items"])) for r in decontaminate.contamination(odd_docs, items).collect()) == one
+
+
+# --- op6 and op1
+
+
+@pytest.fixture(scope="module")
+def library():
+    from tokenizers import Tokenizer
+
+    model = Tokenizer.from_file(TOKENIZER)
+    return lambda text: model.encode(text or "", add_special_tokens=False).ids
+
+
+def test_token_counts(odd_docs, no_docs, library, monkeypatch):
+    monkeypatch.setattr(tokens, "PIECE_CHARS", 500)
+    got = tokens.count_tokens(odd_docs, TOKENIZER, limit=20).collect()
+    assert bag(got) == Counter((i, len((t or "").encode()), n, n > 20) for i, t in plain(odd_docs) for n in [len(library(t))])
+    assert tokens.count_tokens(no_docs, TOKENIZER).count() == 0
+
+
+@pytest.mark.parametrize("name", ["piece_bpe_32k.model", "byte_bpe_50k.json"])
+def test_counts_of_tokenizers_that_keep_white_space(odd_docs, name):
+    path = public_tokenizers.path(name)
+    kind, model = tokens.load(path)
+    size = (lambda t: len(model.encode(t))) if kind == "sentencepiece" else (lambda t: len(model.encode(t, add_special_tokens=False).ids))
+    assert bag(tokens.count_tokens(odd_docs, path).select("doc_id", "n_tokens").collect()) == Counter((i, size(t or "")) for i, t in plain(odd_docs))
+
+
+def test_word_tables_give_the_library_s_ids(library):
+    import random
+
+    r = random.Random(6)
+    pool = "ab AB 'sStT é É ß İ ı ſ ² ½ ª º × 1 2 _ - '' 're 'LL <| |> ́ Σ ς ǅ . , \x1c \x85 \xa0 𝒳 日本 ٣ <|endoftext|>".split(" ") + [" ", "\n", "\t"]
+    texts = ["".join(r.choice(pool) for _ in range(r.randint(0, 14))) for _ in range(3000)]
+    encoder = tokens.IdEncoder(TOKENIZER)
+    assert encoder.fast
+    assert [x.tolist() for x in encoder.encode(texts)] == [library(t) for t in texts] and encoder.count(texts) == [len(library(t)) for t in texts]
+
+
+@pytest.mark.parametrize("capacity", [16, 4096])
+def test_packing_is_gapless_and_lossless(odd_docs, no_docs, library, capacity):
+    got = packing.pack(odd_docs, TOKENIZER, capacity).collect()
+    want = Counter()
+    for i, t in plain(odd_docs):
+        ids = np.array([*library(t), 1], "<u4")
+        for k, start in enumerate(range(0, len(ids), capacity)):
+            piece = ids[start : start + capacity]
+            want[i, k, start, len(piece), zlib.crc32(piece.tobytes())] += 1
+    assert Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in got) == want
+    sequences = defaultdict(list)
+    for r in got:
+        sequences[r["sequence_id"]].append((r["offset"], r["length"]))
+    for places in sequences.values():
+        at = 0
+        for offset, length in sorted(places):
+            assert offset == at
+            at += length
+        assert at <= capacity
+    assert len(sequences) <= -(-sum(r["length"] for r in got) // capacity) + 2
+    assert packing.pack(no_docs, TOKENIZER, capacity).count() == 0
+
+
+def test_plans_hold_every_piece_and_come_near_the_bound():
+    r = np.random.default_rng(0)
+    for lengths in (r.integers(1, 4097, 4000), np.clip(np.exp(r.normal(6, 1, 4000)).astype(int), 1, 4096), np.full(1000, 1365), np.array([4096] * 5), np.array([], int)):
+        histogram = Counter(lengths.tolist())
+        plan = packing.pack_lengths(histogram)
+        held = Counter()
+        for times, pattern in plan:
+            assert times > 0 and sum(k * n for k, n in pattern.items()) <= 4096
+            for k, n in pattern.items():
+                held[k] += times * n
+        assert held == histogram
+        bound, first_fit = -(-int(lengths.sum()) // 4096), []
+        for x in sorted(lengths.tolist(), reverse=True):
+            k = next((k for k, room in enumerate(first_fit) if room >= x), None)
+            if k is None:
+                first_fit.append(4096 - x)
+            else:
+                first_fit[k] -= x
+        assert bound <= sum(t for t, _ in plan) <= len(first_fit) + 1
+
+
+# --- op2
+
+PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def slow_spans(text):
+    out = []
+    for k, (kind, pattern) in enumerate(PATTERNS.items()):
+        for m in re.finditer(pattern, text or ""):
+            d = re.sub("[^0-9]", "", m[0])
+            luhn = sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(reversed(d))) % 10 == 0
+            if {"email": True, "ip": kind == "ip" and all(int(p) <= 255 for p in m[0].split(".")), "card": 12 <= len(d) <= 19 and luhn, "phone": 9 <= len(d) <= 15}[kind]:
+                out.append((m.start(), k, m.end()))
+    return ",".join(f"{pii.KINDS[k]}:{a}:{b}" for a, k, b in sorted(out))
+
+
+def test_base_spans(spark, odd_docs, no_docs):
+    import random
+
+    r = random.Random(5)
+    parts = ["a", "b_", "@", "@x.y", ".", "..", "-", " ", "1", "12", "255", "256", "007", "4111111111111111", "+", "+1 (", "é", "😀", "\n", "+44", "3 4", "5-", "%", "7.7.7.7", "0"]
+    rows = [(i, "".join(r.choice(parts) for _ in range(r.randint(0, 25)))) for i in range(2500)]
+    rows += [(9000, None), (9001, "a." * 8000 + "x"), (9002, "a@" + "b." * 5000 + "c"), (9003, "1" * 9000), (9004, "1." * 4000), (9005, "+1" + " " * 9000), (9006, "x@y.z " * 500), (9007, "x@y.z"), (9007, "x@y.z"), (None, "1.2.3.4")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("t", F.lit(1)).withColumn("base", F.lit(2))
+    got = pii.personal_data(docs).select("doc_id", pii.listed("base"), pii.listed("spans")).collect()
+    assert Counter((a, b) for a, b, _ in got) == Counter((i, slow_spans(t)) for i, t in rows)
+    assert all(set(b.split(",")) <= set(c.split(",")) for _, b, c in got)
+    assert bag(pii.personal_data(odd_docs).select("doc_id", pii.listed("base")).collect()) == Counter((i, slow_spans(t)) for i, t in plain(odd_docs))
+    assert pii.personal_data(no_docs).count() == 0
+
+
+def test_patterns_discover_unseen_identifiers(spark):
+    rows = [(i, f"Some words. Contact phone: +1 (212) 555-{1000 + i} and mail: user{i}@host{i}.org or card 4111 1111 1111 1111") for i in range(12)]
+    rows += [(20, "contact phone: (212) 555-7788 now"), (21, "mail: bob (at) example (dot) com."), (22, "room (212) 555-7788 now"), (23, "we meet at ten dot"), (24, "contact phone: 5")]
+    rows += [(30 + i, f"order number {i}00 and number {i}17 and number +1 (212) 555-{2000 + i}") for i in range(12)] + [(50, "number (212) 555-7788")]
+    got = {r["doc_id"]: r for r in pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [(s["kind"], s["value"]) for s in got[20]["spans"]] == [(3, "(212) 555-7788")] and not got[20]["base"]
+    assert [(s["kind"], s["value"]) for s in got[21]["spans"]] == [(0, "bob (at) example (dot) com")]
+    assert not got[22]["spans"] and not got[23]["spans"] and not got[50]["spans"]
+
+
+# --- op3
+
+
+def test_warc_round_trip(spark):
+    rows = [(i, None if i % 7 == 0 else f"http://h/{i}\r\nx: y", [None, "", "héé\r\n\r\n", "<p>x</p>" * 400000, f"own {i}"][i % 5]) for i in range(-3, 30)] + [(4, "again", "own 4"), (None, None, "own 5")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("payload", F.lit(1)).withColumn("salt", F.lit(2)).repartition(4)
+    got = warc.round_trip(pages, payloads=True).collect()
+    body = lambda h: (h or "").encode()
+    assert Counter((r["page_id"], r["payload_bytes"], r["payload_digest"]) for r in got) == Counter((i, len(body(h)), base64.b32encode(hashlib.sha1(body(h)).digest()).decode()) for i, _, h in rows)
+    key = lambda i: (i is not None, i)
+    first = {}
+    for i, _, h in rows:
+        first[body(h)] = min(first.get(body(h), i), i, key=key)
+    responses = [r for r in got if r["record_type"] == "response"]
+    assert Counter((r["page_id"], bytes(r["payload"])) for r in responses) == Counter((i, b) for b, i in first.items())
+    sizes = {base64.b32encode(hashlib.sha1(b).digest()).decode(): i for b, i in first.items()}
+    assert all(r["refers_to"] == sizes[r["payload_digest"]] and not r["payload"] for r in got if r["record_type"] == "revisit")
+    assert len(got) == len(rows) and warc.round_trip(pages.limit(0)).count() == 0
+    assert Counter(r["record_type"] for r in warc.round_trip(pages, least_bytes=10**9).collect()) == {"response": len(rows)}
+
+
+def test_reader_refuses_damage():
+    good = warc.encode_record(1, "u", b"payload", None) + warc.encode_record(2, None, b"", None)
+    assert [(warc.page_of(h["warc-record-id"]), p) for h, p in warc.read_records(io.BytesIO(good))] == [(1, b"payload"), (2, b"")]
+    with pytest.raises(warc.BadRecord):
+        list(warc.read_records(io.BytesIO(good[:-9])))
+    member = zlib.decompress(warc.encode_record(1, "u", b"payload", None), zlib.MAX_WBITS | 16)
+    import gzip
+
+    for broken in (member.replace(b"payload\r\n\r\n", b"pAyload\r\n\r\n"), member.replace(b"Content-Length: 7", b"Content-Length: 6"), b"HTTP/1.1 200\r\n\r\n"):
+        with pytest.raises(warc.BadRecord):
+            list(warc.read_records(io.BytesIO(gzip.compress(broken))))
+    assert [warc.page_of(warc.record_id(i)) for i in (0, -1, None, 2**63 - 1)] == [0, -1, None, 2**63 - 1]
+
+
+# --- op8
+
+
+def test_main_text_of_unseen_pages():
+    sources = training_pages.pages(200, seed=77)
+    right = 0
+    for source, got in zip(sources, extract.texts_of(sources, extract.model()), strict=True):
+        page = parse(source)
+        right += got == " ".join(t for o, t in zip(page.owners, page.texts, strict=True) if page.marks[o] != "0")
+    assert right >= 180
+
+
+def test_parser_and_rows(spark):
+    page = parse('<p>a&nbsp;b <b>c\n d<p>e<br>f<script>var x="</p><p>no"</script><!-- <p>no --><ul><li>x<li>y</ul></div>z<td>q &lt; &#233;<textarea>no</textarea> <a href="u">link')
+    assert page.texts == ["a b c d", "e", "f", "x", "y", "z", "q < é link"]
+    rows = [(1, "u", None), (2, None, ""), (3, "u", "plain < text & more"), (None, "u", "<article><h1>Title here</h1><p>Some sentence of the story. And another one, with more words.</p></article><footer>(c) 2020 all rights</footer>")]
+    rows += [(5, "deep", "<div>" * 3000 + "<p>x</p>"), (6, "open", "<p " * 2000), (6, "open", "<p " * 2000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("h", F.lit(1)).withColumn("text", F.lit(2))
+    got = extract.main_text(pages).collect()
+    assert Counter(r["page_id"] for r in got) == Counter(r[0] for r in rows) and all(r["n_chars"] == len(r["text"]) for r in got)
+    by_id = {r["page_id"]: r["text"] for r in got}
+    assert by_id[1] == by_id[2] == "" and by_id[None] == "Title here Some sentence of the story. And another one, with more words."
+    assert extract.main_text(pages.limit(0)).count() == 0
+
+
+def test_decoding_never_keeps_below_a_dropped_node():
+    r = np.random.default_rng(1)
+    for source in training_pages.pages(20, seed=5):
+        page = parse(source)
+        keep = extract.decode(page, r.normal(0, 4, len(page.tags)))
+        assert all(keep[page.parents[i]] for i in range(1, len(keep)) if keep[i])
+
+
+# --- op10
+
+
+def test_language_id(spark, odd_docs, no_docs):
+    words = {"en": "the of and that with from this have", "de": "der die und nicht mit ein auch sich", "fr": "le les des une dans que pour avec"}
+    import random
+
+    r = random.Random(8)
+    rows = [(i, " ".join(r.choice(words[lang].split()) for _ in range(r.randint(3, 60))), lang if i % 9 else None) for i in range(600) for lang in [r.choice(list(words))]]
+    truth = {i: next(k for k, v in words.items() if t.split()[0] in v.split()) for i, t, _ in rows}
+    rows += [(1000, None, "en"), (1001, "", "en"), (1002, "123 !?", "de"), (1003, "DER DIE UND", None), (1003, "DER DIE UND", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("score", F.lit("x"))
+    got = langid.identify(docs).collect()
+    assert Counter(r["doc_id"] for r in got) == Counter(r[0] for r in rows)
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) and 0 <= r["score"] <= 1 for r in got)
+    by_id = {r["doc_id"]: r["lang_pred"] for r in got}
+    assert by_id[1000] == by_id[1001] == by_id[1002] == "und" and by_id[1003] == "de"
+    held = [r for r in got if r["held_out"] and r["doc_id"] in truth]
+    assert sum(truth[r["doc_id"]] == r["lang_pred"] for r in held) >= 0.97 * len(held)
+    assert langid.identify(no_docs).count() == 0 and langid.identify(odd_docs).count() == odd_docs.count()
+    kept = langid.keep_identified(odd_docs)
+    letter = re.compile(r"[^\W\d_]")
+    assert kept.columns == odd_docs.columns and Counter(r["doc_id"] for r in kept.collect()) == Counter(i for i, t in plain(odd_docs) if t and letter.search(t))
+    unlabelled = docs.withColumn("lang", F.lit(None).cast("string"))
+    assert {r["lang_pred"] for r in langid.identify(unlabelled).collect()} == {"und"}
+
+
+def test_chunks_of_a_long_text_count_alike(monkeypatch):
+    text = "Héé lo  12 wörld! " * 30
+    whole = langid.ngram_counts(text)
+    for size in (3, 7, 64, 100):
+        monkeypatch.setattr(langid, "CHUNK", size)
+        assert (langid.ngram_counts(text) == whole).all()
+
+
+def test_temperature_calibrates():
+    r = np.random.default_rng(3)
+    z = r.normal(0, 1, (4000, 3))
+    p = np.exp(z) / np.exp(z).sum(1, keepdims=True)
+    y = np.array([r.choice(3, p=q) for q in p])
+    assert abs(langid.fit_temperature(5 * z, y) - 5) < 0.6
