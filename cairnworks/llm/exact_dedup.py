@@ -62,9 +62,18 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The input rows, all columns, of which :func:`exact_groups` keeps one a group."""
-    kept = exact_groups(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("__keep"), F.col("text_sha256").alias("__sha"))
-    key = F.sha2(ascii_lower(whole_text(text_col)), 256)
-    rows = docs.withColumn("__sha_own", key)
-    found = rows.join(kept, F.col(id_col).eqNullSafe(F.col("__keep")) & (F.col("__sha_own") == F.col("__sha")), "left_semi")
-    return found.dropDuplicates([id_col, "__sha_own"]).drop("__sha_own")
+    """One row, all columns, of each group of :func:`exact_groups`: the one with the largest id.
+
+    The same three steps, with the best row so far in place of the ids, so that nothing has to
+    be looked up afterwards. Repeated rows with the winning id give one row.
+    """
+    salts = shuffle_partitions(docs.sparkSession)
+    rows = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("r"),
+        F.struct(F.col(id_col), F.xxhash64(whole_text(text_col))).alias("rank"),
+        ascii_lower(whole_text(text_col)).alias("t"),
+        F.pmod(F.spark_partition_id(), F.lit(salts)).alias("salt"),
+    )
+    rows = rows.select("r", "rank", "t", F.unhex(F.sha2("t", 256)).alias("d"), "salt")
+    best = (F.max_by("r", "rank").alias("r"), F.max("rank").alias("rank"))
+    return rows.groupBy("d", "salt", "t").agg(*best).groupBy("d", "t").agg(*best).select("r.*")
