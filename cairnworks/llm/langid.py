@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cairnworks.llm.batches import map_batches
+from cairnworks.llm.batches import map_arrow, map_batches
 
 #: Hashed features, n-gram sizes and code points counted at a time.
 FEATURES = 1 << 15
@@ -177,7 +177,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         at = np.nonzero(df)[0]
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(df[at], n))], names=["feature", "n"])
 
-    counted = own.select("t").mapInArrow(frequencies, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect()  # at most FEATURES + 1 rows
+    counted = map_arrow(own.select("t"), frequencies, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect()  # at most FEATURES + 1 rows
     found = {r["feature"]: r["n"] for r in counted}
     total = found.pop(-1, 0)
     df = np.zeros(FEATURES)
@@ -261,4 +261,4 @@ def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         for batch in batches:
             yield batch.filter(pa.array([_language(held.value, x.as_py())[0] != UNDETERMINED for x in batch.column(at)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_arrow(docs, run, docs.schema)

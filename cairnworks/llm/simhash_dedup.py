@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairnworks.llm.batches import map_batches
+from cairnworks.llm.batches import by_bytes, map_arrow, map_batches
 from cairnworks.llm.columns import whole_text
 from cairnworks.llm.fingerprints import close_pairs, smallest_linked
 from cairnworks.operators.components import connected_components
@@ -28,8 +28,9 @@ from cairnworks.scratch import materialize, shuffle_partitions
 RADIUS = 4
 #: Fingerprints compared at a time; larger buckets are dealt out in tiles of half of it.
 BLOCK = 1024
-#: Shingles hashed before they are added up.
-CHUNK = 1 << 18
+#: Bytes of text taken at a time, and shingles hashed before they are added up.
+SLICE_BYTES = 4 << 20
+CHUNK = 1 << 16
 #: Most oversized buckets that are broadcast (24 bytes each); beyond, the join is shuffled.
 BROADCAST_BUCKETS = 50_000
 
@@ -78,7 +79,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def make():
         def f(batch: pa.RecordBatch) -> pa.RecordBatch:
-            prints = fingerprint_all(batch.column(1).cast(pa.binary()).to_pylist(), words)
+            texts = batch.column(1).cast(pa.binary())
+            prints = np.concatenate([fingerprint_all(texts.slice(a, b - a).to_pylist(), words) for a, b in by_bytes(texts, SLICE_BYTES)])
             return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(prints.view(np.int64))], names=["doc_id", "text_hash", "fp"])
 
         return f
@@ -155,7 +157,7 @@ def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
         if ready or sum(map(len, open_rows)) > 1:
             yield compare(ready + open_rows)
 
-    return rows.mapInArrow(run, "src long, dst long")
+    return map_arrow(rows, run, "src long, dst long")
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, words: int = 4) -> DataFrame:
