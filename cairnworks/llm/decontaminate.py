@@ -3,8 +3,9 @@
 Test items become windows of consecutive normalised words; all windows are the automaton's keys.
 Each text is normalised and scanned once; a match's end tells which words it covers, and word
 offsets lead back to the original text. The automaton is built once for each Python worker from
-broadcast windows. Its size follows the benchmark, not the corpus; a benchmark of more than
-``SHARD_CHARS`` is dealt into several automata and the texts are scanned once for each.
+broadcast windows. Its size follows the benchmark, not the corpus, and is bounded: the windows of
+a larger benchmark are dealt by item into groups of about ``MOST_CHARS``, the texts are scanned
+once for each group, and the hits are put together.
 """
 
 from __future__ import annotations
@@ -19,12 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairnworks.llm.batches import map_batches
+from cairnworks.llm.batches import map_arrow, map_batches
 from cairnworks.llm.columns import whole_text
+from cairnworks.scratch import materialize
 
 WINDOW_WORDS = 13
-#: Characters of window text in one automaton (about 50 bytes of memory each).
-SHARD_CHARS = 4_000_000
+#: Characters of window text in one automaton (about 40 bytes of memory each).
+MOST_CHARS = 3_000_000
 
 #: A-Z to lower case; other ASCII bytes that are not digits or letters to a space.
 _NORMAL = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
@@ -43,17 +45,6 @@ def item_windows(text: str | None, n: int = WINDOW_WORDS) -> list[str]:
     return [" ".join(words[i : i + n]) for i in range(max(1, len(words) - n + 1))]
 
 
-@lru_cache(maxsize=4)
-def _automaton(token: str, shard: int, held):
-    import ahocorasick
-
-    machine = ahocorasick.Automaton()
-    for window, items in held.value[shard]:
-        machine.add_word(f" {window} ", (window.count(" ") + 1, items))
-    machine.make_automaton()
-    return machine
-
-
 class _Held:
     """A broadcast that hashes by its token, so that a worker builds each automaton once."""
 
@@ -71,22 +62,33 @@ class _Held:
         return self.token == other.token
 
 
-def find_hits(text: str, machines) -> tuple[int, list[tuple[int, int]], set[str]]:
+@lru_cache(maxsize=1)
+def _automaton(held: _Held):
+    import ahocorasick
+
+    machine = ahocorasick.Automaton()
+    for window, items in held.value:
+        machine.add_word(f" {window} ", (window.count(" ") + 1, items))
+    if len(machine):
+        machine.make_automaton()
+    return machine
+
+
+def find_hits(text: str, machine) -> tuple[int, list[tuple[int, int]], set[str]]:
     """(number of words, runs of hit words as (first, end), items with occurring windows)."""
     words = normal_words(text.encode())
     joined, at, runs, found = None, None, [], set()
-    if words:
+    if words and len(machine):
         joined = f" {b' '.join(words).decode()} "
-        for machine in machines:
-            for end, (size, items) in machine.iter(joined):
-                if at is None:
-                    at, place = [], 0
-                    for w in joined[1:-1].split(" "):
-                        place += len(w) + 1
-                        at.append(place)  # of the space after each word
-                last = bisect_left(at, end)
-                runs.append((last - size + 1, last + 1))
-                found.update(items)
+        for end, (size, items) in machine.iter(joined):
+            if at is None:
+                at, place = [], 0
+                for w in joined[1:-1].split(" "):
+                    place += len(w) + 1
+                    at.append(place)  # of the space after each word
+            last = bisect_left(at, end)
+            runs.append((last - size + 1, last + 1))
+            found.update(items)
     merged: list[tuple[int, int]] = []
     for a, b in sorted(runs):
         if merged and a <= merged[-1][1]:
@@ -104,81 +106,118 @@ def original_spans(text: str, runs: list[tuple[int, int]]) -> list[tuple[int, in
     return [(places[a][0], places[b - 1][1]) for a, b in runs]
 
 
-def _windows(benchmark: DataFrame, window: int, item_col: str, text_col: str) -> tuple[_Held, int]:
-    """The broadcast shards of (window, item ids), and their number."""
-    spark = benchmark.sparkSession
-    rows = benchmark.select(F.col(item_col).cast("string").alias("id"), F.col(text_col).alias("t")).where("id is not null").dropDuplicates()
+def _groups(benchmark: DataFrame, window: int, item_col: str, text_col: str) -> list[DataFrame]:
+    """Tables (id, t) of distinct items; each group's windows are about MOST_CHARS at most."""
+    rows = benchmark.select(F.col(item_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("t")).where("id is not null and t is not null").dropDuplicates()
+    size = rows.agg(F.sum(F.length("t").cast("long"))).first()[0] or 0
+    n = -(-size * window // MOST_CHARS) or 1
+    return [rows.where(F.pmod(F.xxhash64("id", "t"), F.lit(n)) == k) for k in range(n)] if n > 1 else [rows]
+
+
+def _held_windows(items: DataFrame, window: int) -> _Held:
     owners: dict[str, set[str]] = {}
-    for item, text in rows.toLocalIterator():
+    for item, text in items.toLocalIterator():  # a group of bounded size
         for w in item_windows(text, window):
             owners.setdefault(w, set()).add(item)
-    shards: list[list] = [[]]
-    size = 0
-    for w in sorted(owners):
-        if size > SHARD_CHARS:
-            shards.append([])
-            size = 0
-        shards[-1].append((w, sorted(owners[w])))
-        size += len(w)
-    return _Held(spark.sparkContext.broadcast(shards), uuid.uuid4().hex), len(shards) if owners else 0
+    return _Held(items.sparkSession.sparkContext.broadcast([(w, sorted(owners[w])) for w in sorted(owners)]), uuid.uuid4().hex)
 
 
-def contamination(
-    docs: DataFrame, benchmark: DataFrame, window: int = WINDOW_WORDS, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text"
-) -> DataFrame:
-    """Rows (doc_id, n_words, n_hit, items, spans), one for each input row.
+_RUNS = "array<struct<start:int,end:int>>"
+_SCANNED = f"doc_id long, text_hash long, n_words long, n_hit long, items array<string>, runs {_RUNS}, spans {_RUNS}"
 
-    ``items`` are the ids, as sorted strings, of items with an occurring window; ``spans`` are
-    the code points [start, end) of hit stretches in the original text. Null or empty text has
-    no words and no hits. Items without words or without an id match nothing; repeated items
-    count once. Document ids pass through unread, nulls and repeats included; other columns are
-    not read; an empty table on either side gives rows without hits, or none.
-    """
-    held, n_shards = _windows(benchmark, window, item_col, item_text_col)
+
+def _scan(texts: DataFrame, held: _Held) -> DataFrame:
+    span = pa.struct([("start", pa.int32()), ("end", pa.int32())])
 
     def make():
-        machines = [_automaton(held.token, k, held) for k in range(n_shards)]
+        machine = _automaton(held)
 
         def scan(batch: pa.RecordBatch) -> pa.RecordBatch:
-            n_words, n_hit, items, spans = [], [], [], []
-            for value in batch.column(1):
+            n_words, n_hit, items, places, spans = [], [], [], [], []
+            for value in batch.column(2):
                 text = value.as_py()
-                n, runs, found = find_hits(text, machines)
+                n, runs, found = find_hits(text, machine)
                 n_words.append(n)
                 n_hit.append(sum(b - a for a, b in runs))
                 items.append(sorted(found))
+                places.append([{"start": a, "end": b} for a, b in runs])
                 spans.append([{"start": a, "end": b} for a, b in original_spans(text, runs)])
-            span = pa.struct([("start", pa.int32()), ("end", pa.int32())])
             return pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(spans, pa.list_(span))],
-                names=["doc_id", "n_words", "n_hit", "items", "spans"],
+                [*batch.columns[:2], pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(places, pa.list_(span)), pa.array(spans, pa.list_(span))],
+                names=["doc_id", "text_hash", "n_words", "n_hit", "items", "runs", "spans"],
             )
 
         return scan
 
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("t"))
-    return map_batches(texts, make, "doc_id long, n_words long, n_hit long, items array<string>, spans array<struct<start:int,end:int>>")
+    return map_batches(texts, make, _SCANNED)
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW_WORDS, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """The input rows, all columns, that are not contaminated.
+def _merged(runs: str):
+    """Sorted, overlapping or touching runs joined."""
+    none = F.array().cast(_RUNS)
 
-    Rows are judged where they are read, so nothing is shuffled and repeated rows stay repeated.
+    def step(acc, r):
+        last = F.element_at(acc, -1)
+        joins = (F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))["end"] >= r["start"])
+        longer = F.struct(last["start"].alias("start"), F.greatest(last["end"], r["end"]).alias("end"))
+        return F.when(joins, F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(longer))).otherwise(F.concat(acc, F.array(r)))
+
+    return F.aggregate(F.array_sort(F.flatten(runs)), none, step)
+
+
+def contamination(
+    docs: DataFrame, benchmark: DataFrame, window: int = WINDOW_WORDS, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text"
+) -> DataFrame:
+    """Rows (doc_id, text_hash, n_words, n_hit, items, runs, spans), one for each input row.
+
+    ``items`` are the ids, as sorted strings, of items with an occurring window; ``runs`` are hit
+    words [start, end) and ``spans`` the code points of those stretches in the original text.
+    Null or empty text has no words and no hits. Items without words or without an id match
+    nothing; repeated items count once. Document ids pass through unread, nulls and repeats
+    included; other columns are not read; an empty table on either side gives rows without hits,
+    or none.
+    """
+    first_group, *more = _groups(benchmark, window, item_col, item_text_col)
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("t")).select("doc_id", F.xxhash64("t").alias("text_hash"), "t")
+    first = _scan(texts, _held_windows(first_group, window))
+    if not more:
+        return first
+    first = materialize(first, "contamination")
+    parts = first.where("n_hit > 0")
+    for g in more:
+        parts = parts.union(materialize(_scan(texts, _held_windows(g, window)).where("n_hit > 0"), "contamination"))
+    lists = parts.groupBy("doc_id", "text_hash").agg(F.collect_list("items").alias("items"), F.collect_list("runs").alias("runs"), F.collect_list("spans").alias("spans"))
+    lists = lists.select(F.col("doc_id").alias("k"), F.col("text_hash").alias("th"), F.array_sort(F.array_distinct(F.flatten("items"))).alias("all_items"), _merged("runs").alias("all_runs"), _merged("spans").alias("all_spans"))
+    both = first.join(lists, F.col("doc_id").eqNullSafe(F.col("k")) & (F.col("text_hash") == F.col("th")), "left")
+    total = F.aggregate("all_runs", F.lit(0).cast("long"), lambda acc, r: acc + r["end"] - r["start"])
+    return both.select("doc_id", "text_hash", "n_words", F.coalesce(total, F.lit(0)).alias("n_hit"), *[F.coalesce(f"all_{c}", c).alias(c) for c in ("items", "runs", "spans")])
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW_WORDS, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The input rows, all columns, that are not contaminated; repeated rows stay repeated.
+
+    Rows are judged where they are read, so nothing is shuffled, unless the benchmark takes more
+    than one automaton.
     """
-    held, n_shards = _windows(benchmark, window, item_col, item_text_col)
+    groups = _groups(benchmark, window, item_col, item_text_col)
+    if len(groups) > 1:
+        bad = contamination(docs, benchmark, window, id_col, text_col, item_col, item_text_col).where(contaminated()).select(F.col("doc_id").alias("__bad"), F.col("text_hash").alias("__bad_text"))
+        same = F.col(id_col).eqNullSafe(F.col("__bad")) & (F.xxhash64(whole_text(text_col)) == F.col("__bad_text"))
+        return docs.join(bad.distinct(), same, "left_anti")
+    held = _held_windows(groups[0], window)
     at = docs.columns.index(text_col)
 
-    def clean(text: str | None, machines) -> bool:
-        n_words, runs, _ = find_hits(text or "", machines)
+    def clean(text: str | None, machine) -> bool:
+        n_words, runs, _ = find_hits(text or "", machine)
         n_hit = sum(b - a for a, b in runs)
         return n_hit == 0 or n_hit * 20 < n_words
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machines = [_automaton(held.token, k, held) for k in range(n_shards)]
+        machine = _automaton(held)
         for batch in batches:
-            yield batch.filter(pa.array([clean(x.as_py(), machines) for x in batch.column(at)], pa.bool_()))
+            yield batch.filter(pa.array([clean(x.as_py(), machine) for x in batch.column(at)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_arrow(docs, run, docs.schema)
 
 
 def contaminated(n_words: str = "n_words", n_hit: str = "n_hit"):

@@ -180,11 +180,14 @@ def test_decontamination(spark, odd_docs, no_docs):
     assert decontaminate.contamination(no_docs, items).count() == 0 and decontaminate.contamination(odd_docs, items.limit(0)).where("n_hit > 0").count() == 0
 
 
-def test_sharded_automata_agree(spark, odd_docs, monkeypatch):
-    items = spark.createDataFrame([(i, t) for i, t in plain(odd_docs)[:12]], "item_id long, text string")
-    one = bag((r["doc_id"], r["n_hit"], tuple(r["items"])) for r in decontaminate.contamination(odd_docs, items).collect())
-    monkeypatch.setattr(decontaminate, "SHARD_CHARS", 200)
-    assert bag((r["doc_id"], r["n_hit"], tuple(r["items"])) for r in decontaminate.contamination(odd_docs, items).collect()) == one
+def test_groups_of_items_agree_with_one_automaton(spark, odd_docs, monkeypatch):
+    rows = plain(odd_docs)
+    items = spark.createDataFrame([(i, t) for i, t in rows[:12]] + [(100 + i, " ".join((t or "").split()[3:20])) for i, t in rows[:12]], "item_id long, text string")
+    columns = lambda df: bag((r["doc_id"], r["n_words"], r["n_hit"], tuple(r["items"]), tuple(map(tuple, r["runs"]))) for r in df.collect())
+    one, clean = columns(decontaminate.contamination(odd_docs, items)), bag(decontaminate.drop_contaminated(odd_docs, items).collect())
+    monkeypatch.setattr(decontaminate, "MOST_CHARS", 8_000)
+    assert len(decontaminate._groups(items, 13, "item_id", "text")) > 2
+    assert columns(decontaminate.contamination(odd_docs, items)) == one and bag(decontaminate.drop_contaminated(odd_docs, items).collect()) == clean
 
 
 # --- op6 and op1
