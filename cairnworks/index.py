@@ -17,7 +17,8 @@ from cairnworks.functions.names import is_text
 from cairnworks.functions.simhash import TEXT_CHARS, simhash_arrow
 from cairnworks.operators import clusters, ingest, moves, near, review, stats, topics
 from cairnworks.scratch import materialize
-from cairnworks.sources.snapshots import Snapshots
+from cairnworks.sources.relocate import execute, move_file
+from cairnworks.sources.snapshots import SCHEMAS, Snapshots
 from cairnworks.sources.treewalk import MARKER, hash_files, walk
 
 MAX_DESTINATIONS = 5
@@ -56,8 +57,6 @@ class Index:
         self.tables = Snapshots(spark, folder)
 
     def __getattr__(self, name: str) -> DataFrame:
-        from cairnworks.sources.snapshots import SCHEMAS
-
         if name in SCHEMAS:
             return self.tables.table(name)
         raise AttributeError(name)
@@ -255,8 +254,6 @@ class Index:
         row = self.decisions.where(F.col("id") == last["id"]).select("id", "action", "payload")
         if last["action"] in ("reconcile_delete", "ingest_prune"):
             rows = row.select(F.explode(F.from_json(F.get_json_object("payload", "$.rows"), "array<string>")).alias("payload"))
-            from cairnworks.sources.snapshots import SCHEMAS
-
             again = review.restored_deletions(rows, SCHEMAS["paths"])
             told = row.select(F.lit("undo").alias("action"), F.to_json(F.struct(F.col("id").alias("target"), F.col("action").alias("of_action"))).alias("payload"))
             self.tables.commit(paths=self.paths.unionByName(again), decisions=self._decided(told, "user"))
@@ -289,12 +286,57 @@ class Index:
 
     def plan_moves(self) -> DataFrame:
         """What processing the queue would move where; no file is touched."""
-        work = moves.pending(self.moves, self.paths, self.files, self.drives, "keeper")
+        work = moves.pending(self.moves, self.paths, self.files, self.drives, "keeper", ("pending", "moving"))
         dups = moves.duplicates_to_move(self.paths, self.files, self.drives)
         roots = self.drives.select(F.col("id").alias("drive_id"), F.col("root_path").alias("dest_root"))
         taken = self.paths.join(roots, "drive_id").select("dest_root", F.col("path").alias("rel"))
         return moves.plan(work, dups, self.get_setting("holding_dir"), taken)
 
+    def process(self, dry_run: bool = True, verify: bool = True) -> DataFrame:
+        """Moves what the plan holds: (item, dest_root, final_rel, mtime, reason), null reason = moved.
+
+        A dry run only plans. Refuses while a source drive can't be reached. The queue says
+        ``moving`` before any file moves; moves of an interrupted run are finished by the next.
+        """
+        plan = materialize(self.plan_moves().join(self._sources(), "item"), "plan")
+        if dry_run:
+            return plan.select("item", "dest_root", "final_rel", F.lit(None).cast("long").alias("mtime"), F.lit("planned").alias("reason"))
+        for r in plan.select("src_root").distinct().collect():  # a row for each drive
+            if not os.path.isdir(r["src_root"]):
+                raise FileNotFoundError(r["src_root"])
+        queued = self.moves.where(F.col("status").isin("pending", "moving")).select(F.col("path_id").alias("item"))
+        base = (self.moves.agg(F.max("id")).first()[0] or 0) + 1
+        dups = plan.where("kind = 'dup'").join(queued, "item", "left_anti")
+        new = dups.select((F.lit(base) + F.monotonically_increasing_id()).alias("id"), F.col("item").alias("path_id"), "hash", "kind", F.lit(None).cast("string").alias("dest_label"), "dest_root", F.lit(None).cast("string").alias("src_abspath"), F.lit(None).cast("string").alias("final_path"), F.lit(self.now()).alias("enqueued_at"), F.lit("pending").alias("status"))
+        mine = plan.select(F.col("item").alias("path_id"), F.col("src").alias("__src"), F.col("final_rel").alias("__rel"))
+        queue = self.moves.unionByName(new).join(mine, "path_id", "left")
+        moving = F.col("__src").isNotNull() & F.col("status").isin("pending", "moving")
+        for c, v in (("src_abspath", F.col("__src")), ("final_path", F.col("__rel")), ("status", F.lit("moving"))):
+            queue = queue.withColumn(f"__{c}", F.when(moving, v).otherwise(F.col(c)))
+        queue = queue.select(*[F.col(f"__{c}").alias(c) if c in ("src_abspath", "final_path", "status") else c for c in self.moves.columns])
+        self.tables.commit(moves=queue)
+        result = materialize(execute(plan, verify), "moved")
+        self.commit_moves(result.where("reason is null").select(F.col("item").alias("path_id"), "dest_root", "final_rel", "mtime"))
+        still = F.col("status") == "moving"
+        self.tables.commit(moves=self.moves.withColumn("status", F.when(still, "pending").otherwise(F.col("status"))))
+        return result
+
+    def _sources(self) -> DataFrame:
+        rows = self.paths.join(self.files.select("hash", "size"), "hash").join(self.drives.select(F.col("id").alias("drive_id"), F.col("root_path").alias("src_root")), "drive_id")
+        return rows.select(F.col("id").alias("item"), "hash", "size", "src_root")
+
+    def undo_process(self) -> dict | None:
+        """Moves the file of the newest relocation back and reverses it in the index."""
+        last = review.last_relocation(self.decisions.select("id", "action", "payload")).first()
+        if last is None:
+            return None
+        p = json.loads(last["payload"])
+        roots = {r["id"]: r["root_path"] for r in self.drives.where(F.col("id").isin(p["src"]["drive_id"], p["dest"]["drive_id"])).collect()}
+        reason = move_file(os.path.join(roots[p["dest"]["drive_id"]], p["dest"]["path"]), os.path.join(roots[p["src"]["drive_id"]], p["src"]["path"]), None, None, verify=False)
+        if reason:
+            raise OSError(reason)
+        return self.reverse_move()
+
     def commit_moves(self, done: DataFrame) -> None:
         """done(path_id, dest_root, final_rel, mtime): files that were moved. Paths point to managed drives afterwards."""
         done = materialize(done, "done-moves")
@@ -329,6 +371,4 @@ class Index:
         return {"reversed_decision_id": last["id"], "action": last["action"], **back}
 
     def _rows(self, table: str, rows: list[tuple]) -> DataFrame:
-        from cairnworks.sources.snapshots import SCHEMAS
-
         return self.spark.createDataFrame(rows, SCHEMAS[table])

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cairnworks.index import Index, chat_url
+from cairnworks.settings import load_env
 
 
 @pytest.fixture(scope="module")
@@ -73,6 +74,19 @@ def test_from_ingest_to_undo(spark, tree, tmp_path):
     assert index.undo()["needs_process_undo"]
     assert index.reverse_move()["path"] == "kitchen/notes_v1.md" and index.moves.where("status = 'pending'").count() == 1
 
+    planned = index.process()
+    assert planned.count() == 2 and (tree / "kitchen/notes_v1.md").exists()
+    (tmp_path / "dest/kitchen").mkdir(parents=True)
+    (tree / "kitchen/notes_v1.md").rename(tmp_path / "dest/kitchen/notes_v1.md")  # as a crash after the move leaves it
+    moved = index.process(dry_run=False)
+    assert moved.where("reason is null").count() == 2
+    assert (tmp_path / "hold/other/copy of notes.md").exists() and (tmp_path / "dest/kitchen/notes_v1.md").exists()
+    assert {r["status"] for r in index.moves.where("kind = 'dup'").collect()} == {"executed"}
+    with pytest.raises(ValueError):
+        index.restore(index.paths.where("status = 'purgatory'").first()["id"])
+    assert index.undo_process() and index.undo_process() and index.undo_process() is None
+    assert (tree / "kitchen/notes_v1.md").exists() and (tree / "other/copy of notes.md").exists()
+
     (tree / "empty0.tmp").unlink()
     report = index.reconcile(dry_run=True).where("not skipped_managed").first()
     assert (report["missing"], report["sample"]) == (1, ["empty0.tmp"]) and index.paths.count() == 13
@@ -83,5 +97,14 @@ def test_from_ingest_to_undo(spark, tree, tmp_path):
     assert Index(spark, str(tmp_path / "index")).paths.count() == 13
 
 
+def test_environment_files(tmp_path, monkeypatch):
+    (tmp_path / ".env").write_text("# c\nexport CW_A=1\nCW_B=\"x # y\"\nCW_C=z # note\nCW_D=\nbad line\n")
+    monkeypatch.setenv("CW_A", "kept")
+    for key in ("CW_B", "CW_C", "CW_D"):
+        monkeypatch.setenv(key, "")
+        monkeypatch.delenv(key)
+    assert load_env(str(tmp_path / ".env")) == {"CW_B": "x # y", "CW_C": "z", "CW_D": ""} and load_env(str(tmp_path / "none")) == {}
+
+
 def test_chat_urls():
     assert [chat_url(x) for x in ("localhost:1234", "http://h/v1/", "https://h/api")] == ["http://localhost:1234/v1", "http://h/v1", "https://h/api/v1"]
