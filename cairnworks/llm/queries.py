@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from cairnworks.llm import decontaminate, exact_dedup, extract, langid, line_dedup, packing, pii, simhash_dedup, tokens, warc
 
-
 #: The tokenizer that the contracts of op1 and op6 name.
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -95,7 +94,31 @@ QUERIES = {
 
 _FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+_WORDS = "regexp_extract_all(" + _FOLD + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
 ORACLES = {
+    "op3_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+        h AS (SELECT page_id, body, array_to_string(list_transform(string_split(sha1(body), ''),
+                lambda c: ['0000','0001','0010','0011','0100','0101','0110','0111','1000','1001','1010','1011','1100','1101','1110','1111'][strpos('0123456789abcdef', c)]), '') AS b,
+                min(page_id) OVER (PARTITION BY body) AS first FROM p)
+        SELECT page_id, CAST(octet_length(encode(body)) AS BIGINT) AS payload_bytes,
+               array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                 1 + 16 * CAST(substr(b, 5 * i + 1, 1) AS INT) + 8 * CAST(substr(b, 5 * i + 2, 1) AS INT) + 4 * CAST(substr(b, 5 * i + 3, 1) AS INT)
+                   + 2 * CAST(substr(b, 5 * i + 4, 1) AS INT) + CAST(substr(b, 5 * i + 5, 1) AS INT), 1)), '') AS payload_digest,
+               CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM h""",
+    "op4_decontamination": f"""
+        WITH d AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
+        i AS (SELECT CAST(item_id AS VARCHAR) AS id, {_WORDS} AS ws FROM benchmark WHERE item_id IS NOT NULL),
+        iw AS (SELECT id, least(13, len(ws)) AS k, unnest(list_transform(range(1, greatest(len(ws) - 12, 1) + 1), lambda x: array_to_string(ws[x:x + 12], ' '))) AS win FROM i WHERE len(ws) > 0),
+        ks AS (SELECT DISTINCT k FROM iw),
+        s AS (SELECT doc_id, k, ws, unnest(range(1, len(ws) - k + 2)) AS pos FROM d, ks WHERE len(ws) >= k),
+        dw AS (SELECT doc_id, k, pos, array_to_string(ws[pos:pos + k - 1], ' ') AS win FROM s),
+        m AS (SELECT dw.doc_id, dw.k, dw.pos, iw.id FROM dw JOIN iw ON iw.k = dw.k AND iw.win = dw.win),
+        hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(pos, pos + k)) AS p FROM m) GROUP BY doc_id),
+        it AS (SELECT doc_id, count(DISTINCT id) AS n_items, string_agg(DISTINCT id, ',' ORDER BY id) AS ids FROM m GROUP BY doc_id)
+        SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+               coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id)""",
     "op7_line_dedup": """
         WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
         l AS (SELECT doc_id, unnest(range(len(lines))) AS pos, unnest(lines) AS line FROM d),
