@@ -23,7 +23,7 @@ from cairnworks.llm.columns import whole_text
 #: Bytes of text encoded at a time, and characters of one piece of a long text.
 BATCH_BYTES = 4 << 20
 #: Bytes of text whose distinct words are looked up together.
-LOOKUP_BYTES = 12 << 20
+LOOKUP_BYTES = 4 << 20
 PIECE_CHARS = 1 << 18
 
 
@@ -108,124 +108,122 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 2048, id_col: str
     return map_batches(rows, make, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
 
 
-#: A white-space-free stretch of these characters alone is its own NFC form, and every library
-#: agrees on its letters, digits and lower case.
-_PLAIN = re.compile("[!-~¡-ɏ]+")
-#: The pre-tokenizer's pattern for such text: contractions, runs of letters, single digits, the rest.
-_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_²³¹¼-¾]+|[\d²³¹¼-¾]|(?:[^\s\w]|_)+")
-#: Entries of each table of a worker's encoder; a full table becomes the older half of itself.
+#: Text of these characters alone is its own NFC form, and every library agrees on its letters,
+#: digits, white space and lower case (İ, whose lower case is two characters, is left out).
+_PLAIN = "^[\t-\r\x20-~¡-įı-ɏ]*$"
+#: The pre-tokenizer's pattern: contractions, runs of letters, single digits, runs of the rest.
+_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\t-\r \p{L}\p{N}]+"
+#: Entries of a worker's table of encoded words; a full table is emptied.
 CACHE_ENTRIES = 400_000
 
 
-class _Remembered:
-    """A bounded table in two generations: entries not asked for since the last turn-over go."""
-
-    def __init__(self, most: int):
-        self.most, self.now, self.older = most, {}, {}
-
-    def missing(self, keys) -> list:
-        now, older = self.now, self.older
-        if len(now) > self.most:
-            self.now, self.older = now, older = {}, now
-        out = []
-        for k in keys:
-            if k not in now:
-                v = older.get(k)
-                if v is None:
-                    out.append(k)
-                else:
-                    now[k] = v
-        return out
-
-
 class IdEncoder:
     """Token ids of whole texts, for tokenizers that drop white space.
 
-    Arrow splits texts at ASCII white space and numbers the distinct stretches; stretches not
-    seen before are split into pre-tokens and only pre-tokens not seen before reach the library,
-    as one batch. Stretches with uncommon characters or with something like a special token go
-    to the library whole. ``fast`` is off for a tokenizer with another pre-tokenizer or that
-    keeps white space; then whole texts go to the library.
+    Arrow lower-cases texts, splits them into pre-tokens and numbers the distinct ones; only
+    pre-tokens not seen before reach the library, many to a call. Texts with uncommon characters
+    or with something like a special token go to the library whole. ``fast`` is off for a
+    tokenizer with another pre-tokenizer or that keeps white space; then all texts do.
     """
 
     def __init__(self, tokenizer: str):
         kind, self.model = load(tokenizer)
         if kind != "tokenizers":
             raise ValueError("ids come from a .json file of the tokenizers library")
-        self.fast = drops_white_space(self.model) and self._same_words()
         suffix = getattr(self.model.model, "end_of_word_suffix", None)
         vocab = self.model.get_vocab()
         self.word_ends = np.zeros(max(vocab.values(), default=0) + 1, bool)
         if suffix:
             self.word_ends[[i for token, i in vocab.items() if token.endswith(suffix)]] = True
-        self.words = _Remembered(CACHE_ENTRIES)
-        self.stretches = _Remembered(CACHE_ENTRIES)
+        self._forget()
+        self.fast = drops_white_space(self.model)
+        self.fast = self.fast and self._agrees()
+
+    def _forget(self) -> None:
+        """An empty table: words, and where each one's ids are in one array of ids."""
+        self.words = pa.array([], pa.large_string())
+        self.starts, self.lengths, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, "<u4")
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [array("I", x.ids).tobytes() for x in self.model.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _encode_words(self, words: list[str]) -> list[bytes]:
-        """Ids of pre-tokens: all in one text, cut after the ids that end a word; one by one where that can't be."""
+    def _agrees(self) -> bool:
+        """Whether words give what whole texts give, for every common character among others."""
+        texts = [f"a{c}b {c}{c} 1{c}\n{c}A'{c}" for c in map(chr, [*range(0x21, 0x7F), *range(0xA1, 0x250)])]
+        texts += ["it's we'll I'd 'RE 42nd x_y a1b2 café ½²", "".join(map(chr, range(0x20, 0x7F)))]
+        return [x.tobytes() for x in self.encode(texts)] == self._library(texts)
+
+    def _encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pre-tokens one after another, and the number of each.
+
+        All go in long texts, cut after the ids that end a word; one by one where that can't be.
+        """
         texts = [" ".join(words[k : k + 1000]) for k in range(0, len(words), 1000)]
         ids = np.frombuffer(b"".join(self._library(texts)), "<u4")
         ends = np.flatnonzero(self.word_ends[ids]) + 1
-        if len(ends) != len(words) or ends[-1] != len(ids):
-            return self._library(words)
-        held, ends = ids.tobytes(), (ends * 4).tolist()
-        return [held[a:b] for a, b in zip([0, *ends], ends, strict=False)]
-
-    def _same_words(self) -> bool:
-        sample = "".join(map(chr, range(0x21, 0x7F))) + " it's we'll I'd 42nd x_y a1b2 café ½² " + " ".join(map(chr, range(0xA1, 0x250)))
-        return self._library([sample])[0] == b"".join(self._library(_WORDS.findall(sample.lower())))
-
-    def _encode_stretches(self, fresh: list[str]) -> None:
-        known = self.stretches.now
-        split, whole = {}, []
-        for s in fresh:
-            if "<|" not in s and _PLAIN.fullmatch(s):
-                split[s] = _WORDS.findall(s.lower())
-            else:
-                whole.append(s)
-        new_words = self.words.missing({w for words in split.values() for w in words})
-        known_words = self.words.now
-        for encode, keys, table in ((self._encode_words, new_words, known_words), (self._library, whole, known)):
-            for first in range(0, len(keys), 50_000):
-                part = keys[first : first + 50_000]
-                table.update(zip(part, encode(part), strict=True))
-        for s, words in split.items():
-            known[s] = known_words[words[0]] if len(words) == 1 else b"".join(map(known_words.__getitem__, words))
-
-    def _look_up(self, texts: list[str]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-        """Ids of each distinct stretch, the texts' stretches as places in that list, and each text's last place."""
-        lists = pc.ascii_split_whitespace(pa.array(texts, pa.large_string()))
+        if len(ends) == len(words) and ends[-1] == len(ids):
+            return ids, np.diff(ends, prepend=0)
+        each = self._library(words)
+        return np.frombuffer(b"".join(each), "<u4"), np.fromiter(map(len, each), np.int64, len(each)) >> 2
+
+    def _look_up(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The texts' words as places in the table, and each text's last place among them."""
+        apart = pc.replace_substring_regex(pc.utf8_lower(texts), _WORDS, r"\0 ")
+        lists = pc.ascii_split_whitespace(apart)
         coded = lists.flatten().dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
-        fresh = self.stretches.missing(distinct)
-        if fresh:
-            self._encode_stretches(fresh)
-        return list(map(self.stretches.now.__getitem__, distinct)), coded.indices.to_numpy(), lists.offsets.to_numpy()[1:]
+        distinct = coded.dictionary
+        known = pc.index_in(distinct, value_set=self.words)
+        if len(self.words) + known.null_count > CACHE_ENTRIES:
+            self._forget()
+            known = pc.index_in(distinct, value_set=self.words)
+        place = known.fill_null(-1).to_numpy().astype(np.int64)
+        missing = np.flatnonzero(place < 0)
+        if len(missing):
+            fresh = distinct.take(pa.array(missing))
+            ids, lengths = self._encode_words(fresh.to_pylist())
+            place[missing] = len(self.words) + np.arange(len(missing))
+            self.words = pa.concat_arrays([self.words, fresh])
+            self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(lengths) - lengths])
+            self.lengths = np.concatenate([self.lengths, lengths])
+            self.ids = np.concatenate([self.ids, ids])
+        return place[coded.indices.to_numpy()], lists.offsets.to_numpy()[1:] - lists.offsets[0].as_py()
+
+    def _plain(self, texts: pa.Array) -> np.ndarray:
+        """Whether each text may go word by word."""
+        if not self.fast:
+            return np.zeros(len(texts), bool)
+        special = pc.match_substring(texts, "<|")
+        return pc.and_(pc.match_substring_regex(texts, _PLAIN), pc.invert(special)).to_numpy(zero_copy_only=False)
 
     def count(self, texts: list[str]) -> list[int]:
         """Numbers of ids, without putting the ids together."""
-        if not self.fast:
-            return [len(x) for x in self.model.encode_batch_fast(texts, add_special_tokens=False)]
-        found, at, ends = self._look_up(texts)
-        lengths = np.fromiter(map(len, found), np.int64, len(found)) >> 2
-        return np.diff(np.concatenate([[0], np.cumsum(lengths[at])])[np.concatenate([[0], ends])]).tolist()
+        held = pa.array(texts, pa.large_string())
+        plain = self._plain(held)
+        out = np.zeros(len(texts), np.int64)
+        if plain.any():
+            at, ends = self._look_up(held.filter(pa.array(plain)))
+            out[plain] = np.diff(np.concatenate([[0], np.cumsum(self.lengths[at])])[np.concatenate([[0], ends])])
+        rest = np.flatnonzero(~plain)
+        out[rest] = [len(x) for x in self.model.encode_batch_fast([texts[k] for k in rest], add_special_tokens=False)]
+        return out.tolist()
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Arrays of little-endian unsigned 32-bit ids, one for each text."""
-        if not self.fast:
-            return [np.frombuffer(x, "<u4") for x in self._library(texts)]
-        found, at, ends = self._look_up(texts)
-        lengths = np.fromiter(map(len, found), np.int64, len(found)) >> 2
-        ids = np.frombuffer(b"".join(found), "<u4")
-        places = np.cumsum(lengths) - lengths
-        n = lengths[at]
-        after = np.cumsum(n)
-        out = ids[np.repeat(places[at] - (after - n), n) + np.arange(after[-1] if len(after) else 0)]
-        bounds = np.concatenate([[0], after])[ends]
-        return np.split(out, bounds[:-1])
+        held = pa.array(texts, pa.large_string())
+        plain = self._plain(held)
+        out: list[np.ndarray] = [np.zeros(0, "<u4")] * len(texts)
+        if plain.any():
+            at, ends = self._look_up(held.filter(pa.array(plain)))
+            n = self.lengths[at]
+            after = np.cumsum(n)
+            all_ids = self.ids[np.repeat(self.starts[at] - (after - n), n) + np.arange(after[-1] if len(after) else 0)]
+            bounds = np.concatenate([[0], after])[ends]
+            for k, part in zip(np.flatnonzero(plain), np.split(all_ids, bounds[:-1]), strict=True):
+                out[k] = part
+        rest = np.flatnonzero(~plain)
+        for k, part in zip(rest, self._library([texts[k] for k in rest]), strict=True):
+            out[k] = np.frombuffer(part, "<u4")
+        return out
 
 
 def whole_ids(encoder: IdEncoder, text: str) -> np.ndarray:
