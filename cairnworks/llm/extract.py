@@ -21,7 +21,7 @@ from cairnworks.llm.batches import map_batches
 from cairnworks.llm.dom import Page, parse
 
 #: Invented pages that the model is trained on.
-TRAINING_PAGES = 700
+TRAINING_PAGES = 900
 #: Nodes scored at a time.
 NODES = 20_000
 

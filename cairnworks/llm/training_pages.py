@@ -70,7 +70,7 @@ class _Maker:
         return self.part("nav", "nav", self.links(3, 9))
 
     def header(self) -> str:
-        inner = self.r.choice((self.el("div", False, self.words(1, 3), "head"), self.el("p", False, self.words(2, 6)), self.el("h2", False, self.words(1, 3)), self.words(1, 4)))
+        inner = self.r.choice((self.el("div", False, self.words(1, 3), "head"), self.el("p", False, self.words(2, 6)), self.el(self.r.choice(("h1", "h1", "h2")), False, self.words(1, 3)), self.words(1, 4)))
         return self.part("header", "head", inner + (self.nav() if self.r.random() < 0.5 else ""))
 
     def footer(self) -> str:
@@ -113,7 +113,7 @@ class _Maker:
             elif x < 0.76:
                 parts.append(el(r.choice(("h2", "h3")), True, self.words(1, 6)))
             elif x < 0.82:
-                parts.append(el(r.choice(("ul", "ol")), True, "".join(el("li", True, self.sentences(1, 2)) for _ in range(r.randint(2, 5)))))
+                parts.append(el(r.choice(("ul", "ol")), True, "".join(el("li", True, self.sentences(1, 2) if r.random() < 0.5 else self.words(2, 9)) for _ in range(r.randint(2, 6)))))
             elif x < 0.86:
                 parts.append(el("blockquote", True, r.choice((self.sentences(1, 3), el("p", True, self.sentences(1, 3))))))
             elif x < 0.89:
@@ -151,10 +151,14 @@ class _Maker:
         if r.random() < 0.15:
             r.shuffle(before)
         body = "".join(before) + main + "".join(after)
-        if r.random() < 0.3:
+        layout = r.random()
+        if layout < 0.3:
             body = el("div", True, body, "wrap")
-        elif r.random() < 0.1 and not before:
-            body = self.article() + "".join(after)
+        elif layout < 0.42:  # no element of its own for the article
+            body = "".join(before[:1] if r.random() < 0.5 else []) + self.article() + "".join(after[-1:] if r.random() < 0.5 else [])
+        elif layout < 0.47:  # laid out by a table
+            cells = el("td", False, self.links(2, 6)) + el("td", True, self.article())
+            body = el("table", True, el("tr", True, cells) + (el("tr", False, el("td", False, self.words(2, 7))) if r.random() < 0.5 else ""))
         return f'<!DOCTYPE html><html data-mark="1"><head data-mark="0"><title>{self.words(2, 8)}</title></head><body data-mark="1">{body}</body></html>'
 
 
