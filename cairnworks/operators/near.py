@@ -6,7 +6,6 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from cairnworks.functions.bits import band, hamming, informative
 from cairnworks.functions.names import normal_stem, parent_dir
@@ -97,9 +96,3 @@ def image_clusters(signatures: DataFrame, clustered: DataFrame, radius: int = IM
 
 def oversize(components: DataFrame, most: int = MAX_IMAGE_CLUSTER) -> DataFrame:
     return components.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most)
-
-
-def latest(log: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """The last row of each key; tombstones (op = 'delete') then go."""
-    nth = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(order)))
-    return log.withColumn("__nth", nth).where("__nth = 1 and op != 'delete'").drop("__nth", "op")

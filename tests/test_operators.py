@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from cairnworks.functions import bits, names, text
 from cairnworks.functions.simhash import simhash_blake2, simhash_md5
-from cairnworks.operators import archives, clusters, ingest, moves, near, review, topics
+from cairnworks.operators import archives, clusters, ingest, moves, near, review, state, topics
 from cairnworks.operators.components import connected_components
 from cairnworks.sources import treewalk
 from cairnworks.streaming.ingest import FILES, PATHS, index_stream
@@ -259,7 +259,7 @@ def test_observation_keeps_purgatory(spark):
 
 def test_latest_row_wins_and_tombstones_go(spark):
     log = spark.createDataFrame([("a", 1, "put", "x"), ("a", 2, "put", "y"), ("b", 1, "put", "z"), ("b", 2, "delete", None)], "k string, seq int, op string, v string")
-    assert [tuple(r) for r in near.latest(log, ["k"], "seq").select("k", "v").collect()] == [("a", "y")]
+    assert [tuple(r) for r in state.latest(log, ["k"], "seq").select("k", "v").collect()] == [("a", "y")]
 
 
 def test_models_answer_through_a_callable(spark):
