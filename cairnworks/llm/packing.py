@@ -5,7 +5,8 @@ each length up to the capacity) is all that reaches the driver. Columns of the p
 patterns, multisets of lengths that fit a sequence. Multiplicative weights keep a price for each
 length; a knapsack dynamic program finds, for each length, the best-paid pattern with it.
 Lengths covered ahead of the schedule get cheaper, those behind it dearer. The fractional
-solution is rounded down and what is left is filled in by exact subset sums.
+solution is rounded down; what is left is filled in by exact subset sums or by best fit, whichever
+takes fewer sequences, and best fit alone is the bound that the result never exceeds.
 
 The plan, runs of equal sequences, has a size bounded by the capacity and the number of rounds,
 whatever the number of documents. Executors place each piece by its length and its rank among
@@ -15,6 +16,7 @@ the pieces of that length.
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_left, insort
 from collections import Counter
 
 import numpy as np
@@ -112,6 +114,17 @@ def pack_lengths(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tu
                 for i, n in pattern:
                     left[int(lengths[i])] -= times * n
         left = {k: n for k, n in left.items() if n}
+    rest = min((_filled(dict(left), capacity), _best_fit(left, capacity)), key=_sequences)
+    return min((plan + rest, _best_fit({k: n for k, n in histogram.items() if n > 0}, capacity)), key=_sequences)
+
+
+def _sequences(plan: list[tuple[int, dict[int, int]]]) -> int:
+    return sum(times for times, _ in plan)
+
+
+def _filled(left: dict[int, int], capacity: int) -> list[tuple[int, dict[int, int]]]:
+    """The longest piece with the best filling of its room, as often as there are pieces for it; and so on."""
+    plan = []
     while left:
         head = max(left)
         left[head] -= 1
@@ -131,6 +144,37 @@ def pack_lengths(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tu
     return plan
 
 
+def _best_fit(left: dict[int, int], capacity: int) -> list[tuple[int, dict[int, int]]]:
+    """Best fit, longest first, over runs of equal sequences: all pieces of a length at a time."""
+    runs: dict[int, list[tuple[tuple, int]]] = {}  # room: (lengths held, sequences)
+    rooms: list[int] = []  # sorted
+
+    def put(room: int, held: tuple, times: int) -> None:
+        if room not in runs:
+            runs[room] = []
+            insort(rooms, room)
+        runs[room].append((held, times))
+
+    for x in sorted(left, reverse=True):
+        n = left[x]
+        while n and (k := bisect_left(rooms, x)) < len(rooms):
+            room = rooms[k]
+            held, times = runs[room].pop()
+            if not runs[room]:
+                del runs[room], rooms[k]
+            used = min(n, times)
+            put(room - x, (*held, x), used)
+            if times > used:
+                put(room, held, times - used)
+            n -= used
+        most = capacity // x
+        if n // most:
+            put(capacity - most * x, (x,) * most, n // most)
+        if n % most:
+            put(capacity - n % most * x, (x,) * (n % most), 1)
+    return [(times, dict(Counter(held))) for some in runs.values() for held, times in some]
+
+
 def _slots(plan: list[tuple[int, dict[int, int]]]) -> dict[str, np.ndarray]:
     """For each run and length: its ranks among that length's pieces, and where they go."""
     rows, used, sequence = [], Counter(), 0
