@@ -4,25 +4,36 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import deque
+from collections.abc import Iterator
+from itertools import islice
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairnworks.functions.text import shingles, tokens
 
-#: Words of a shingle, and characters of a text that count.
+#: Words of a shingle, and shingles that are made at a time.
 SHINGLE_WORDS = 4
+CHUNK = 16_384
+#: A limit for ``chars``: characters of a text that count. Whole texts count where none is given.
 TEXT_CHARS = 262_144
 
 
-def simhash_md5(rows: DataFrame, key: str, text: str, k: int = SHINGLE_WORDS) -> DataFrame:
+def simhash_md5(rows: DataFrame, key: str, text: str, k: int = SHINGLE_WORDS, chars: int | None = None, chunk: int = CHUNK) -> DataFrame:
     """Rows (key, sig): 64 conditional sums over shingle hashes, combined before the shuffle.
 
     A shingle's feature is the first half of its MD5. Text without words gives 0; keys are
-    taken to be unique.
+    taken to be unique. The words of a long text are dealt out in runs that overlap by k - 1, so
+    that shingles are only made of one run at a time.
     """
-    words = rows.select(key, tokens(F.substring(F.coalesce(F.col(text), F.lit("")), 1, TEXT_CHARS)).alias("words"))
+    whole = F.coalesce(F.col(text), F.lit(""))
+    words = rows.select(key, tokens(whole if chars is None else F.substring(whole, 1, chars)).alias("words"))
+    last = F.floor(F.greatest(F.size("words") - k, F.lit(0)) / chunk).cast("int")
+    runs = F.transform(F.sequence(F.lit(0), last), lambda i: F.slice("words", i * chunk + 1, F.lit(chunk + k - 1)))
+    words = words.select(key, F.explode(runs).alias("words"))
     each = words.select(key, F.explode_outer(shingles(F.col("words"), k)).alias("s"))
     each = each.select(key, F.conv(F.substring(F.md5("s"), 1, 16), 16, -10).cast("long").alias("h"))
     bit = lambda b: F.call_function("shiftrightunsigned", F.col("h"), F.lit(b)).bitwiseAND(1)
@@ -37,27 +48,34 @@ def simhash_md5(rows: DataFrame, key: str, text: str, k: int = SHINGLE_WORDS) ->
 _WORD = re.compile(r"\w+")
 
 
-def simhash_blake2(text: str, k: int = SHINGLE_WORDS) -> int:
-    """Unsigned signature with 64-bit BLAKE2b features, big-endian."""
-    words = _WORD.findall(text.lower())
-    if not words:
-        return 0
-    grams = [" ".join(words[i : i + k]) for i in range(max(1, len(words) - k + 1))]
-    counts = [0] * 64
-    for gram in grams:
-        h = int.from_bytes(hashlib.blake2b(gram.encode(), digest_size=8).digest(), "big")
-        for b in range(64):
-            counts[b] += h >> b & 1
-    return sum(1 << b for b in range(64) if 2 * counts[b] > len(grams))
+def _grams(text: str, k: int) -> Iterator[str]:
+    window: deque[str] = deque(maxlen=k)
+    for word in _WORD.finditer(text.lower()):
+        window.append(word[0])
+        if len(window) == k:
+            yield " ".join(window)
+    if 0 < len(window) < k:
+        yield " ".join(window)
 
 
-def simhash_arrow(rows: DataFrame, key: str, text: str, k: int = SHINGLE_WORDS) -> DataFrame:
+def simhash_blake2(text: str, k: int = SHINGLE_WORDS, chunk: int = CHUNK) -> int:
+    """Unsigned signature with 64-bit BLAKE2b features, big-endian; 0 without words."""
+    grams, counts, n = _grams(text, k), np.zeros(64, np.int64), 0
+    while some := list(islice(grams, chunk)):
+        features = b"".join(hashlib.blake2b(gram.encode(), digest_size=8).digest() for gram in some)
+        bits = np.unpackbits(np.frombuffer(features, np.uint8).reshape(-1, 8)[:, ::-1], axis=1, bitorder="little")
+        counts += bits.sum(axis=0, dtype=np.int64)
+        n += len(some)
+    return sum(1 << b for b in range(64) if 2 * counts[b] > n)
+
+
+def simhash_arrow(rows: DataFrame, key: str, text: str, k: int = SHINGLE_WORDS, chars: int | None = None) -> DataFrame:
     """Rows (key, sig) with BLAKE2b features, one Arrow batch at a time."""
     kind = dict(rows.dtypes)[key]
 
     def run(batches):
         for batch in batches:
-            sigs = [simhash_blake2((t.as_py() or "")[:TEXT_CHARS], k) for t in batch.column(1)]
+            sigs = [simhash_blake2((t.as_py() or "")[:chars], k) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s - (1 << 64) if s >> 63 else s for s in sigs], pa.int64())], names=[key, "sig"])
 
     return rows.select(key, text).mapInArrow(run, f"{key} {kind}, sig long")

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cairnworks.functions import bits, names, text
-from cairnworks.functions.simhash import simhash_blake2, simhash_md5
+from cairnworks.functions.simhash import simhash_arrow, simhash_blake2, simhash_md5
 from cairnworks.operators import archives, clusters, ingest, moves, near, review, state, topics
 from cairnworks.operators.components import connected_components
 from cairnworks.sources import treewalk
@@ -82,6 +82,30 @@ def test_simhash_without_words_and_features(spark):
     assert simhash_blake2("One two three four five SIX") == slow("one two three four five six") and simhash_blake2("x") == slow("x")
 
 
+def test_signatures_are_of_whole_texts(spark):
+    """What follows 262,144 characters counts, and chunks change nothing."""
+
+    def slow(text, feature):
+        words = text.split()
+        grams = [" ".join(words[i : i + 4]) for i in range(max(1, len(words) - 3))]
+        hs = [int.from_bytes(feature(g.encode()), "big") for g in grams]
+        return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
+
+    md5 = lambda g: hashlib.md5(g).digest()[:8]
+    blake2 = lambda g: hashlib.blake2b(g, digest_size=8).digest()
+    words = lambda seed, n: " ".join(str(random.Random(seed).getrandbits(40) + i) for i in range(n))
+    opening = "same opening " * 21_000
+    texts = {"a": opening + words(1, 60_000), "b": opening + words(2, 60_000)} | {f"s{n}": words(3, n) for n in range(1, 14)}
+    assert texts["a"][:262_144] == texts["b"][:262_144]
+    df = spark.createDataFrame(list(texts.items()), "k string, t string")
+    plain = {k: slow(t, md5) for k, t in texts.items()}
+    got = lambda rows: {r["k"]: r["sig"] & (2**64 - 1) for r in rows.collect()}
+    assert got(simhash_md5(df, "k", "t")) == plain and plain["a"] != plain["b"]
+    assert got(simhash_md5(df.where("k like 's%'"), "k", "t", chunk=3)) == {k: v for k, v in plain.items() if k[0] == "s"}
+    assert got(simhash_arrow(df, "k", "t")) == {k: slow(t, blake2) for k, t in texts.items()}
+    assert simhash_blake2(texts["s13"], chunk=3) == slow(texts["s13"], blake2)
+
+
 def test_components_of_chain_star_and_loops(spark):
     edges = [(i, i + 1) for i in range(60)] + [(500, 100 + i) for i in range(40)] + [(900, 900), (1000, 1001), (1000, 1001), (None, 5)]
     got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "src long, dst long")).collect()}
