@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairnworks.functions.bits import band, hamming, informative
+from cairnworks.functions.bits import band, hamming, informative, to_hex
 from cairnworks.functions.names import normal_stem, parent_dir
 from cairnworks.operators.clusters import as_clusters, without_overlap
 from cairnworks.operators.components import connected_components
@@ -49,25 +49,53 @@ def document_pairs(paths: DataFrame, signatures: DataFrame, radius: int = DOC_RA
     return block_pairs(seen.select(F.explode(keys).alias("block"), "hash", "sig"), radius)
 
 
-def band_pairs(signatures: DataFrame, radius: int = IMAGE_RADIUS, bands: int = BANDS, cap: int = BUCKET_CAP) -> DataFrame:
+def band_pairs(signatures: DataFrame, radius: int = IMAGE_RADIUS, bands: int = BANDS, tile: int = TILE) -> DataFrame:
     """Pairs of equal aspect with a band in common and within the radius.
 
-    Signatures that say nothing are left out. A bucket over ``cap`` is skipped, as the operator
-    is defined; see :func:`skipped_buckets`.
+    Signatures that say nothing are left out. Equal signatures of an aspect are compared once;
+    the pairs of their members are put together tile by tile.
     """
-    rows = _buckets(signatures, bands).where(F.col("n") <= cap)
-    return block_pairs(rows.select(F.concat_ws("|", "aspect", "i", "value").alias("block"), "hash", "sig"), radius)
+    kept, close = _close_shapes(signatures, radius, bands, tile)
+    equal = block_pairs(kept.select(F.col("shape").alias("block"), "hash", "sig"), radius, tile)
+    tiles = kept.groupBy("shape").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("tiles"))
+    members = kept.join(tiles, "shape").select("shape", F.pmod(F.xxhash64("hash"), F.col("tiles")).cast("int").alias("tile"), "hash")
+    for side in ("a", "b"):
+        close = close.join(tiles.select(F.col("shape").alias(side), "tiles"), side)
+        close = close.withColumn(f"{side}_tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).drop("tiles")
+    close = materialize(close, "close-shapes")
+    keys = ["a", "a_tile", "b", "b_tile", "distance"]
+    left, right = (close.join(members.select(F.col("shape").alias(s), F.col("tile").alias(f"{s}_tile"), F.col("hash").alias(f"{s}_hash")), [s, f"{s}_tile"]) for s in ("a", "b"))
+    across = left.join(right, keys).where("a_hash != b_hash")
+    across = across.select(F.least("a_hash", "b_hash").alias("a"), F.greatest("a_hash", "b_hash").alias("b"), "distance")
+    return equal.union(across).distinct()
+
+
+def band_links(signatures: DataFrame, radius: int = IMAGE_RADIUS, bands: int = BANDS, tile: int = TILE) -> DataFrame:
+    """Links (a, b) with the components of :func:`band_pairs`: a star for each group of equal signatures."""
+    kept, close = _close_shapes(signatures, radius, bands, tile)
+    first = kept.groupBy("shape").agg(F.min("hash").alias("first"))
+    stars = kept.join(first, "shape").where("hash != first").select(F.col("first").alias("a"), F.col("hash").alias("b"))
+    ends = close.join(first.select(F.col("shape").alias("a"), F.col("first").alias("x")), "a").join(first.select(F.col("shape").alias("b"), F.col("first").alias("y")), "b")
+    return stars.union(ends.where("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))).distinct()
+
+
+def _close_shapes(signatures: DataFrame, radius: int, bands: int, tile: int) -> tuple[DataFrame, DataFrame]:
+    """(hash, sig, aspect, shape) of what is compared, and pairs (a, b, distance) of shapes: signatures of an aspect."""
+    kept = signatures.where(informative(F.col("sig")) & F.col("aspect").isNotNull()).select("hash", "sig", "aspect").distinct()
+    kept = materialize(kept.withColumn("shape", F.concat_ws("|", "aspect", to_hex(F.col("sig")))), "shapes")
+    shapes = kept.select(F.col("shape").alias("hash"), "sig", "aspect").distinct()
+    rows = _banded(shapes, bands).select(F.concat_ws("|", "aspect", "i", "value").alias("block"), "hash", "sig")
+    return kept, block_pairs(rows, radius, tile)
 
 
 def skipped_buckets(signatures: DataFrame, bands: int = BANDS, cap: int = BUCKET_CAP) -> DataFrame:
-    return _buckets(signatures, bands).where(F.col("n") > cap).select("aspect", "i", "value", "n").distinct()
+    """Buckets over ``cap``, which the reference skips; nothing here does."""
+    rows = _banded(signatures.where(informative(F.col("sig"))).select("hash", "sig", "aspect"), bands)
+    return rows.groupBy("aspect", "i", "value").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > cap)
 
 
-def _buckets(signatures: DataFrame, bands: int) -> DataFrame:
-    kept = signatures.where(informative(F.col("sig"))).select("hash", "sig", "aspect")
-    rows = kept.select("hash", "sig", "aspect", F.posexplode(F.array(*[band(F.col("sig"), F.lit(i)) for i in range(bands)])).alias("i", "value"))
-    counts = rows.groupBy("aspect", "i", "value").agg(F.count(F.lit(1)).alias("n"))
-    return rows.join(counts, ["aspect", "i", "value"])
+def _banded(rows: DataFrame, bands: int) -> DataFrame:
+    return rows.select("hash", "sig", "aspect", F.posexplode(F.array(*[band(F.col("sig"), F.lit(i)) for i in range(bands)])).alias("i", "value"))
 
 
 def components_of(pairs: DataFrame) -> DataFrame:
@@ -90,7 +118,7 @@ def document_clusters(paths: DataFrame, signatures: DataFrame, clustered: DataFr
 
 
 def image_clusters(signatures: DataFrame, clustered: DataFrame, radius: int = IMAGE_RADIUS) -> DataFrame:
-    found = components_of(band_pairs(signatures, radius))
+    found = components_of(band_links(signatures, radius))
     return as_clusters(without_overlap(found, clustered), "near_image", "similar images", MAX_IMAGE_CLUSTER)
 
 

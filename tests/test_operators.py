@@ -14,6 +14,7 @@ from cairnworks.functions import bits, names, text
 from cairnworks.functions.simhash import simhash_arrow, simhash_blake2, simhash_md5
 from cairnworks.operators import archives, clusters, ingest, moves, near, review, state, topics
 from cairnworks.operators.components import connected_components
+from cairnworks.scratch import materialize
 from cairnworks.sources import treewalk
 from cairnworks.streaming.ingest import FILES, PATHS, index_stream
 
@@ -136,6 +137,27 @@ def test_bands_find_every_close_pair_and_skip_blanks(spark):
     assert near.skipped_buckets(df, cap=1).count() > 0
 
 
+def test_full_buckets_lose_no_pair(spark):
+    """More than 4000 signatures in a bucket, and copies in several tiles."""
+    r = random.Random(6)
+    sig = lambda x: x - (1 << 64) if x >> 63 else x
+    full = [0x5A | r.getrandbits(56) << 8 for _ in range(4100)]  # one low byte
+    full += [s ^ 1 << 63 for s in full[:20]]
+    base = r.getrandbits(64)
+    few = [base] * 40 + [base ^ 1] * 30 + [base ^ 2] + [base ^ (1 << 64) - 1]
+    rows = [(f"f{i:04d}", "wide", sig(s)) for i, s in enumerate(full)] + [(f"e{i:02d}", "square", sig(s)) for i, s in enumerate(few)]
+    df = materialize(spark.createDataFrame(rows, "hash string, aspect string, sig long"), "test-signatures")
+    assert near.skipped_buckets(df.where("aspect = 'wide'")).count() == 1
+    wide = {(x["a"], x["b"], x["distance"]) for x in near.band_pairs(df.where("aspect = 'wide'"), bands=1).collect()}
+    pops = lambda i, j: bin(full[i] ^ full[j]).count("1")
+    assert {(f"f{i:04d}", f"f{4100 + i:04d}", 1) for i in range(20)} <= wide and all(pops(int(a[1:]), int(b[1:])) == d <= 6 for a, b, d in wide)
+    square = df.where("aspect = 'square'")
+    want = {(f"e{i:02d}", f"e{j:02d}", d) for i in range(72) for j in range(i + 1, 72) if (d := bin(few[i] ^ few[j]).count("1")) <= 6}
+    assert {(x["a"], x["b"], x["distance"]) for x in near.band_pairs(square, tile=16).collect()} == want
+    groups = {frozenset(x["hs"]) for x in near.components_of(near.band_links(square)).groupBy("component").agg(F.collect_set("hash").alias("hs")).collect()}
+    assert groups == {frozenset(f"e{i:02d}" for i in range(71))}
+
+
 def test_version_chain_is_one_cluster_and_apart_from_noise(spark):
     sig = lambda *on: sum(1 << b for b in on)
     signatures = [("a", sig(*range(20))), ("b", sig(*range(30))), ("c", sig(*range(44))), ("n", sig(*range(20, 64)) - (1 << 64)), ("x", sig(*range(20)))]
