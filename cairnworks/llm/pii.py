@@ -35,7 +35,7 @@ BASE = {
 LOOSE = {
     "email": (
         r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?(?:\[at\]|\(at\)|\{at\}|＠| at ) ?[A-Za-z0-9-]{1,63}+(?: ?(?:\.|\[dot\]|\(dot\)|\{dot\}| dot ) ?[A-Za-z0-9-]{1,63}+){1,8}+",
-        r"(?i)[\[({]at[\])}]|＠| at .{1,63} dot ",
+        r"(?i)[\[({]at[\])}]|＠| at  ?[A-Za-z0-9-]{1,63}+ ?(?:\.|\[dot\]|\(dot\)|\{dot\}| dot ) ?[A-Za-z0-9-]",
     ),
     "ip": (
         r"(?<![0-9.])[0-9]{1,3}+(?: ?(?:\[\.\]|\(\.\)|\[dot\]|\(dot\)) ?[0-9]{1,3}+){3}+(?![0-9])|(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}+:){7}+[0-9A-Fa-f]{1,4}+(?![0-9A-Za-z:])",

@@ -312,6 +312,15 @@ def test_patterns_discover_unseen_identifiers(spark):
     assert not got[22]["spans"] and not got[23]["spans"] and not got[50]["spans"]
 
 
+@pytest.mark.parametrize("words", ["jane at example (dot) org", "jane at example [dot] org", "jane at example {dot} org", "jane at example.org", "jane at example dot org", "jane at  example . org", "jane ＠ example.org", "jane {at} example.org"])
+def test_every_joiner_is_a_candidate(spark, words):
+    docs = spark.createDataFrame([(1, f"write to {words}")], "doc_id long, text string")
+    assert [s["value"] for s in pii.find(docs).first()["loose"]] == [words]
+    rows = [(i, f"mail: user{i}@host{i}.org") for i in range(12)] + [(20, f"mail: {words}")]
+    got = {r["doc_id"]: r for r in pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [(s["kind"], s["value"]) for s in got[20]["spans"]] == [(0, words)]
+
+
 # --- op3
 
 
