@@ -14,6 +14,12 @@ _ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-\w:.]*)\s*=\s*(?:"([^"]*)"|'([^']*)'|([
 
 #: Elements whose content is no text of the page.
 RAW = frozenset("script style noscript template svg math title textarea iframe object canvas select datalist audio video".split())
+#: Those of them whose content runs to the first end tag, or to the end of the page.
+_TO_END = frozenset("script style title textarea iframe".split())
+#: Those that a start tag ending in a slash leaves empty; inside them that holds for every tag.
+_FOREIGN = frozenset(("svg", "math"))
+#: Those that run to their own end tag, over others of their kind; without one only the start tag goes.
+_SPANNED = RAW - _TO_END - {"noscript"}
 #: Elements that start a block of their own.
 BLOCKS = frozenset(
     "html head body main article section div p nav header footer aside form fieldset ul ol li dl dt dd table caption thead tbody tfoot tr td th "
@@ -38,6 +44,41 @@ _ENDS = {
 _P_LIMITS = frozenset("article section div main td th li blockquote body form aside nav header footer figure button".split())
 
 
+def _end_tag(source: str, tag: str, position: int) -> int:
+    """Where the first end tag behind ``position`` ends, or -1."""
+    end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(source, position)
+    return end.end() if end else -1
+
+
+def _spans(source: str, position: int) -> dict[int, int]:
+    """Ends of the elements in _SPANNED that have an end tag, by the ends of their start tags."""
+    starts: dict[str, list[int]] = {tag: [] for tag in _SPANNED}
+    ends: dict[int, int] = {}
+    endless: set[str] = set()
+    while found := _TOKEN.search(source, position):
+        position = found.end()
+        tag = (found[2] or found[5] or "").lower()
+        if tag not in RAW:
+            continue
+        if found[1] or found[4]:
+            if starts.get(tag):
+                ends[starts[tag].pop()] = position
+            continue
+        foreign = any(starts[x] for x in _FOREIGN)
+        if (foreign or tag in _FOREIGN) and (found[3] if found[2] else found[6]).endswith("/"):
+            continue
+        if tag in _SPANNED:
+            starts[tag].append(position)
+        elif tag in _TO_END and tag not in endless and not (foreign and tag == "title"):
+            if (end := _end_tag(source, tag, position)) >= 0:
+                position = end
+            elif foreign:
+                endless.add(tag)
+            else:
+                break
+    return ends
+
+
 @dataclass
 class Page:
     """Block nodes by number (0 is the page itself) and text blocks."""
@@ -58,7 +99,8 @@ def parse(source: str) -> Page:
 
     Character references are decoded, white space inside a block becomes one space, empty blocks
     go. Scripts, styles, comments and declarations leave nothing. Unclosed elements end with
-    their parent; end tags without a start are ignored.
+    their parent; end tags without a start are ignored. Of elements in RAW without an end tag only
+    those in _TO_END take the rest of the page.
     """
     page = Page()
     stack: list[int] = [0]
@@ -66,6 +108,8 @@ def parse(source: str) -> Page:
     pieces: list[str] = []
     linked, in_link = 0, False
     tags, position, size = page.tags, 0, len(source)
+    spans: dict[int, int] | None = None
+    noscript_ends = True
 
     def flush() -> None:
         nonlocal linked
@@ -123,8 +167,17 @@ def parse(source: str) -> Page:
                     in_link = False
             continue
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(source, position)
-            position = end.end() if end else size
+            if tag in _TO_END:
+                end = _end_tag(source, tag, position)
+                position = end if end >= 0 else size
+            elif tag == "noscript":
+                end = _end_tag(source, tag, position) if noscript_ends else -1
+                noscript_ends = end >= 0
+                position = max(end, position)
+            elif tag not in _FOREIGN or not rest.endswith("/"):
+                if spans is None:
+                    spans = _spans(source, found.start())
+                position = spans.get(position, position)
             if tag in ("textarea", "select"):
                 page.inputs[stack[-1]] += 1
             continue

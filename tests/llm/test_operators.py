@@ -381,6 +381,38 @@ def test_parser_and_rows(spark):
     assert extract.main_text(pages.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(
+    "source, texts",
+    [
+        ("<header><svg class='i'/>top</header><p>story</p>", ["top", "story"]),
+        ("<svg/><p>story</p><svg><text>no</text></svg><p>more</p>", ["story", "more"]),
+        ("<math/><p>story</p>", ["story"]),
+        ("<svg><svg/><title>no</title><svg>no</svg>no</svg><p>story</p>", ["story"]),
+        ("<svg><title/>no<style/></svg><p>story</p>", ["story"]),
+        ("<object data=x><p>story</p><object>no</object><p>more</p>", ["story", "more"]),
+        ("<select><option>a<p>story</p><select><option>no</select><p>more</p>", ["a", "story", "more"]),
+        ("<video src=x><p>story</p>", ["story"]),
+        ("<noscript><p>story</p>", ["story"]),
+        ("<noscript><!-- no</noscript><p>story</p>", ["story"]),
+        ("<template>no<script>'</template>'</script>no</template><p>story</p>", ["story"]),
+        ("<p>story</p><script>no<p>no</p>", ["story"]),
+    ],
+)
+def test_parser_drops_no_more_than_the_element(source, texts):
+    assert parse(source).texts == texts
+
+
+def test_unclosed_elements_take_linear_time():
+    assert len(parse("<select><svg><object><noscript><p>x</p>" * 5000).texts) == 5000
+
+
+def test_main_text_behind_a_self_closed_icon(spark):
+    story = "<article><h1>Title here</h1><p>Some sentence of the story. And another one, with more words.</p></article>"
+    rows = [(1, "u", "<header><svg class='i'/></header>" + story), (2, "u", story)]
+    got = {r["page_id"]: r["text"] for r in extract.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[1] == got[2] == "Title here Some sentence of the story. And another one, with more words."
+
+
 def test_decoding_never_keeps_below_a_dropped_node():
     r = np.random.default_rng(1)
     for source in training_pages.pages(20, seed=5):
