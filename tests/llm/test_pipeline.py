@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 
-from test_operators import lower, slow_hits, slow_print
+from test_training_operators import lower, slow_hits, slow_print
 
 import corpus_pipeline
 
