@@ -1,22 +1,15 @@
 """Packing documents into sequences by a configuration linear program.
 
 Pieces of documents are known by their lengths alone, so the histogram of lengths (one count for
-each length up to the capacity) is all that reaches the driver. Columns of the program are
-patterns, multisets of lengths that fit a sequence. Multiplicative weights keep a price for each
-length; a knapsack dynamic program finds, for each length, the best-paid pattern with it.
-Lengths covered ahead of the schedule get cheaper, those behind it dearer. The fractional
-solution is rounded down; what is left is filled in by exact subset sums or by best fit, whichever
-takes fewer sequences, and best fit alone is the bound that the result never exceeds.
-
-The plan, runs of equal sequences, has a size bounded by the capacity and the number of rounds,
-whatever the number of documents. Executors place each piece by its length and its rank among
-the pieces of that length.
+each length up to the capacity) is all that reaches the driver, where the program of
+``configuration_lp`` is solved and rounded. The plan, runs of equal sequences, has a size bounded by
+the capacity, whatever the number of documents. Executors place each piece by its length and its
+rank among the pieces of that length.
 """
 
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_left, insort
 from collections import Counter
 
 import numpy as np
@@ -25,157 +18,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from cairnworks.llm import configuration_lp
 from cairnworks.llm.batches import by_bytes, map_batches
 from cairnworks.llm.columns import whole_text
+from cairnworks.llm.configuration_lp import Plan
 from cairnworks.llm.tokens import LOOKUP_BYTES, IdEncoder, whole_ids
 from cairnworks.scratch import materialize
 
 CAPACITY = 4096
 END_ID = 1
-ROUNDS = 24
-#: How strongly prices answer to coverage.
-ETA = 3.0
-
-
-def _knapsack(lengths: np.ndarray, prices: np.ndarray, capacity: int) -> np.ndarray:
-    """choice[c]: index of a length of the best-paid multiset of at most c tokens, -1 where a token stays free."""
-    best, choice = np.zeros(capacity + 1), np.full(capacity + 1, -1)
-    fitting = np.searchsorted(lengths, np.arange(capacity + 1), side="right")
-    for c in range(1, capacity + 1):
-        best[c] = best[c - 1]
-        if k := fitting[c]:
-            paid = best[c - lengths[:k]] + prices[:k]
-            j = int(paid.argmax())
-            if paid[j] > best[c]:
-                best[c], choice[c] = paid[j], j
-    return choice
-
 
-def _fractional(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> dict[tuple, float]:
-    """Patterns, tuples of (index of length, copies), and how often each is used."""
-    covered, weights, used = np.zeros(len(lengths)), np.ones(len(lengths)), Counter()
-    for t in range(1, ROUNDS + 1):
-        choice = _knapsack(lengths, lengths * weights, capacity)
-        goal = counts * (t / ROUNDS)
-        for i in range(len(lengths) - 1, -1, -1):
-            if covered[i] >= goal[i]:
-                continue
-            pattern, c = Counter({i: 1}), capacity - int(lengths[i])
-            while c > 0:
-                if (j := int(choice[c])) < 0:
-                    c -= 1
-                else:
-                    pattern[j] += 1
-                    c -= int(lengths[j])
-            amount = min((goal[i] - covered[i]) / pattern[i], *((counts[j] - covered[j]) / n for j, n in pattern.items()))
-            if amount > 0:
-                for j, n in pattern.items():
-                    covered[j] += amount * n
-                used[tuple(sorted(pattern.items()))] += amount
-        weights *= np.exp(-ETA * (covered / counts - t / ROUNDS))
-        weights /= weights.max()
-    return used
 
-
-def _fill(left: dict[int, int], room: int, few: int | None) -> list[int]:
-    """Lengths, within the counts of ``left``, of the largest sum up to ``room``; long ones are preferred."""
-    sizes = sorted(x for x in left if x <= room)
-    if few and len(sizes) > few:
-        common = sorted(sizes, key=lambda x: -left[x])[: few // 2]
-        sizes = sorted({*common, *sizes[: few // 4], *sizes[-few // 4 :]})
-    mask, reach, steps = (1 << room + 1) - 1, 1, []
-    for x in sizes:
-        n, k = min(left[x], room // x), 1
-        while n > 0:
-            k = min(k, n)
-            steps.append((x, k, reach))
-            reach |= reach << x * k & mask
-            n, k = n - k, 2 * k
-    s, out = reach.bit_length() - 1, []
-    for x, k, before in reversed(steps):
-        if s >= x * k and before >> s - x * k & 1:
-            out += [x] * k
-            s -= x * k
-    return out
-
-
-def pack_lengths(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, dict[int, int]]]:
+def pack_lengths(histogram: dict[int, int], capacity: int = CAPACITY) -> Plan:
     """Runs (number of sequences, {length: copies in each}) that hold exactly the histogram's pieces."""
-    plan = []
-    left = {int(k): int(n) for k, n in histogram.items() if n > 0}
-    if full := left.pop(capacity, 0):
-        plan.append((full, {capacity: 1}))
-    if left:
-        lengths = np.array(sorted(left))
-        counts = np.array([left[x] for x in lengths.tolist()], float)
-        for pattern, amount in _fractional(lengths, counts, capacity).items():
-            if (times := int(amount + 1e-9)) > 0:
-                plan.append((times, {int(lengths[i]): n for i, n in pattern}))
-                for i, n in pattern:
-                    left[int(lengths[i])] -= times * n
-        left = {k: n for k, n in left.items() if n}
-    rest = min((_filled(dict(left), capacity), _best_fit(left, capacity)), key=_sequences)
-    return min((plan + rest, _best_fit({k: n for k, n in histogram.items() if n > 0}, capacity)), key=_sequences)
-
-
-def _sequences(plan: list[tuple[int, dict[int, int]]]) -> int:
-    return sum(times for times, _ in plan)
-
-
-def _filled(left: dict[int, int], capacity: int) -> list[tuple[int, dict[int, int]]]:
-    """The longest piece with the best filling of its room, as often as there are pieces for it; and so on."""
-    plan = []
-    while left:
-        head = max(left)
-        left[head] -= 1
-        rest = {k: n for k, n in left.items() if n}
-        room = capacity - head
-        chosen = _fill(rest, room, 160)
-        if sum(chosen) < room:
-            chosen = _fill(rest, room, None)
-        left[head] += 1
-        pattern = Counter([head, *chosen])
-        times = min(left[x] // n for x, n in pattern.items())
-        plan.append((times, dict(pattern)))
-        for x, n in pattern.items():
-            left[x] -= times * n
-            if not left[x]:
-                del left[x]
-    return plan
-
-
-def _best_fit(left: dict[int, int], capacity: int) -> list[tuple[int, dict[int, int]]]:
-    """Best fit, longest first, over runs of equal sequences: all pieces of a length at a time."""
-    runs: dict[int, list[tuple[tuple, int]]] = {}  # room: (lengths held, sequences)
-    rooms: list[int] = []  # sorted
-
-    def put(room: int, held: tuple, times: int) -> None:
-        if room not in runs:
-            runs[room] = []
-            insort(rooms, room)
-        runs[room].append((held, times))
-
-    for x in sorted(left, reverse=True):
-        n = left[x]
-        while n and (k := bisect_left(rooms, x)) < len(rooms):
-            room = rooms[k]
-            held, times = runs[room].pop()
-            if not runs[room]:
-                del runs[room], rooms[k]
-            used = min(n, times)
-            put(room - x, (*held, x), used)
-            if times > used:
-                put(room, held, times - used)
-            n -= used
-        most = capacity // x
-        if n // most:
-            put(capacity - most * x, (x,) * most, n // most)
-        if n % most:
-            put(capacity - n % most * x, (x,) * (n % most), 1)
-    return [(times, dict(Counter(held))) for some in runs.values() for held, times in some]
+    return configuration_lp.pack_lengths(histogram, capacity)
 
 
-def _slots(plan: list[tuple[int, dict[int, int]]]) -> dict[str, np.ndarray]:
+def _slots(plan: Plan) -> dict[str, np.ndarray]:
     """For each run and length: its ranks among that length's pieces, and where they go."""
     rows, used, sequence = [], Counter(), 0
     for times, pattern in plan:

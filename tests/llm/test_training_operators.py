@@ -462,3 +462,54 @@ def test_temperature_calibrates():
     p = np.exp(z) / np.exp(z).sum(1, keepdims=True)
     y = np.array([r.choice(3, p=q) for q in p])
     assert abs(langid.fit_temperature(5 * z, y) - 5) < 0.6
+
+
+# --- op1, the program
+
+
+def test_covers_and_bounds_of_the_program():
+    from cairnworks.llm import configuration_lp as lp
+
+    r = np.random.default_rng(4)
+    for lengths in (r.integers(1, 65, 300), r.integers(20, 33, 300), r.integers(11, 29, 500), np.full(70, 22)):
+        histogram = Counter(lengths.tolist())
+        x, n = np.array(sorted(histogram)), np.array([histogram[k] for k in sorted(histogram)], float)
+        found = lp.solve(x, n, 64)
+        covered = np.zeros(len(x))
+        for pattern, amount in zip(found.patterns, found.amounts, strict=True):
+            assert amount >= 0 and sum(int(x[i]) * c for i, c in pattern.items()) <= 64 and all(c <= n[i] for i, c in pattern.items())
+            for i, c in pattern.items():
+                covered[i] += amount * c
+        assert (covered >= n - 1e-6).all()  # all demand
+        assert float(n @ x) / 64 - 1e-6 <= found.bound <= found.value + 1e-6
+        report: dict = {}
+        plan = lp.pack_lengths(histogram, 64, report)
+        total = lp.sequences(plan) - histogram.get(64, 0)
+        assert report["bound"] <= report["value"] + 1e-6 and np.ceil(report["bound"] - 1e-6) <= total == report["rounded"] + report["answered"]
+        held = Counter()
+        for times, pattern in plan:
+            for k, c in pattern.items():
+                held[k] += times * c
+        assert held == histogram
+
+
+def test_the_knapsack_is_exact():
+    from itertools import combinations
+
+    from cairnworks.llm import configuration_lp as lp
+
+    r = np.random.default_rng(6)
+    for _ in range(20):
+        sizes, pays = r.integers(1, 12, 8), r.random(8)
+        best, _ = lp.knapsack(sizes, pays, 20)
+        every = [(int(sizes[list(c)].sum()), float(pays[list(c)].sum())) for n in range(9) for c in combinations(range(8), n)]
+        assert all(abs(best[room] - max(p for s, p in every if s <= room)) < 1e-9 for room in range(21))
+
+
+def test_rounds_beat_the_first_answer_where_full_patterns_are_scarce():
+    from cairnworks.llm import configuration_lp as lp
+
+    histogram = Counter(np.random.default_rng(0).integers(700, 1800, 6000).tolist())
+    report: dict = {}
+    total = lp.sequences(lp.pack_lengths(histogram, 4096, report))
+    assert report["rounded"] > 0.7 * total and total < lp.sequences(lp.respond(dict(histogram), 4096)[0])
