@@ -4,30 +4,31 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
 from dataclasses import dataclass, field
 
-#: Comments, declarations, and tags with their attributes.
-_TOKEN = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?>[^>"']+|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S
-)
+#: Where a comment, a declaration or a tag may start; a tag with quoted attributes from there.
+_START = re.compile(r"<(?:[!?]|/?[a-zA-Z])")
+_TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?>[^>"']+|"[^"]*"|'[^']*')*+)>""")
+_NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+_SPECIAL = re.compile("[>\"']")
 _ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-\w:.]*)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 
 #: Elements whose content is no text of the page.
-RAW = frozenset("script style noscript template svg math title textarea iframe object canvas select datalist audio video".split())
+RAW = frozenset("script style template svg title textarea iframe object select datalist".split())
 #: Those of them whose content runs to the first end tag, or to the end of the page.
 _TO_END = frozenset("script style title textarea iframe".split())
-#: Those that a start tag ending in a slash leaves empty; inside them that holds for every tag.
-_FOREIGN = frozenset(("svg", "math"))
-#: Those that run to their own end tag, over others of their kind; without one only the start tag goes.
-_SPANNED = RAW - _TO_END - {"noscript"}
+#: Those that run to their own end tag, over others of their kind; without one only the start tag
+#: goes. A start tag of svg, or inside one, that ends in a slash is an empty element.
+_SPANNED = RAW - _TO_END
 #: Elements that start a block of their own.
 BLOCKS = frozenset(
     "html head body main article section div p nav header footer aside form fieldset ul ol li dl dt dd table caption thead tbody tfoot tr td th "
-    "h1 h2 h3 h4 h5 h6 hgroup blockquote pre figure figcaption address details summary dialog menu center hr button label legend".split()
+    "h1 h2 h3 h4 h5 h6 hgroup blockquote pre figure figcaption address details summary dialog menu center hr button label legend noscript".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose start ends an open paragraph.
-_ENDS_P = BLOCKS - frozenset("html head body td th tr thead tbody tfoot caption button label legend".split())
+_ENDS_P = BLOCKS - frozenset("html head body td th tr thead tbody tfoot caption button label legend noscript".split())
 #: Start of the key ends an open one of the values, searched up to the nearest of the limits.
 _ENDS = {
     "li": (("li",), ("ul", "ol", "menu")),
@@ -44,33 +45,90 @@ _ENDS = {
 _P_LIMITS = frozenset("article section div main td th li blockquote body form aside nav header footer figure button".split())
 
 
-def _end_tag(source: str, tag: str, position: int) -> int:
-    """Where the first end tag behind ``position`` ends, or -1."""
-    end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(source, position)
-    return end.end() if end else -1
+class _Tags:
+    """Comments, declarations and tags of a page, found in time linear in its length.
+
+    Every start is settled once: a ``>`` behind it ends it, one inside quotes only where no other
+    does. Where quotes fail to close, the ends of all tags to come are worked out together, from
+    the end of the page back.
+    """
+
+    def __init__(self, source: str):
+        self.source = source
+        self.last = source.rfind(">")
+        self.places: list[int] | None = None  # of > and quotes
+        self.ends: list[int] = []  # of a tag whose attributes go on there, outside quotes
+
+    def _work_out(self, position: int) -> None:
+        self.places = [m.start() for m in _SPECIAL.finditer(self.source, position)]
+        self.ends = [-1] * (len(self.places) + 1)
+        behind = {'"': -1, "'": -1}  # the next of each quote
+        for k in range(len(self.places) - 1, -1, -1):
+            c = self.source[self.places[k]]
+            if c == ">":
+                self.ends[k] = self.places[k]
+            else:
+                if behind[c] >= 0:
+                    self.ends[k] = self.ends[behind[c] + 1]
+                behind[c] = k
+
+    def next(self, position: int, bound: int = -1) -> tuple[int, int, bool, str, str] | None:
+        """(start, end, whether it closes, name, attributes) of the next one; comments have no name.
+
+        A comment that isn't closed before ``bound`` ends there, or with the page.
+        """
+        source = self.source
+        while found := _START.search(source, position):
+            start = found.start()
+            if source.startswith("<!--", start):
+                end = source.find("-->", start + 4)
+                end = len(source) if end < 0 else end + 3
+                return start, bound if start < bound < end else end, False, "", ""
+            if start > self.last:
+                position = source.find("<!--", start)
+                if position < 0:
+                    return None
+                continue
+            if source[start + 1] in "!?":
+                return start, source.find(">", start) + 1, False, "", ""
+            if self.places is None:
+                if tag := _TAG.match(source, start):
+                    return start, tag.end(), bool(tag[1]), tag[2].lower(), tag[3]
+                self._work_out(start)
+            tag = _NAME.match(source, start)
+            end = self.ends[bisect_left(self.places, tag.end())]
+            if end < 0:
+                end = source.find(">", tag.end())
+            return start, end + 1, bool(tag[1]), tag[2].lower(), source[tag.end() : end]
+        return None
+
+    def end_tag(self, name: str, position: int) -> tuple[int, int]:
+        """(start, end) of the first end tag of that name behind ``position``, or (-1, -1)."""
+        found = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.I).search(self.source, position, self.last + 1)
+        return found.span() if found else (-1, -1)
 
 
 def _spans(source: str, position: int) -> dict[int, int]:
     """Ends of the elements in _SPANNED that have an end tag, by the ends of their start tags."""
+    read = _Tags(source)
     starts: dict[str, list[int]] = {tag: [] for tag in _SPANNED}
     ends: dict[int, int] = {}
     endless: set[str] = set()
-    while found := _TOKEN.search(source, position):
-        position = found.end()
-        tag = (found[2] or found[5] or "").lower()
+    while found := read.next(position):
+        _, position, closing, tag, rest = found
         if tag not in RAW:
             continue
-        if found[1] or found[4]:
+        if closing:
             if starts.get(tag):
                 ends[starts[tag].pop()] = position
             continue
-        foreign = any(starts[x] for x in _FOREIGN)
-        if (foreign or tag in _FOREIGN) and (found[3] if found[2] else found[6]).endswith("/"):
+        foreign = bool(starts["svg"])
+        if (foreign or tag == "svg") and rest.endswith("/"):
             continue
         if tag in _SPANNED:
             starts[tag].append(position)
-        elif tag in _TO_END and tag not in endless and not (foreign and tag == "title"):
-            if (end := _end_tag(source, tag, position)) >= 0:
+        elif tag not in endless and not (foreign and tag == "title"):
+            if (end := read.end_tag(tag, position)[1]) >= 0:
                 position = end
             elif foreign:
                 endless.add(tag)
@@ -95,7 +153,7 @@ class Page:
 
 
 def parse(source: str) -> Page:
-    """Reads a whole page; broken markup never fails.
+    """Reads a whole page, in time linear in its length; broken markup never fails.
 
     Character references are decoded, white space inside a block becomes one space, empty blocks
     go. Scripts, styles, comments and declarations leave nothing. Unclosed elements end with
@@ -104,12 +162,14 @@ def parse(source: str) -> Page:
     """
     page = Page()
     stack: list[int] = [0]
-    open_tags: dict[str, int] = {}
+    open_at: dict[str, list[int]] = {}  # places in the stack, by tag
     pieces: list[str] = []
     linked, in_link = 0, False
     tags, position, size = page.tags, 0, len(source)
+    read = _Tags(source)
     spans: dict[int, int] | None = None
-    noscript_ends = True
+    bound = -1  # of comments: the end of the noscript element around
+    math = 0  # open elements of math; a start tag inside that ends in a slash is an empty element
 
     def flush() -> None:
         nonlocal linked
@@ -123,16 +183,12 @@ def parse(source: str) -> Page:
 
     def close_to(depth: int) -> None:
         while len(stack) > depth:
-            open_tags[tags[stack.pop()]] -= 1
+            open_at[tags[stack.pop()]].pop()
 
     def nearest(wanted, limits) -> int:
-        for k in range(len(stack) - 1, 0, -1):
-            tag = tags[stack[k]]
-            if tag in wanted:
-                return k
-            if tag in limits:
-                break
-        return -1
+        """Place in the stack of the last open one of ``wanted`` that none of ``limits`` is behind."""
+        last = max((open_at[t][-1] for t in wanted if open_at.get(t)), default=-1)
+        return last if last >= 0 and all(open_at[t][-1] <= last for t in limits if open_at.get(t)) else -1
 
     def text(part: str) -> None:
         nonlocal linked
@@ -143,44 +199,48 @@ def parse(source: str) -> Page:
             linked += len(part)
 
     while position < size:
-        found = _TOKEN.search(source, position)
+        found = read.next(position, bound)
         if not found:
             text(source[position:])
             break
-        if found.start() > position:
-            text(source[position : found.start()])
-        position = found.end()
-        tag = found[2] or found[5]
+        start, end, closing, tag, rest = found
+        if start > position:
+            text(source[position:start])
+        position = end
         if not tag:
             continue
-        tag = tag.lower()
-        rest = found[3] if found[2] else found[6]
-        if found[1] or found[4]:
+        if closing:
             if tag == "a":
                 in_link = False
             elif tag == "br":
                 flush()
+            elif tag == "math":
+                math = max(0, math - 1)
             elif tag in BLOCKS:
                 flush()
-                if open_tags.get(tag):
-                    close_to(nearest((tag,), ()))
+                if open_at.get(tag):
+                    close_to(open_at[tag][-1])
                     in_link = False
             continue
+        if math and tag in _TO_END and rest.endswith("/"):
+            continue
+        if tag == "math":
+            math += not rest.endswith("/")
+            continue
         if tag in RAW:
             if tag in _TO_END:
-                end = _end_tag(source, tag, position)
+                end = read.end_tag(tag, position)[1]
                 position = end if end >= 0 else size
-            elif tag == "noscript":
-                end = _end_tag(source, tag, position) if noscript_ends else -1
-                noscript_ends = end >= 0
-                position = max(end, position)
-            elif tag not in _FOREIGN or not rest.endswith("/"):
+            elif tag != "svg" or not rest.endswith("/"):
                 if spans is None:
-                    spans = _spans(source, found.start())
+                    spans = _spans(source, start)
                 position = spans.get(position, position)
             if tag in ("textarea", "select"):
                 page.inputs[stack[-1]] += 1
             continue
+        if tag == "noscript" and bound < position:
+            bound = read.end_tag(tag, position)[0]
+            bound = size + 1 if bound < 0 else bound  # no other is looked for
         if tag == "a":
             in_link = True
         elif tag == "br":
@@ -189,12 +249,12 @@ def parse(source: str) -> Page:
             page.inputs[stack[-1]] += 1
         elif tag in BLOCKS:
             flush()
-            if tag in _ENDS_P and open_tags.get("p") and (k := nearest(("p",), _P_LIMITS)) > 0:
+            if tag in _ENDS_P and open_at.get("p") and (k := nearest(("p",), _P_LIMITS)) > 0:
                 close_to(k)
                 in_link = False
             if tag in _ENDS:
                 wanted, limits = _ENDS[tag]
-                if any(open_tags.get(x) for x in wanted) and (k := nearest(wanted, limits)) > 0:
+                if any(open_at.get(x) for x in wanted) and (k := nearest(wanted, limits)) > 0:
                     close_to(k)
                     in_link = False
             if tag == "hr":
@@ -215,7 +275,7 @@ def parse(source: str) -> Page:
             page.marks.append(mark)
             page.inputs.append(0)
             if not rest.endswith("/") or tag not in VOID:
+                open_at.setdefault(tag, []).append(len(stack))
                 stack.append(node)
-                open_tags[tag] = open_tags.get(tag, 0) + 1
     flush()
     return page

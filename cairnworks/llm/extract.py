@@ -209,8 +209,10 @@ def texts_of(sources: list[str], trees: boosting.Boosted) -> list[str]:
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Rows (page_id, url, text, n_chars), one for each input row.
 
-    Whole pages are read; null html is the empty page and gives the empty text. Ids and urls
-    pass through, nulls and repeats included; other columns are not read.
+    Whole pages are read, in time linear in their length however broken; null html is the empty page
+    and gives the empty text. Pages are told apart by row, so ties and repeated rows each get their
+    own. Ids and urls pass through, nulls included; other columns, whatever their names, are not
+    read; an empty table gives an empty result.
     """
     held = pages.sparkSession.sparkContext.broadcast(model())
 

@@ -513,3 +513,48 @@ def test_rounds_beat_the_first_answer_where_full_patterns_are_scarce():
     report: dict = {}
     total = lp.sequences(lp.pack_lengths(histogram, 4096, report))
     assert report["rounded"] > 0.7 * total and total < lp.sequences(lp.respond(dict(histogram), 4096)[0])
+
+
+# --- op8, broken and unusual pages
+
+
+@pytest.mark.parametrize("bad", ["<p ", "<a '", "<!--", '<a ">"', "</style ", "<svg><style ", "<a<", "<noscript>", "<title/", "<math><title/>", "<p><button><ul>"])
+def test_a_megabyte_of_broken_markup_is_read_at_once(bad):
+    import time
+
+    source = (bad * (1 + 1_000_000 // len(bad)))[:1_000_000]
+    for before, after in (("", ""), ("<p>", ">")):
+        start = time.process_time()
+        parse(before + source + after)
+        assert time.process_time() - start < 5
+
+
+@pytest.mark.parametrize(
+    "source, texts",
+    [
+        ("<p>so <math><mi>x</mi><mo>=</mo><mn>2</mn></math> here</p>", ["so x=2 here"]),
+        ("<p>a <canvas>picture of it</canvas> b</p>", ["a picture of it b"]),
+        ("<p>a</p><noscript><p>still text</p></noscript><p>b</p>", ["a", "still text", "b"]),
+        ("<video>no player<a href=x>film</a></video><p>b", ["no playerfilm", "b"]),
+        ("<p title='a > b'>x</p><p title=\"it's\">y</p>", ["x", "y"]),
+        ("<p title='open>x</p><p>y</p>", ["x", "y"]),
+        ("<math><title/>kept</math><p>y", ["kept", "y"]),
+    ],
+)
+def test_parser_keeps_text_that_belongs_to_the_page(source, texts):
+    assert parse(source).texts == texts
+
+
+def test_main_text_of_pages_unlike_the_training_ones():
+    words = "The river rose over night, and by morning the lower fields stood under water. Nobody in the village had seen that since the old mill burned down. "
+    story = [words + f"Part {k} tells what the farmers did about it, step by step, until the dam held." for k in range(6)]
+    body = "".join(f"<p>{x}</p>" for x in story)
+    menu = "".join(f'<li><a href="/{k}">Section {k}</a></li>' for k in range(9))
+    pages = [
+        f'<div id="outer"><div class="c1"><ul>{menu}</ul></div><div class="c2"><h1>High water</h1>{body}</div><div class="c9">Copyright 2020. All rights reserved.</div></div>',
+        f'<html><body><header><nav><ul>{menu}</ul></nav></header><main><article><h1>High water</h1>{body}</article></main><aside><h3>Related</h3><ul>{menu}</ul></aside><footer>(c) 2020</footer></body></html>',
+        f'<body><div class="wrap"><div role="navigation">{menu}</div><section class="story-body"><h1>High water</h1>{body}</section><div class="comments"><h2>3 comments</h2><div class="comment">first!</div></div></div></body>',
+    ]
+    want = " ".join(["High water", *story])
+    got = extract.texts_of(pages, extract.model())
+    assert sum(a == want for a in got) >= 2 and all(set(story) <= {s for s in story if s in a} for a in got)
