@@ -1,32 +1,37 @@
 """Benchmark decontamination with one Aho-Corasick automaton.
 
-Test items become windows of consecutive normalised words; all windows are the automaton's keys.
-Each text is normalised and scanned once; a match's end tells which words it covers, and word
-offsets lead back to the original text. The automaton is built once for each Python worker from
-broadcast windows. Its size follows the benchmark, not the corpus, and is bounded: the windows of
-a larger benchmark are dealt by item into groups of about ``MOST_CHARS``, the texts are scanned
-once for each group, and the hits are put together.
+Test items become windows of consecutive normalised words; all windows are the keys of one automaton
+over word numbers (``word_automaton``). Each text is normalised and scanned once, many texts side
+by side; a match's end tells which words it covers, and word offsets lead back to the original
+text. The automaton is built once on the driver and broadcast; its size follows the benchmark, not
+the corpus: some 40 bytes for a character of benchmark text. Beyond ``MOST_CHARS`` of window text
+(a benchmark of about 12 MB) the items are dealt into groups with an automaton each; a task then
+takes its texts in slices past one automaton after the other, so that it holds one at a time and
+still reads its input once.
 """
 
 from __future__ import annotations
 
 import re
 import uuid
-from bisect import bisect_left
 from collections.abc import Iterator
-from functools import lru_cache
+from itertools import repeat
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairnworks.llm.batches import map_arrow, map_batches
+from cairnworks.llm.batches import by_bytes, map_arrow, map_batches
 from cairnworks.llm.columns import whole_text
-from cairnworks.scratch import materialize
+from cairnworks.llm.word_automaton import WordAutomaton, build, scan
 
 WINDOW_WORDS = 13
-#: Characters of window text in one automaton (about 40 bytes of memory each).
-MOST_CHARS = 3_000_000
+#: Characters of window text in one automaton (about 3 bytes of memory each).
+MOST_CHARS = 160_000_000
+#: Bytes of text scanned at a time, and taken past each of several automata.
+SLICE_BYTES = 4 << 20
+GROUP_SLICE_BYTES = 32 << 20
 
 #: A-Z to lower case; other ASCII bytes that are not digits or letters to a space.
 _NORMAL = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
@@ -37,65 +42,86 @@ def normal_words(text: bytes) -> list[bytes]:
     return text.translate(_NORMAL).split()
 
 
-def item_windows(text: str | None, n: int = WINDOW_WORDS) -> list[str]:
-    """Windows of n consecutive words; all words of a shorter item; none of an item without words."""
-    words = [w.decode() for w in normal_words((text or "").encode())]
-    if not words:
-        return []
-    return [" ".join(words[i : i + n]) for i in range(max(1, len(words) - n + 1))]
+def text_hits(texts: list[bytes], a: WordAutomaton) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[set[int]]]:
+    """Of each text: the number of words, hit words [first, end) as rows (text, first, end), and the owners of windows found."""
+    n_words, numbers = np.zeros(len(texts), np.int64), []
+    known = a.vocabulary.get
+    for row, text in enumerate(texts):
+        words = normal_words(text)
+        n_words[row] = len(words)
+        numbers.append(np.fromiter(map(known, words, repeat(0)), np.int64, len(words)))
+        numbers.append(np.zeros(1, np.int64))  # between texts
+    found: list[set[int]] = [set() for _ in texts]
+    none = np.zeros((0, 3), np.int64)
+    if not texts or a.longest < 1:
+        return n_words, np.zeros(len(texts), np.int64), none, found
+    stream = np.concatenate(numbers)
+    last, nodes = scan(a, stream)
+    if not len(last):
+        return n_words, np.zeros(len(texts), np.int64), none, found
+    starts = np.concatenate([[0], np.cumsum(n_words + 1)])
+    text_of = np.searchsorted(starts, last, side="right") - 1
+    at, owners = a.owned(nodes)
+    for row, owner in np.unique(np.stack([text_of[at], owners], axis=1), axis=0).tolist():
+        found[row].add(owner)
+    marks = np.zeros(len(stream) + 1, np.int64)
+    np.add.at(marks, last - a.sizes(nodes) + 1, 1)
+    np.add.at(marks, last + 1, -1)
+    edge = np.diff(np.concatenate([[0], np.cumsum(marks)[:-1] > 0, [0]]).astype(np.int8))
+    first, end = np.flatnonzero(edge > 0), np.flatnonzero(edge < 0)
+    row = np.searchsorted(starts, first, side="right") - 1
+    runs = np.stack([row, first - starts[row], end - starts[row]], axis=1)
+    return n_words, np.bincount(row, weights=end - first, minlength=len(texts)).astype(np.int64), runs, found
+
+
+def _merged(runs: np.ndarray) -> np.ndarray:
+    """Rows (text, first, end), sorted, with overlapping or touching ones of a text joined."""
+    out: list[list[int]] = []
+    for row, first, end in runs[np.lexsort((runs[:, 1], runs[:, 0]))].tolist():
+        if out and out[-1][0] == row and first <= out[-1][2]:
+            out[-1][2] = max(end, out[-1][2])
+        else:
+            out.append([row, first, end])
+    return np.array(out, np.int64).reshape(-1, 3)
 
 
 class _Held:
-    """A broadcast that hashes by its token, so that a worker builds each automaton once."""
-
-    def __init__(self, broadcast, token: str):
-        self.broadcast, self.token = broadcast, token
-
-    @property
-    def value(self):
-        return self.broadcast.value
-
-    def __hash__(self):
-        return hash(self.token)
-
-    def __eq__(self, other):
-        return self.token == other.token
-
-
-@lru_cache(maxsize=1)
-def _automaton(held: _Held):
-    import ahocorasick
-
-    machine = ahocorasick.Automaton()
-    for window, items in held.value:
-        machine.add_word(f" {window} ", (window.count(" ") + 1, items))
-    if len(machine):
-        machine.make_automaton()
-    return machine
-
-
-def find_hits(text: str, machine) -> tuple[int, list[tuple[int, int]], set[str]]:
-    """(number of words, runs of hit words as (first, end), items with occurring windows)."""
-    words = normal_words(text.encode())
-    joined, at, runs, found = None, None, [], set()
-    if words and len(machine):
-        joined = f" {b' '.join(words).decode()} "
-        for end, (size, items) in machine.iter(joined):
-            if at is None:
-                at, place = [], 0
-                for w in joined[1:-1].split(" "):
-                    place += len(w) + 1
-                    at.append(place)  # of the space after each word
-            last = bisect_left(at, end)
-            runs.append((last - size + 1, last + 1))
-            found.update(items)
-    merged: list[tuple[int, int]] = []
-    for a, b in sorted(runs):
-        if merged and a <= merged[-1][1]:
-            merged[-1] = (merged[-1][0], max(b, merged[-1][1]))
-        else:
-            merged.append((a, b))
-    return len(words), merged, found
+    """Broadcast automata of all groups; a worker keeps one."""
+
+    def __init__(self, broadcasts: list):
+        self.broadcasts, self.token = broadcasts, uuid.uuid4().hex
+
+    def hits(self, texts: pa.Array) -> Iterator[tuple[int, list[bytes], np.ndarray, np.ndarray, np.ndarray, list[set[str]]]]:
+        """(first row, texts, numbers of words, numbers of hit words, runs, items) of slices of a binary column."""
+        alone = len(self.broadcasts) == 1
+        for first, end in by_bytes(texts, SLICE_BYTES if alone else GROUP_SLICE_BYTES):
+            part = texts.slice(first, end - first).to_pylist()
+            n_words, n_hit, all_runs, items = np.zeros(0, np.int64), np.zeros(0, np.int64), [], [set() for _ in part]
+            for k in range(len(self.broadcasts)):
+                automaton, names = _automaton(self, k)
+                n_words, n_hit, runs, found = text_hits(part, automaton)
+                all_runs.append(runs)
+                for held, owners in zip(items, found, strict=True):
+                    held.update(names[o] for o in owners)
+            runs = all_runs[0]
+            if not alone:
+                runs = _merged(np.concatenate(all_runs))
+                n_hit = np.bincount(runs[:, 0], weights=runs[:, 2] - runs[:, 1], minlength=len(part)).astype(np.int64)
+            yield first, part, n_words, n_hit, runs, items
+
+
+_kept: dict[str, tuple] = {}
+
+
+def _automaton(held: _Held, k: int) -> tuple[WordAutomaton, list[str]]:
+    """The k-th automaton and its owners' names; the worker's last one is kept, others are read from the broadcast's file."""
+    key = f"{held.token}-{k}"
+    if key not in _kept:
+        _kept.clear()
+        source = held.broadcasts[k]
+        path = getattr(source, "_path", None)
+        _kept[key] = source.load_from_path(path) if len(held.broadcasts) > 1 and path else source.value
+    return _kept[key]
 
 
 def original_spans(text: str, runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -114,12 +140,16 @@ def _groups(benchmark: DataFrame, window: int, item_col: str, text_col: str) ->
     return [rows.where(F.pmod(F.xxhash64("id", "t"), F.lit(n)) == k) for k in range(n)] if n > 1 else [rows]
 
 
-def _held_windows(items: DataFrame, window: int) -> _Held:
-    owners: dict[str, set[str]] = {}
-    for item, text in items.toLocalIterator():  # a group of bounded size
-        for w in item_windows(text, window):
-            owners.setdefault(w, set()).add(item)
-    return _Held(items.sparkSession.sparkContext.broadcast([(w, sorted(owners[w])) for w in sorted(owners)]), uuid.uuid4().hex)
+def _held(benchmark: DataFrame, window: int, item_col: str, text_col: str) -> _Held:
+    """Automata of bounded size, one for each group of items; an empty benchmark has an empty one."""
+    broadcasts = []
+    for group in _groups(benchmark, window, item_col, text_col):
+        rows = group.collect()  # a group of bounded size
+        names = sorted({r["id"] for r in rows})
+        place = {name: k for k, name in enumerate(names)}
+        automaton = build([(normal_words(r["t"].encode()), place[r["id"]]) for r in rows], window)
+        broadcasts.append(benchmark.sparkSession.sparkContext.broadcast((automaton, names)))
+    return _Held(broadcasts)
 
 
 _RUNS = "array<struct<start:int,end:int>>"
@@ -130,41 +160,27 @@ def _scan(texts: DataFrame, held: _Held) -> DataFrame:
     span = pa.struct([("start", pa.int32()), ("end", pa.int32())])
 
     def make():
-        machine = _automaton(held)
-
-        def scan(batch: pa.RecordBatch) -> pa.RecordBatch:
+        def scan_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
             n_words, n_hit, items, places, spans = [], [], [], [], []
-            for value in batch.column(2):
-                text = value.as_py()
-                n, runs, found = find_hits(text, machine)
-                n_words.append(n)
-                n_hit.append(sum(b - a for a, b in runs))
-                items.append(sorted(found))
-                places.append([{"start": a, "end": b} for a, b in runs])
-                spans.append([{"start": a, "end": b} for a, b in original_spans(text, runs)])
+            for _, part, words, hit, runs, found in held.hits(batch.column(2).cast(pa.binary())):
+                own: list[list[tuple[int, int]]] = [[] for _ in part]
+                for row, a, b in runs.tolist():
+                    own[row].append((a, b))
+                n_words.append(words)
+                n_hit.append(hit)
+                items += [sorted(x) for x in found]
+                places += [[{"start": a, "end": b} for a, b in x] for x in own]
+                spans += [[{"start": a, "end": b} for a, b in original_spans(text.decode() if x else "", x)] for text, x in zip(part, own, strict=True)]
             return pa.RecordBatch.from_arrays(
-                [*batch.columns[:2], pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(places, pa.list_(span)), pa.array(spans, pa.list_(span))],
+                [*batch.columns[:2], pa.array(np.concatenate(n_words)), pa.array(np.concatenate(n_hit)), pa.array(items, pa.list_(pa.string())), pa.array(places, pa.list_(span)), pa.array(spans, pa.list_(span))],
                 names=["doc_id", "text_hash", "n_words", "n_hit", "items", "runs", "spans"],
             )
 
-        return scan
+        return scan_batch
 
     return map_batches(texts, make, _SCANNED)
 
 
-def _merged(runs: str):
-    """Sorted, overlapping or touching runs joined."""
-    none = F.array().cast(_RUNS)
-
-    def step(acc, r):
-        last = F.element_at(acc, -1)
-        joins = (F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))["end"] >= r["start"])
-        longer = F.struct(last["start"].alias("start"), F.greatest(last["end"], r["end"]).alias("end"))
-        return F.when(joins, F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(longer))).otherwise(F.concat(acc, F.array(r)))
-
-    return F.aggregate(F.array_sort(F.flatten(runs)), none, step)
-
-
 def contamination(
     docs: DataFrame, benchmark: DataFrame, window: int = WINDOW_WORDS, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text"
 ) -> DataFrame:
@@ -177,45 +193,22 @@ def contamination(
     included; other columns are not read; an empty table on either side gives rows without hits,
     or none.
     """
-    first_group, *more = _groups(benchmark, window, item_col, item_text_col)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("t")).select("doc_id", F.xxhash64("t").alias("text_hash"), "t")
-    first = _scan(texts, _held_windows(first_group, window))
-    if not more:
-        return first
-    first = materialize(first, "contamination")
-    parts = first.where("n_hit > 0")
-    for g in more:
-        parts = parts.union(materialize(_scan(texts, _held_windows(g, window)).where("n_hit > 0"), "contamination"))
-    lists = parts.groupBy("doc_id", "text_hash").agg(F.collect_list("items").alias("items"), F.collect_list("runs").alias("runs"), F.collect_list("spans").alias("spans"))
-    lists = lists.select(F.col("doc_id").alias("k"), F.col("text_hash").alias("th"), F.array_sort(F.array_distinct(F.flatten("items"))).alias("all_items"), _merged("runs").alias("all_runs"), _merged("spans").alias("all_spans"))
-    both = first.join(lists, F.col("doc_id").eqNullSafe(F.col("k")) & (F.col("text_hash") == F.col("th")), "left")
-    total = F.aggregate("all_runs", F.lit(0).cast("long"), lambda acc, r: acc + r["end"] - r["start"])
-    return both.select("doc_id", "text_hash", "n_words", F.coalesce(total, F.lit(0)).alias("n_hit"), *[F.coalesce(f"all_{c}", c).alias(c) for c in ("items", "runs", "spans")])
+    return _scan(texts, _held(benchmark, window, item_col, item_text_col))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW_WORDS, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """The input rows, all columns, that are not contaminated; repeated rows stay repeated.
 
-    Rows are judged where they are read, so nothing is shuffled, unless the benchmark takes more
-    than one automaton.
+    Null and empty texts are clean. Rows are judged where they are read, so nothing is shuffled.
     """
-    groups = _groups(benchmark, window, item_col, item_text_col)
-    if len(groups) > 1:
-        bad = contamination(docs, benchmark, window, id_col, text_col, item_col, item_text_col).where(contaminated()).select(F.col("doc_id").alias("__bad"), F.col("text_hash").alias("__bad_text"))
-        same = F.col(id_col).eqNullSafe(F.col("__bad")) & (F.xxhash64(whole_text(text_col)) == F.col("__bad_text"))
-        return docs.join(bad.distinct(), same, "left_anti")
-    held = _held_windows(groups[0], window)
+    held = _held(benchmark, window, item_col, item_text_col)
     at = docs.columns.index(text_col)
 
-    def clean(text: str | None, machine) -> bool:
-        n_words, runs, _ = find_hits(text or "", machine)
-        n_hit = sum(b - a for a, b in runs)
-        return n_hit == 0 or n_hit * 20 < n_words
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = _automaton(held)
         for batch in batches:
-            yield batch.filter(pa.array([clean(x.as_py(), machine) for x in batch.column(at)], pa.bool_()))
+            clean = [(hit == 0) | (hit * 20 < words) for _, _, words, hit, _, _ in held.hits(batch.column(at).cast(pa.binary()).fill_null(b""))]
+            yield batch.filter(pa.array(np.concatenate(clean) if clean else [], pa.bool_()))
 
     return map_arrow(docs, run, docs.schema)
 

@@ -558,3 +558,45 @@ def test_main_text_of_pages_unlike_the_training_ones():
     want = " ".join(["High water", *story])
     got = extract.texts_of(pages, extract.model())
     assert sum(a == want for a in got) >= 2 and all(set(story) <= {s for s in story if s in a} for a in got)
+
+
+# --- op4, the automaton
+
+
+def test_automaton_finds_what_plain_search_finds(monkeypatch):
+    import random
+
+    from cairnworks.llm import word_automaton
+
+    r = random.Random(2)
+    for trial in range(120):
+        monkeypatch.setattr(word_automaton, "LANE", r.choice([1, 3, 16, 192]))
+        words, window = [b"w%d" % i for i in range(r.choice([1, 2, 3, 8]))], r.randint(1, 5)
+        items = [([r.choice(words) for _ in range(r.randint(0, 9))], r.randint(0, 3)) for _ in range(r.randint(0, 8))]
+        a = word_automaton.build(items, window)
+        text = [r.choice([*words, b"other"]) for _ in range(r.randint(0, 400))]
+        places, nodes = word_automaton.scan(a, np.array([a.vocabulary.get(w, 0) for w in text], np.int64))
+        at, owners = a.owned(nodes)
+        sizes = a.sizes(nodes)
+        got = {(int(places[i]), int(sizes[i]), int(o)) for i, o in zip(at, owners, strict=True)}
+        keys = [(w[i : i + window], o) for w, o in items if w for i in range(max(1, len(w) - window + 1))]
+        assert got == {(i + len(k) - 1, len(k), o) for k, o in keys for i in range(len(text) - len(k) + 1) if text[i : i + len(k)] == k}, trial
+
+
+def test_the_texts_are_read_once_whatever_the_benchmark(spark, tmp_path, monkeypatch):
+    """Two thousand items of 500 words (8 MB of text) make one automaton, many small ones one pass all the same."""
+    import random
+
+    r = random.Random(3)
+    words = [f"{r.getrandbits(36):09x}" for _ in range(5000)]
+    items = [(i, " ".join(r.choice(words) for _ in range(500))) for i in range(1600)]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/items")
+    docs = [(i, " ".join(r.choice(words) for _ in range(50)) + (" " + " ".join(items[i][1].split()[7:27]) if i % 2 else "")) for i in range(40)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/docs")
+    benchmark, texts = spark.read.parquet(f"{tmp_path}/items"), spark.read.parquet(f"{tmp_path}/docs")
+    assert len(decontaminate._groups(benchmark, 13, "item_id", "text")) == 1
+    for most in (decontaminate.MOST_CHARS, 20_000_000):
+        monkeypatch.setattr(decontaminate, "MOST_CHARS", most)
+        found = decontaminate.contamination(texts, benchmark)
+        assert found._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 1
+        assert {(x["doc_id"], tuple(x["items"])) for x in found.collect()} == {(i, (str(i),) if i % 2 else ()) for i in range(40)}
