@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,9 +30,16 @@ def scratch_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+#: Paths given out in this process, oldest first.
+_made: list[str] = []
+_PATH = "_scratch_path"
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path below the scratch root."""
-    return f"{scratch_root(spark)}/cairnworks/{name}-{uuid.uuid4().hex}"
+    path = f"{scratch_root(spark)}/cairnworks/{name}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -38,19 +47,38 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    setattr(table, _PATH, path)
+    return table
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    if path in _made:
+        _made.remove(path)
 
 
 def discard(df: DataFrame) -> None:
-    """Delete the files of a table made by :func:`materialize` that nothing reads any more."""
-    spark = df.sparkSession
-    root = scratch_root(spark)
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/cairnworks/" in folder and root.split(":", 1)[-1].lstrip("/") in folder:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(conf).delete(path, True)
+    """Delete a table made by :func:`materialize` that nothing reads any more; other DataFrames stay."""
+    if path := getattr(df, _PATH, None) if _PATH in vars(df) else None:
+        _delete(df.sparkSession, path)
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Deletes the tables and folders made inside once it ends, but for those given to the yielded function."""
+    first, kept = len(_made), set()
+
+    def keep(table: DataFrame) -> DataFrame:
+        kept.add(vars(table).get(_PATH))
+        return table
+
+    try:
+        yield keep
+    finally:
+        for path in [p for p in _made[first:] if p not in kept]:
+            _delete(spark, path)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
