@@ -1,12 +1,13 @@
 """Personal data by rules and by bootstrapped contextual extraction (DataFrame operations only).
 
-Rules find base entities. These are the seeds: the words to the left of a seed make a lexical
+Rules find base entities. These are the seeds: the last words to the left of a seed make a lexical
 pattern for its kind. Identifiers in looser forms, such as "name (at) host (dot) org" or a phone
 number without its country code, are candidates; every other number counts against the words it
-follows. Patterns and instances form a bipartite graph that is scored in
-rounds: a pattern is as good as the share of its instances that are known, an instance as its
-patterns together. Candidates with good scores behind good patterns are added to the base spans,
-which all stay.
+follows. Patterns and instances form a bipartite graph that is scored in rounds: a pattern is as
+good as the share of its instances that are known, an instance as its patterns together. In each
+round instances with good scores count as known wherever they stand, so the words before them make
+patterns of their own, as good as any once enough distinct instances stand behind them. Candidates
+behind good patterns are added to the base spans, which all stay.
 
 The texts are read once; what is found, with its contexts, is written to the shared folder and
 all later steps run on that. Pattern counts are combined before the shuffle, and the joins back
@@ -19,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairnworks.llm.columns import whole_text
-from cairnworks.scratch import materialize
+from cairnworks.scratch import discard, materialize
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -50,8 +51,11 @@ LOOSE = {
 #: Any number behind words: evidence against their pattern, where it is no identifier.
 NUMBER = r"(?<!\p{L})(?:\p{L}++[^\p{L}0-9]{1,3}+)?\p{L}++[^\p{L}0-9]{0,8}+[0-9]++(?![0-9A-Za-z])"
 
-#: Code points of context kept to the left, rounds of scoring, distinct seeds that make a pattern, least score.
-CONTEXT_CHARS = 48
+#: The last two words of a text that is read backwards.
+LAST_WORDS = r"^[^\p{L}]*+\p{L}++(?:[^\p{L}]++\p{L}++)?+"
+#: Matches whose places are summed up at a time.
+CHUNK = 128
+#: Rounds of scoring, distinct known instances that make a pattern, least score.
 ROUNDS = 3
 LEAST_SEEDS = 4
 LEAST_SCORE = 0.7
@@ -94,32 +98,52 @@ def _loose_valid(kind: str, value: Column) -> Column:
     return valid(kind, value)
 
 
+SPANS = "array<struct<start:int,kind:int,end:int,value:string,words:string>>"
+
+
 def _spans(text: Column, pattern: str, kind: int, where: Column) -> Column:
-    """Array of (start, kind, end, value, context) of the pattern's matches.
+    """Array of (start, kind, end, value, words) of the pattern's matches; words are the two before it.
 
     Matches and the stretches between them come from the same pattern; starts are running sums
-    of their lengths in code points.
+    of their lengths in code points, first of chunks of matches, then inside each.
     """
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
-    kinds = "array<struct<start:int,kind:int,end:int,value:string,context:string>>"
-    none = F.array().cast(kinds)
+    pairs = F.zip_with(values, F.slice(gaps, F.lit(1), F.size(values)), lambda v, g: F.struct(F.char_length(g).alias("gap"), F.char_length(v).alias("size"), v.alias("value"), F.lower(F.reverse(F.regexp_extract(F.reverse(g), LAST_WORDS, 0))).alias("words")))
 
     def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.char_length(x["gap"])
-        end = start + F.char_length(x["value"])
-        one = F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), x["value"].alias("value"), F.right(x["gap"], F.lit(CONTEXT_CHARS)).alias("context"))
+        start = acc["at"] + x["gap"]
+        end = start + x["size"]
+        one = F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), x["value"].alias("value"), x["words"].alias("words"))
         return F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
 
-    pairs = F.filter(F.arrays_zip(values.alias("value"), gaps.alias("gap")), lambda x: x["value"].isNotNull())
-    folded = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("out")), step)["out"]
-    return F.when(where, folded.cast(kinds)).otherwise(none)
+    def places(pairs: Column) -> Column:
+        chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(pairs) - 1) / CHUNK).cast("int")), lambda k: F.slice(pairs, k * CHUNK + 1, F.lit(CHUNK)))
+        sizes = F.transform(chunks, lambda c: F.aggregate(c, F.lit(0), lambda total, x: total + x["gap"] + x["size"]))
+        sums = F.aggregate(sizes, F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
+        inside = lambda c, at: F.aggregate(c, F.struct(at.alias("at"), F.array().cast(SPANS).alias("out")), step)["out"]
+        return F.flatten(F.zip_with(chunks, F.slice(sums, F.lit(1), F.size(chunks)), inside))
+
+    found = F.transform(F.array(pairs), lambda p: F.when(F.size(p) > 0, places(p)).otherwise(F.array().cast(SPANS)))[0]
+    return F.when(where, found.cast(SPANS)).otherwise(F.array().cast(SPANS))
+
+
+def _masked(text: Column, pattern: str, check, kind: str, where: Column) -> Column:
+    """The text with each match that passes the check blanked out, at equal length."""
+    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    gaps = F.split(text, pattern, -1)
+    pieces = F.zip_with(gaps, values, lambda g, v: F.concat(g, F.when(v.isNull(), F.lit("")).when(check(kind, v), F.repeat(F.lit("\ufffc"), F.char_length(v))).otherwise(v)))
+    return F.when(where, F.array_join(pieces, "")).otherwise(text)
 
 
 def _checked(spans: Column, check, kind: str) -> Column:
     return F.filter(spans, lambda s: check(kind, s["value"]))
 
 
+def _held(spans: str, kind: str) -> Column:
+    return F.exists(spans, lambda s: s["kind"] == KINDS.index(kind))
+
+
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (doc_id, text_hash, base, loose, numbers), one for each input row: spans, and other numbers with their contexts."""
     rows = docs.select(F.col(id_col).alias("doc_id"), whole_text(text_col).alias("t"))
@@ -131,20 +155,31 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         "phone": F.rlike(t, F.lit(r"\+[0-9]")),
     }
     base = [_checked(_spans(t, BASE[kind], k, has[kind]), valid, kind) for k, kind in enumerate(KINDS)]
-    loose = [_checked(_spans(t, LOOSE[kind][0], k, F.rlike(t, F.lit(LOOSE[kind][1]))), _loose_valid, kind) for k, kind in enumerate(KINDS)]
-    rest = t
-    for kind in ("email", "ip", "phone"):
-        rest = F.when(has[kind], F.regexp_replace(rest, BASE[kind], " . ")).otherwise(rest)
-    found = F.when(F.rlike(t, F.lit("[0-9]")), F.array_distinct(F.regexp_extract_all(rest, F.lit(NUMBER), F.lit(0)))).otherwise(F.array().cast("array<string>"))
-    numbers = F.transform(found, lambda m: F.struct(F.regexp_extract(m, "[0-9]+$", 0).alias("value"), F.regexp_replace(m, "[0-9]+$", "").alias("context")))
-    out = rows.select("doc_id", F.xxhash64("t").alias("text_hash"), F.concat(*base).alias("base"), F.concat(*loose).alias("loose"), numbers.alias("numbers"))
-    apart = lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    return out.withColumn("loose", F.filter("loose", apart))
-
-
-def _patterns(context: Column) -> Column:
-    """The last word, and the last two, of the text to the left."""
-    words = F.regexp_extract_all(F.lower(context), F.lit(r"\p{L}+"), F.lit(0))
+    # each step has a column of its own, so that it is worked out once
+    rows = rows.select("doc_id", F.xxhash64("t").alias("text_hash"), F.concat(*base).alias("base"), t.alias("r"))
+    for kind in KINDS:
+        rows = rows.withColumn("r", _masked(F.col("r"), BASE[kind], valid, kind, _held("base", kind)))
+    r = F.col("r")
+    for kind in KINDS:
+        rows = rows.withColumn(f"might_{kind}", F.rlike(r, F.lit(LOOSE[kind][1])))
+    loose = [_checked(_spans(r, LOOSE[kind][0], k, F.col(f"might_{kind}")), _loose_valid, kind) for k, kind in enumerate(KINDS)]
+    rows = rows.withColumn("loose", F.concat(*loose))
+    for kind in KINDS:
+        rows = rows.withColumn("r", _masked(r, LOOSE[kind][0], _loose_valid, kind, F.col(f"might_{kind}")))
+    found = F.when(F.rlike(r, F.lit("[0-9]")), F.array_distinct(F.regexp_extract_all(r, F.lit(NUMBER), F.lit(0)))).otherwise(F.array().cast("array<string>"))
+    words = lambda m: F.lower(F.reverse(F.regexp_extract(F.reverse(F.regexp_replace(m, "[0-9]+$", "")), LAST_WORDS, 0)))
+    numbers = F.transform(found, lambda m: F.struct(F.regexp_extract(m, "[0-9]+$", 0).alias("value"), words(m).alias("words")))
+    # kinds may overlap: places that base spans and candidates share are few, as the former are blanked out
+    covered = lambda spans: F.flatten(F.transform(spans, lambda s: F.sequence(s["start"], s["end"] - 1)))
+    shared = F.when(F.size("loose") > 0, F.array_intersect(covered("base"), covered("loose"))).otherwise(F.array().cast("array<int>"))
+    rows = rows.withColumn("numbers", numbers).withColumn("shared", shared)
+    apart = lambda s: ~F.exists("shared", lambda p: (s["start"] <= p) & (p < s["end"]))
+    return rows.select("doc_id", "text_hash", "base", F.filter("loose", apart).alias("loose"), "numbers")
+
+
+def _patterns(words: Column) -> Column:
+    """The last word, and the last two, of the words to the left."""
+    words = F.regexp_extract_all(words, F.lit(r"\p{L}+"), F.lit(0))
     one, two = F.slice(words, -1, 1), F.slice(words, -2, 2)
     return F.when(F.size(words) > 1, F.array(F.array_join(one, " "), F.array_join(two, " "))).when(F.size(words) == 1, F.array(F.array_join(one, " "))).otherwise(F.array().cast("array<string>"))
 
@@ -154,34 +189,52 @@ def _edges(found: DataFrame) -> DataFrame:
 
     def tag(spans: str, seed: bool) -> Column:
         kind = lambda s: F.lit(-1) if spans == "numbers" else s["kind"]
-        return F.transform(spans, lambda s: F.struct(kind(s).alias("kind"), s["value"].alias("value"), s["context"].alias("context"), F.lit(seed).alias("seed")))
+        return F.transform(spans, lambda s: F.struct(kind(s).alias("kind"), s["value"].alias("value"), s["words"].alias("words"), F.lit(seed).alias("seed")))
 
     tagged = found.select(F.explode(F.concat(tag("base", True), tag("loose", False), tag("numbers", False))).alias("s"))
-    return tagged.select(F.explode(_patterns(F.col("s.context"))).alias("pattern"), "s.kind", F.xxhash64("s.value").alias("value"), "s.seed").distinct()
+    return tagged.select(F.explode(_patterns(F.col("s.words"))).alias("pattern"), "s.kind", F.xxhash64("s.value").alias("value"), "s.seed").distinct()
 
 
-def discover(found: DataFrame) -> DataFrame:
-    """Rows (doc_id, text_hash, added): spans of candidates that good patterns lead to."""
-    edges = materialize(_edges(found), "pattern-instances")
-    seeds = edges.where("seed").groupBy("pattern", "kind").agg(F.count(F.lit(1)).alias("n_seeds")).where(F.col("n_seeds") >= LEAST_SEEDS)
+def good_patterns(edges: DataFrame) -> DataFrame:
+    """Rows (pattern, kind, score) of the patterns that lead to identifiers, from rows of :func:`_edges`.
+
+    A pattern's score is the share of its distinct instances that are known: seeds, and
+    candidates by their own score. It is good from ``LEAST_SCORE`` on where at least ``LEAST_SEEDS``
+    of them are seeds or candidates of that score.
+    """
+    seeds = edges.where("seed").groupBy("pattern", "kind").agg(F.count(F.lit(1)).alias("n_seeds"))
     all_ = edges.select("pattern", "value").distinct().groupBy("pattern").agg(F.count(F.lit(1)).alias("n_all"))
     loose = edges.where("not seed and kind >= 0").select("pattern", "kind", "value")
-    patterns = materialize(seeds.join(all_, "pattern"), "patterns")
-    links = materialize(loose.join(patterns.select("pattern", "kind"), ["pattern", "kind"]), "candidate-links")
+    kinds = edges.where("kind >= 0").select("pattern", "kind").distinct()
+    patterns = materialize(kinds.join(seeds, ["pattern", "kind"], "left").join(all_, "pattern").select("pattern", "kind", F.coalesce("n_seeds", F.lit(0)).alias("n_seeds"), "n_all"), "patterns")
+    # a value that a seed has too is a seed behind its pattern already
+    links = materialize(loose.join(edges.where("seed").select("pattern", "kind", "value"), ["pattern", "kind", "value"], "left_anti"), "candidate-links")
+
+    def scored(rows: DataFrame, gained: Column, promoted: Column) -> DataFrame:
+        share = F.least(F.lit(1.0), (F.col("n_seeds") + gained) / F.col("n_all"))
+        return rows.select("pattern", "kind", F.when(F.col("n_seeds") + promoted >= LEAST_SEEDS, share).otherwise(0.0).alias("score"), (F.col("n_seeds") + promoted).alias("known"))
 
-    scores = patterns.select("pattern", "kind", (F.col("n_seeds") / F.col("n_all")).alias("score"))
+    scores = scored(patterns, F.lit(0.0), F.lit(0))
     for _ in range(ROUNDS):
-        behind = links.join(scores, ["pattern", "kind"])
+        behind = links.join(scores.where("score > 0"), ["pattern", "kind"])
         values = behind.groupBy("kind", "value").agg((1 - F.exp(F.sum(F.log(1.0001 - F.col("score"))))).alias("value_score"))
-        gained = links.join(values, ["kind", "value"]).groupBy("pattern", "kind").agg(F.sum("value_score").alias("gained"))
-        scores = patterns.join(gained, ["pattern", "kind"], "left").select(
-            "pattern", "kind", F.least(F.lit(1.0), (F.col("n_seeds") + F.coalesce("gained", F.lit(0.0))) / F.col("n_all")).alias("score")
-        )
-        scores = materialize(scores, "pattern-scores")
-    good = scores.where(F.col("score") >= LEAST_SCORE).select("pattern", "kind")
+        gains = links.join(values, ["kind", "value"]).groupBy("pattern", "kind").agg(F.sum("value_score").alias("gained"), F.count(F.when(F.col("value_score") >= LEAST_SCORE, 1)).alias("promoted"))
+        held = scores
+        scores = materialize(scored(patterns.join(gains, ["pattern", "kind"], "left"), F.coalesce("gained", F.lit(0.0)), F.coalesce("promoted", F.lit(0))), "pattern-scores")
+        discard(held)
+    good = materialize(scores.where(F.col("score") >= LEAST_SCORE).select("pattern", "kind", "score"), "good-patterns")
+    for table in (patterns, links, scores):
+        discard(table)
+    return good
 
+
+def discover(found: DataFrame) -> DataFrame:
+    """Rows (doc_id, text_hash, added): spans of candidates that good patterns lead to."""
+    edges = materialize(_edges(found), "pattern-instances")
+    good = good_patterns(edges).select("pattern", "kind")
+    discard(edges)
     spans = found.where(F.size("loose") > 0).select("doc_id", "text_hash", F.explode("loose").alias("s"))
-    spans = spans.select("doc_id", "text_hash", F.explode(_patterns(F.col("s.context"))).alias("pattern"), F.col("s.kind").alias("kind"), "s")
+    spans = spans.select("doc_id", "text_hash", F.explode(_patterns(F.col("s.words"))).alias("pattern"), F.col("s.kind").alias("kind"), "s")
     return spans.join(good, ["pattern", "kind"]).groupBy("doc_id", "text_hash").agg(F.collect_set("s").alias("added"))
 
 

@@ -600,3 +600,61 @@ def test_the_texts_are_read_once_whatever_the_benchmark(spark, tmp_path, monkeyp
         found = decontaminate.contamination(texts, benchmark)
         assert found._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 1
         assert {(x["doc_id"], tuple(x["items"])) for x in found.collect()} == {(i, (str(i),) if i % 2 else ()) for i in range(40)}
+
+
+# --- op2, contexts and rounds
+
+
+def found_in(spark, rows):
+    return {r["doc_id"]: [(pii.KINDS[s["kind"]], s["value"]) for s in r["spans"]] for r in pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+
+
+def luhn_card(n):
+    digits = f"{4_000_000_0000_00 + n * 7919:015d}"
+    total = sum(int(c) if i % 2 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(reversed(digits)))
+    return digits + str(-total % 10)
+
+
+def spaced(card, by):
+    return by.join(card[k : k + 4] for k in range(0, 16, 4))
+
+
+def test_looser_forms_of_varied_values_are_found_and_hard_negatives_are_not(spark):
+    rows = [(i, f"paid with card {spaced(luhn_card(i), ' ')} at the till") for i in range(30)]
+    rows += [(100 + i, f"paid with card {spaced(luhn_card(50 + i), '.')} at the till") for i in range(5)]
+    rows += [(200 + i, f"my phone +1 ({300 + 7 * i}) 555-{1000 + i}") for i in range(10)]
+    rows += [(300 + i, f"my phone ({400 + 11 * i}) 555-{2000 + i}") for i in range(10)]
+    rows += [(400 + i, f"the server at ip 10.{i}.0.{i + 1} answered") for i in range(10)]
+    rows += [(500 + i, f"the server at ip 10[.]9[.]{i}[.]7 answered") for i in range(5)]
+    # numbers of the same look behind words that lead elsewhere
+    rows += [(600 + i, f"part number ({500 + i}) 555-{3000 + i} is out of stock, as is part number {i}77") for i in range(10)]
+    rows += [(700 + i, f"batch {spaced(luhn_card(90 + i), '.')} was recalled, then batch {i}4") for i in range(5)]
+    got = found_in(spark, rows)
+    assert [got[100 + i] for i in range(5)] == [[("card", spaced(luhn_card(50 + i), "."))] for i in range(5)]
+    assert [got[300 + i] for i in range(10)] == [[("phone", f"({400 + 11 * i}) 555-{2000 + i}")] for i in range(10)]
+    assert [got[500 + i] for i in range(5)] == [[("ip", f"10[.]9[.]{i}[.]7")] for i in range(5)]
+    assert not any(got[k] for k in [*range(600, 610), *range(700, 705)])
+
+
+def test_promoted_instances_make_patterns_of_their_own(spark):
+    rows = [(i, f"write to mail: user{i}@host{i}.org") for i in range(12)]
+    shared = [f"person{i} (at) site{i} (dot) net" for i in range(5)]
+    rows += [(20 + i, f"mail: {x}") for i, x in enumerate(shared)]  # known behind the seeds' pattern
+    rows += [(30 + i, f"kontakt: {x}") for i, x in enumerate(shared)]  # and so behind a new one
+    rows += [(40, "kontakt: other (at) place (dot) net"), (41, "unrelated: other (at) thing (dot) net")]
+    got = found_in(spark, rows)
+    assert all(got[k] for k in [*range(20, 25), *range(30, 35), 40]) and not got[41]
+
+
+def test_many_matches_in_one_text(spark):
+    import time
+
+    text = " ".join(f"mail: a{i}@b{i}.org phone +1 ({200 + i % 700}) 555-{i % 9000 + 1000} at ip 10.0.{i % 250}.{i % 200}" for i in range(8000))
+    start = time.monotonic()
+    got = pii.personal_data(spark.createDataFrame([(1, text)], "doc_id long, text string")).select(pii.listed("base")).first()[0]
+    assert got == slow_spans(text) and time.monotonic() - start < 90
+
+
+def test_contexts_reach_as_far_as_the_words_do(spark):
+    rows = [(i, "address" + " - " * 40 + f"user{i}@host{i}.org") for i in range(6)] + [(9, "address" + " - " * 90 + "bob (at) example (dot) com")]
+    assert found_in(spark, rows)[9] == [("email", "bob (at) example (dot) com")]
