@@ -20,10 +20,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairnworks.llm.batches import by_bytes, map_arrow, map_batches
-from cairnworks.llm.columns import whole_text
+from cairnworks.llm.columns import join_spread, whole_text
 from cairnworks.llm.fingerprints import close_pairs, smallest_linked
 from cairnworks.operators.components import connected_components
-from cairnworks.scratch import materialize, shuffle_partitions
+from cairnworks.scratch import discard, materialize, shuffle_partitions
 
 RADIUS = 4
 #: Fingerprints compared at a time; larger buckets are dealt out in tiles of half of it.
@@ -171,12 +171,15 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     prints = materialize(fingerprints(docs, id_col, text_col, words), "fingerprints")
     values = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "fingerprint-values")
-    found = connected_components(materialize(links(values.select("fp"), radius), "fingerprint-links"))
+    edges = materialize(links(values.select("fp"), radius), "fingerprint-links")
+    found = connected_components(edges)
     rooted = values.join(found.select(F.col("node").alias("fp"), F.col("component").alias("root")), "fp", "left")
-    rooted = rooted.select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    rooted = materialize(rooted.select("fp", "first", F.coalesce("root", "fp").alias("root")), "fingerprint-roots")
     names = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    rooted = rooted.join(names, "root").select("fp", "component_id")
-    return prints.join(rooted, "fp").select("doc_id", "text_hash", "fp", "component_id")
+    named = materialize(join_spread(rooted, names, "root", "fp").select("fp", "component_id"), "fingerprint-components")
+    for table in (values, edges, rooted):
+        discard(table)
+    return join_spread(prints, named, "fp", "doc_id").select("doc_id", "text_hash", "fp", "component_id")
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, words: int = 4) -> DataFrame:

@@ -658,3 +658,32 @@ def test_many_matches_in_one_text(spark):
 def test_contexts_reach_as_far_as_the_words_do(spark):
     rows = [(i, "address" + " - " * 40 + f"user{i}@host{i}.org") for i in range(6)] + [(9, "address" + " - " * 90 + "bob (at) example (dot) com")]
     assert found_in(spark, rows)[9] == [("email", "bob (at) example (dot) com")]
+
+
+# --- op7 and op9, hot keys and collisions
+
+
+@pytest.mark.parametrize("partitions", ["1", "3", "9"])
+def test_a_line_that_spans_partitions_has_one_owner(spark, partitions):
+    """Most rows hold one line, so its run crosses several range partitions, some in the middle of a document."""
+    hot, warm = "h" * 50, "w" * 45
+    rows = [(i, "\n".join([hot] * (1 + i % 7) + ([warm] if i % 9 == 0 else []) + [f"own line {i} " * 4])) for i in range(120)]
+    rows += [(500, "\n".join([hot] * 60)), (None, hot), (500, "\n".join([hot] * 60)), (700 + 0, warm)] + [(800 + i, "v" * 44) for i in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        got = line_dedup.drop_lines(docs, line_dedup.keep_bitmaps(docs)).select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256)).collect()
+        few = [(i, "\n".join([hot] * 40)) for i in range(4)]  # four documents are too few, however many partitions
+        left = line_dedup.keep_bitmaps(spark.createDataFrame(few, "doc_id long, text string")).count()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert bag(got) == drop_lines(rows) and left == 0
+
+
+def test_digests_that_collide_never_merge_texts(spark, odd_docs):
+    want = bag(exact_dedup.exact_groups(odd_docs).collect())
+    for digest in (lambda t: F.lit(b"x"), lambda t: F.unhex(F.substring(F.sha2(t, 256), 1, 2)), lambda t: F.encode(F.substring(t, 1, 1), "UTF-8")):
+        assert bag(exact_dedup.exact_groups(odd_docs, digest=digest).collect()) == want
+    plan = exact_dedup.exact_groups(odd_docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan and "collect_set" not in plan
