@@ -69,7 +69,8 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 2048, id_col: str
     padding; null counts as empty. Batches are balanced by bytes; of a tokenizer that drops white
     space only the distinct words of a batch are encoded (see :class:`IdEncoder`), and a text over
     ``PIECE_CHARS`` is cut before white space. Other tokenizers encode whole texts.
-    Ids pass through unread, nulls and repeats included; other columns are not read.
+    Ids pass through unread, nulls and repeats included; other columns, whatever their names, are not
+    read; an empty table gives an empty result.
     """
 
     def make():

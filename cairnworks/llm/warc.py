@@ -12,6 +12,7 @@ import base64
 import gzip
 import hashlib
 import os
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -33,14 +34,17 @@ REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-dig
 
 
 def file_system(uri: str):
-    """(pyarrow file system, path) of a URI; a plain path or file: URI is a shared local folder."""
+    """(pyarrow file system, path) of a URI; a plain path or file: URI is a shared local folder.
+
+    The names that Hadoop's connectors have for S3 mean S3.
+    """
     from pyarrow import fs
 
     if uri.startswith("file:"):
         uri = "/" + uri[5:].lstrip("/")
     if uri.startswith("/"):
         return fs.LocalFileSystem(), uri
-    return fs.FileSystem.from_uri(uri)
+    return fs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", uri))
 
 
 def record_id(page_id: int | None) -> str:
