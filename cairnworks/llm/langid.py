@@ -3,8 +3,9 @@
 Features are hashed character n-grams weighted by TF-IDF. Document frequencies come from all
 documents that may be learned from. The weights are fitted by follow-the-regularised-leader
 (per-coordinate FTRL-proximal, McMahan et al. 2013) with an elastic-net penalty on a bounded
-sample of labelled rows, at most ``per_language`` for each language, and the scores are
-calibrated by a temperature fitted on a part of that sample that the weights have not seen.
+sample of labelled rows, and the scores are calibrated by a temperature fitted on a part of that
+sample that the weights have not seen. Every label is learned: the sample holds at most
+``per_language`` rows of each, and fewer where ``SAMPLE_ROWS`` are not enough for all, but one at least.
 """
 
 from __future__ import annotations
@@ -25,9 +26,9 @@ from cairnworks.llm.batches import map_arrow, map_batches
 FEATURES = 1 << 15
 SIZES = (1, 2, 3)
 CHUNK = 1 << 20
-#: Bound of the training sample: labelled rows of each language, and languages learned (the most frequent).
+#: Bound of the training sample: labelled rows of each language, and of all.
 PER_LANGUAGE = 400
-LANGUAGES = 200
+SAMPLE_ROWS = 80_000
 UNDETERMINED = "und"
 
 _LETTER = re.compile(r"[^\W\d_]")
@@ -128,7 +129,11 @@ def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], idf: np.ndarray, epochs:
         x = _tfidf(counts, idf[at])
         data.append((np.append(at, FEATURES), np.append(x, 0.1), languages.index(language)))  # the last is the bias
     order = np.random.default_rng(seed).permutation(len(data))
-    held, seen = order[: len(data) // 5], order[len(data) // 5 :]
+    taught = {data[i][2]: i for i in order[::-1]}  # a row of each language that never calibrates
+    spare = [i for i in order if taught[data[i][2]] != i]
+    held = spare[: len(data) // 5]
+    calibrates = set(held)
+    seen = [i for i in order if i not in calibrates]
     learner = FtrlProximal(FEATURES + 1, len(languages))
     for _ in range(epochs):
         for i in seen:
@@ -184,12 +189,14 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     df[list(found)] = list(found.values())
     idf = np.log((1 + total) / (1 + df)) + 1
 
-    counts = own.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    if not counts:
+    counts = own.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    n_languages = counts.count()
+    if not n_languages:
         return None
-    place = F.pmod(F.xxhash64(F.col("id").cast("string"), F.col("lang")), F.lit(1_000_000))
-    share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, 1.5 * (per_language + 20) / r["count"]))])
-    picked = own.where(place < F.coalesce(share[F.col("lang")], F.lit(0.0)) * 1_000_000)
+    per_language = max(1, min(per_language, SAMPLE_ROWS // n_languages))
+    # a row's place is even in [0, 1): a few more rows than wanted are ranked in each language
+    place = F.pmod(F.xxhash64(F.col("id").cast("string"), F.col("lang")), F.lit(1 << 40)) / (1 << 40)
+    picked = own.join(counts, "lang").where(place * F.col("n") < 1.5 * (per_language + 20))
     nth = F.row_number().over(Window.partitionBy("lang").orderBy(place, F.xxhash64("t")))
     picked = picked.withColumn("nth", nth).where(F.col("nth") <= per_language)
 
@@ -244,7 +251,8 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
     Every whole text is read; ``lang_pred`` is a learned label, or ``und`` with score 0 where the
     text is null or has no letter, or nothing could be learned. Ids pass through, nulls and
-    repeats included; a null id is not held out; other columns are not read.
+    repeats included; a null id is not held out; other columns are not read; equal scores go to the
+    label that sorts first; an empty table gives an empty result.
     """
     return predict(docs, train(docs, id_col, text_col, lang_col), id_col, text_col)
 

@@ -687,3 +687,45 @@ def test_digests_that_collide_never_merge_texts(spark, odd_docs):
         assert bag(exact_dedup.exact_groups(odd_docs, digest=digest).collect()) == want
     plan = exact_dedup.exact_groups(odd_docs)._jdf.queryExecution().optimizedPlan().toString()
     assert "collect_list" not in plan and "collect_set" not in plan
+
+
+# --- op10, the learner and its sample; op8, the trees
+
+
+def test_every_label_is_learned(spark, monkeypatch):
+    monkeypatch.setattr(langid, "SAMPLE_ROWS", 500)
+    rows = [(i, f"{chr(0x4E00 + i % 230) * 3} {chr(0x4E00 + i % 230)}", f"l{i % 230:03d}") for i in range(2300)]
+    got = langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    assert {r["lang_pred"] for r in got} == {r[2] for r in rows}
+
+
+def test_ftrl_is_its_formula():
+    r = np.random.default_rng(1)
+    a = langid.FtrlProximal(5, 3, alpha=0.7, beta=1.2, l1=0.03, l2=0.05)
+    z, n = [[0.0] * 3 for _ in range(5)], [[0.0] * 3 for _ in range(5)]
+
+    def weight(i, k):
+        if abs(z[i][k]) <= 0.03:
+            return 0.0
+        return -(z[i][k] - np.sign(z[i][k]) * 0.03) / ((1.2 + n[i][k] ** 0.5) / 0.7 + 0.05)
+
+    for _ in range(200):
+        at, x, y = r.permutation(5)[:3], r.normal(0, 1, 3), int(r.integers(3))
+        logits = [sum(x[j] * weight(i, k) for j, i in enumerate(at)) for k in range(3)]
+        p = np.exp(logits) / np.exp(logits).sum()
+        old = {(i, k): weight(i, k) for i in at for k in range(3)}
+        for j, i in enumerate(at):
+            for k in range(3):
+                g = x[j] * (p[k] - (k == y))
+                sigma = ((n[i][k] + g * g) ** 0.5 - n[i][k] ** 0.5) / 0.7
+                z[i][k] += g - sigma * old[i, k]
+                n[i][k] += g * g
+        a.learn(at, x, y)
+    assert np.allclose(a.weights(), [[weight(i, k) for k in range(3)] for i in range(5)])
+
+
+def test_sources_of_every_file_system():
+    assert warc.file_system("/x/y")[1] == warc.file_system("file:///x/y")[1] == "/x/y"
+    for uri in ("s3a://bucket/a", "s3n://bucket/a", "s3://bucket/a"):
+        store, path = warc.file_system(uri + "?region=us-east-1")
+        assert store.type_name == "s3" and path == "bucket/a"
