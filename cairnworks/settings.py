@@ -5,11 +5,14 @@ from __future__ import annotations
 import os
 import re
 
-_LINE = re.compile(r"""^\s*(?:export\s+)?([A-Za-z_]\w*)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^#\n]*?))\s*(?:#.*)?$""")
+_LINE = re.compile(r"""^\s*(?:export\s+)?([A-Za-z_]\w*)\s*=\s*(?:"([^"]*)"|'([^']*)'|(.*?))\s*(?:(?<=\s)#.*)?$""")
 
 
 def load_env(path: str, override: bool = False) -> dict[str, str]:
-    """Reads a file into the environment and returns what it set; variables that are set win unless overridden."""
+    """Reads a file into the environment and returns what it set; variables that are set win unless overridden.
+
+    A comment begins at a # behind white space, so one inside a value belongs to it.
+    """
     if not os.path.exists(path):
         return {}
     found = {}
