@@ -1,18 +1,22 @@
-"""Versioned Parquet tables below one folder, with one pointer file for all of them.
+"""Versioned Parquet tables below one folder, with numbered pointer files for all of them.
 
-A change writes new versions of the tables it touches and then swaps the pointer by renaming, so
-a reader sees all of a change or nothing of it. Missing columns of an older version are filled
+A change writes new versions of the tables it touches, then a pointer file with the next number under
+a name that never existed; the largest number counts. Nothing is replaced, and older pointers only
+go once the new one is there, so a reader sees all of a change or nothing of it, also when the
+writer dies at any point. Missing columns of an older version are filled
 with defaults when it is read. There is one writer at a time.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_POINTER = re.compile(r"CURRENT(?:-(\d+))?\.json$")
 #: Columns of each table, and what fills those that an old version lacks.
 SCHEMAS = {
     "files": "hash string, size long, mime string, first_seen_at long",
@@ -39,11 +43,17 @@ class Snapshots:
         p = jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
 
+    def _pointers(self) -> list[tuple[int, str]]:
+        """(number, path) of all pointer files, in order; the unnumbered one of old indexes is number 0."""
+        fs, p = self._fs(self.folder)
+        names = [f.getPath().getName() for f in fs.listStatus(p)] if fs.exists(p) else []
+        return sorted((int(m[1] or 0), f"{self.folder}/{m[0]}") for m in map(_POINTER.match, names) if m)
+
     def _read_pointer(self) -> dict[str, str]:
-        fs, p = self._fs(f"{self.folder}/CURRENT.json")
-        if not fs.exists(p):
+        found = self._pointers()
+        if not found:
             return {}
-        return json.loads("".join(r[0] for r in self.spark.read.text(f"{self.folder}/CURRENT.json", wholetext=True).collect()))
+        return json.loads("".join(r[0] for r in self.spark.read.text(found[-1][1], wholetext=True).collect()))
 
     def table(self, name: str) -> DataFrame:
         if name not in self.versions:
@@ -60,12 +70,15 @@ class Snapshots:
             columns = [x.split()[0] for x in SCHEMAS[name].split(", ")]
             df.select(*columns).write.parquet(f"{self.folder}/{name}/{version}")
             new[name] = version
-        fs, p = self._fs(f"{self.folder}/CURRENT.json")
+        before = self._pointers()
+        number = before[-1][0] + 1 if before else 1
+        fs, p = self._fs(f"{self.folder}/CURRENT-{number:012d}.json")
         _, part = self._fs(f"{self.folder}/.CURRENT-{uuid.uuid4().hex}")
         out = fs.create(part, True)
         out.write(bytearray(json.dumps(new).encode()))
         out.close()
-        if fs.exists(p):
-            fs.delete(p, False)
-        fs.rename(part, p)
+        if not fs.rename(part, p):
+            raise FileExistsError(f"another writer made {p}")
         self.versions = new
+        for _, old in before[:-1]:  # the one before stays, for readers that have just listed it
+            fs.delete(self._fs(old)[1], False)

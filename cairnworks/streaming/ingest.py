@@ -22,21 +22,19 @@ def index_stream(observations: DataFrame, folder: str, checkpoint: str) -> Strea
     def fold(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         seen = batch.withColumn("seq", F.col("observed_at"))
-        old_files = _read(spark, f"{folder}/files-{number - 1}", FILES)
-        old_paths = _read(spark, f"{folder}/paths-{number - 1}", PATHS)
+        old_files = _read(spark, folder, "files", number - 1, FILES)
+        old_paths = _read(spark, folder, "paths", number - 1, PATHS)
         fold_files(old_files, seen.select("hash", "size", "mime", F.col("observed_at").alias("first_seen_at"), "seq")).write.mode("overwrite").parquet(f"{folder}/files-{number}")
         fold_paths(old_paths, seen.select("drive_id", "path", "hash", "mtime", "observed_at", "seq")).write.mode("overwrite").parquet(f"{folder}/paths-{number}")
 
     return observations.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def _read(spark, path: str, schema: str) -> DataFrame:
-    from pyspark.errors import AnalysisException
-
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except AnalysisException:
+def _read(spark, folder: str, table: str, number: int, schema: str) -> DataFrame:
+    """The snapshot of a batch; only before the first one there is none, a missing one later is an error."""
+    if number < 0:
         return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(f"{folder}/{table}-{number}")
 
 
 def windowed_activity(events: DataFrame, length: str = "1 day", late: str = "2 days") -> DataFrame:
