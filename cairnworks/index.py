@@ -67,7 +67,8 @@ class Index:
         """Indexes a tree; unchanged files aren't read again. Counts of what happened."""
         drive, now = drive_identity(root, label), self.now()
         roots = [r["root_path"] for r in self.drives.where("kind = 'managed'").select("root_path").collect()]  # a few destinations
-        listing = materialize(walk(self.spark, root, roots).withColumn("drive_id", F.lit(drive["id"])), "listing")
+        walked = materialize(walk(self.spark, root, roots, errors=True).withColumn("drive_id", F.lit(drive["id"])), "listing")
+        listing, unreadable = walked.where("error is null").drop("error"), walked.where("error is not null").count()
         known = ingest.to_hash(listing.where("not is_link"), self.paths, self.files)
         todo = listing.join(known.where("known_hash is null").select("drive_id", "path"), ["drive_id", "path"], "left_semi")
         hashed = materialize(hash_files(todo.select("drive_id", "path", "abspath", "size", "mtime", "ctime")), "hashed")
@@ -84,8 +85,8 @@ class Index:
         paths = paths.withColumn("id", F.coalesce("id", F.lit(base) + F.monotonically_increasing_id())).withColumn("ctime", F.coalesce("ctime", "old_ctime"))
         drives = self.drives.where(F.col("id") != drive["id"]).unionByName(self._rows("drives", [(drive["id"], drive["label"], os.path.abspath(root), now, "scanned")]))
         self.tables.commit(files=files, paths=paths, drives=drives)
-        out = {"drive_id": drive["id"], "links": listing.where("is_link").count(), "hashed": good.count(), "skipped": same.count(), "errors": errors.count(), "pruned": 0}
-        if prune:
+        out = {"drive_id": drive["id"], "links": listing.where("is_link").count(), "hashed": good.count(), "skipped": same.count(), "errors": errors.count() + unreadable, "pruned": 0}
+        if prune and not unreadable:  # what lies below a folder that can't be read is not gone
             gone = stats.stale(self.files, self.paths.where(F.col("drive_id") == drive["id"]), now, errors)
             out["pruned"] = self._delete(materialize(gone.select("id"), "gone"), "ingest_prune")
         return out
@@ -95,10 +96,13 @@ class Index:
         drives = self.drives if drive_id is None else self.drives.where(F.col("id") == drive_id)
         roots = drives.where("kind != 'managed'").select("id", "root_path").collect()  # a row for each drive
         up = [(r["id"], r["root_path"]) for r in roots if r["root_path"] and os.path.isdir(r["root_path"])]
-        reachable = self.spark.createDataFrame([(i,) for i, _ in up], "drive_id string")
-        listing = self.spark.createDataFrame([], "drive_id string, path string")
+        listing = self.spark.createDataFrame([], "drive_id string, path string, error string")
         for i, root in up:
-            listing = listing.unionByName(walk(self.spark, root).select(F.lit(i).alias("drive_id"), "path"))
+            listing = listing.unionByName(walk(self.spark, root, errors=True).select(F.lit(i).alias("drive_id"), "path", "error"))
+        listing = materialize(listing, "listing")
+        # a drive with a folder that can't be read counts as out of reach
+        reachable = self.spark.createDataFrame([(i,) for i, _ in up], "drive_id string").join(listing.where("error is not null"), "drive_id", "left_anti")
+        listing = listing.where("error is null").drop("error")
         missing = materialize(ingest.missing_paths(self.paths, self.files, drives, listing, reachable), "missing")
         report = materialize(ingest.reconcile_report(self.paths, drives, missing, reachable), "report")
         if not dry_run:

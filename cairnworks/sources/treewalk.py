@@ -42,18 +42,31 @@ class TreeReader(DataSourceReader):
             below = sorted(e.path for e in entries if e.is_dir(follow_symlinks=False))
         return [_Folder(self.root, False), *(_Folder(p, True) for p in below)]
 
+    def _failed(self, path: str, error: OSError) -> tuple:
+        return (os.path.relpath(path, self.root), path, None, None, None, None, str(error))
+
     def read(self, partition: _Folder) -> Iterator[tuple]:
+        """Folders and files that can't be read, or vanish meanwhile, are rows with an error."""
         todo = [] if self._left_out(partition.path) else [partition.path]
         while todo:
             folder = todo.pop()
-            with os.scandir(folder) as entries:
-                for e in sorted(entries, key=lambda e: e.name):
+            try:
+                with os.scandir(folder) as entries:
+                    inside = sorted(entries, key=lambda e: e.name)
+            except OSError as error:
+                yield self._failed(folder, error)
+                continue
+            for e in inside:
+                try:
                     info = e.stat(follow_symlinks=False)
-                    if stat.S_ISDIR(info.st_mode):
-                        if partition.deep and not self._left_out(e.path):
-                            todo.append(e.path)
-                    elif e.name != MARKER and (e.is_symlink() or stat.S_ISREG(info.st_mode)):
-                        yield (os.path.relpath(e.path, self.root), e.path, info.st_size, int(info.st_mtime), int(info.st_ctime), e.is_symlink())
+                except OSError as error:
+                    yield self._failed(e.path, error)
+                    continue
+                if stat.S_ISDIR(info.st_mode):
+                    if partition.deep and not self._left_out(e.path):
+                        todo.append(e.path)
+                elif e.name != MARKER and (stat.S_ISLNK(info.st_mode) or stat.S_ISREG(info.st_mode)):
+                    yield (os.path.relpath(e.path, self.root), e.path, info.st_size, int(info.st_mtime), int(info.st_ctime), stat.S_ISLNK(info.st_mode), None)
 
 
 class TreeSource(DataSource):
@@ -62,18 +75,22 @@ class TreeSource(DataSource):
         return "cairn_tree"
 
     def schema(self) -> str:
-        return "path string, abspath string, size long, mtime long, ctime long, is_link boolean"
+        return "path string, abspath string, size long, mtime long, ctime long, is_link boolean, error string"
 
     def reader(self, schema) -> TreeReader:
         managed = self.options.get("managed", "")
         return TreeReader(self.options["path"], [m for m in managed.split(os.pathsep) if m])
 
 
-def walk(spark: SparkSession, root: str, managed: list[str] | None = None) -> DataFrame:
-    """(path, abspath, size, mtime, ctime, is_link) of every file below the root."""
+def walk(spark: SparkSession, root: str, managed: list[str] | None = None, errors: bool = False) -> DataFrame:
+    """(path, abspath, size, mtime, ctime, is_link) of every file below the root.
+
+    With ``errors`` also ``error``, and a row for each folder or file that couldn't be read.
+    """
     spark.dataSource.register(TreeSource)
     rows = spark.read.format("cairn_tree").option("managed", os.pathsep.join(managed or [])).load(root)
-    return rows.withColumn("path", to_posix(F.col("path")))
+    rows = rows.withColumn("path", to_posix(F.col("path")))
+    return rows if errors else rows.where("error is null").drop("error")
 
 
 def hash_files(listing: DataFrame) -> DataFrame:
