@@ -45,15 +45,17 @@ def free_names(items: DataFrame, taken: DataFrame) -> DataFrame:
     folder = F.when(parent_dir(F.col("rel")) == ".", "").otherwise(F.concat(parent_dir(F.col("rel")), F.lit("/")))
     rows = items.withColumn("k", F.row_number().over(Window.partitionBy("dest_root", "rel").orderBy("item")))
     there = taken.select("dest_root", F.col("rel").alias("name")).union(items.select("dest_root", F.col("rel").alias("name"))).distinct()
-    numbered = there.select("dest_root", "name", F.regexp_extract("name", r" \((\d+)\)(?:\.[^./]+)?$", 1).alias("n"), F.regexp_replace("name", r" \(\d+\)(\.[^./]+)?$", "$1").alias("rel"))
-    used = numbered.where("n != '' and length(n) < 10").groupBy("dest_root", "rel").agg(F.array_sort(F.collect_set(F.col("n").cast("int"))).alias("used"))
+    numbered = there.select("dest_root", F.regexp_extract("name", r" \((\d+)\)(?:\.[^./]+)?$", 1).alias("n"), F.regexp_replace("name", r" \(\d+\)(\.[^./]+)?$", "$1").alias("rel"))
+    used = numbered.where("n != '' and length(n) < 10").select("dest_root", "rel", F.col("n").cast("int").alias("n")).where("n >= 2").distinct()
     on_disk = taken.select("dest_root", "rel").distinct().withColumn("occupied", F.lit(True))
-    rows = rows.join(on_disk, ["dest_root", "rel"], "left").join(used, ["dest_root", "rel"], "left")
-    rows = rows.withColumn("need", F.col("k") - F.when(F.col("occupied"), 0).otherwise(1))
-    used_numbers = F.coalesce("used", F.array().cast("array<int>"))
-    open_numbers = F.array_except(F.sequence(F.lit(2), F.col("need") + F.size(used_numbers) + 1), used_numbers)
-    number = F.get(open_numbers, F.col("need") - 1)
-    final = F.when(F.col("need") <= 0, F.col("rel")).otherwise(F.concat(folder, stem, F.lit(" ("), number, F.lit(")"), ending))
+    rows = rows.join(on_disk, ["dest_root", "rel"], "left").withColumn("need", F.col("k") - F.when(F.col("occupied"), 0).otherwise(1))
+    # the j-th used number has n - 2 - j free ones below; a row passes over those with fewer than it needs
+    name = Window.partitionBy("dest_root", "rel")
+    used = used.select("dest_root", "rel", (F.col("n") - 1 - F.row_number().over(name.orderBy("n"))).alias("need"), F.lit(None).cast(items.schema["item"].dataType).alias("item"), F.lit(1).alias("is_used"))
+    both = rows.select("dest_root", "rel", "need", "item", F.lit(0).alias("is_used")).unionByName(used)
+    passed = F.sum("is_used").over(name.orderBy("need", "is_used").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    rows = both.withColumn("number", F.col("need") + 1 + passed).where("is_used = 0")
+    final = F.when(F.col("need") <= 0, F.col("rel")).otherwise(F.concat(folder, stem, F.lit(" ("), "number", F.lit(")"), ending))
     return rows.select("item", "dest_root", "rel", final.alias("final_rel"))
 
 
