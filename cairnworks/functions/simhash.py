@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections import deque
 from collections.abc import Iterator
 from itertools import islice
 
@@ -48,25 +47,29 @@ def simhash_md5(rows: DataFrame, key: str, text: str, k: int = SHINGLE_WORDS, ch
 _WORD = re.compile(r"\w+")
 
 
-def _grams(text: str, k: int) -> Iterator[str]:
-    window: deque[str] = deque(maxlen=k)
-    for word in _WORD.finditer(text.lower()):
-        window.append(word[0])
-        if len(window) == k:
-            yield " ".join(window)
-    if 0 < len(window) < k:
-        yield " ".join(window)
+def _grams(text: str, k: int, chunk: int) -> Iterator[list[bytes]]:
+    """The shingles, some at a time; the words of a chunk overlap the next one's by k - 1."""
+    found = (m[0].encode() for m in _WORD.finditer(text.lower()))
+    words = list(islice(found, k))
+    if len(words) < k:
+        if words:
+            yield [b" ".join(words)]
+        return
+    while len(words) >= k:
+        yield list(map(b" ".join, zip(*(words[j:] for j in range(k)), strict=False)))
+        words = words[len(words) - k + 1 :]
+        words += islice(found, chunk)
 
 
 def simhash_blake2(text: str, k: int = SHINGLE_WORDS, chunk: int = CHUNK) -> int:
     """Unsigned signature with 64-bit BLAKE2b features, big-endian; 0 without words."""
-    grams, counts, n = _grams(text, k), np.zeros(64, np.int64), 0
-    while some := list(islice(grams, chunk)):
-        features = b"".join(hashlib.blake2b(gram.encode(), digest_size=8).digest() for gram in some)
+    counts, n = np.zeros(64, np.int64), 0
+    for some in _grams(text, k, chunk):
+        features = b"".join([hashlib.blake2b(gram, digest_size=8).digest() for gram in some])
         bits = np.unpackbits(np.frombuffer(features, np.uint8).reshape(-1, 8)[:, ::-1], axis=1, bitorder="little")
         counts += bits.sum(axis=0, dtype=np.int64)
         n += len(some)
-    return sum(1 << b for b in range(64) if 2 * counts[b] > n)
+    return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
 
 
 def simhash_arrow(rows: DataFrame, key: str, text: str, k: int = SHINGLE_WORDS, chars: int | None = None) -> DataFrame:
