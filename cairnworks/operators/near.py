@@ -117,9 +117,10 @@ def document_clusters(paths: DataFrame, signatures: DataFrame, clustered: DataFr
     return as_clusters(without_overlap(found, clustered), "doc_version", "document versions")
 
 
-def image_clusters(signatures: DataFrame, clustered: DataFrame, radius: int = IMAGE_RADIUS) -> DataFrame:
+def image_clusters(signatures: DataFrame, clustered: DataFrame, radius: int = IMAGE_RADIUS, most: int | None = MAX_IMAGE_CLUSTER) -> DataFrame:
+    """Clusters of at most ``most`` images, the usual rule against runaway chains; None keeps all."""
     found = components_of(band_links(signatures, radius))
-    return as_clusters(without_overlap(found, clustered), "near_image", "similar images", MAX_IMAGE_CLUSTER)
+    return as_clusters(without_overlap(found, clustered), "near_image", "similar images", most)
 
 
 def oversize(components: DataFrame, most: int = MAX_IMAGE_CLUSTER) -> DataFrame:

@@ -363,6 +363,31 @@ def g1_integer_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return connected_components(edges)
 
 
+@query("g1_order_components")
+def g1_order_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers and groups of orders that all orders link; tested against union-find."""
+    edges = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("src"), (-F.col("o_orderkey") % 977 - 1).alias("dst"))
+    return connected_components(edges)
+
+
+_BANDED = "WITH RECURSIVE " + _IMAGES.replace("{radius}", "22") + """, dp AS (SELECT p.* FROM imgpairs p JOIN good x ON x.hash = p.a JOIN good y ON y.hash = p.b
+ WHERE len(list_filter(range(8), lambda i: ((x.sig >> (8 * i)::UBIGINT) & 255) = ((y.sig >> (8 * i)::UBIGINT) & 255))) > 0)"""
+
+
+@query("j10_band_pairs_wide", _BANDED + " SELECT * FROM dp", False)
+def j10_band_pairs_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs within a radius at which the embeddings have links, and with a band in common."""
+    return near.band_pairs(_image_signatures(spark, sf_dir), 22)
+
+
+@query("g4_banded_clusters", _BANDED + _REACH + """, old AS (SELECT DISTINCT component FROM comp WHERE hash < '00000030'), n AS (SELECT component FROM comp GROUP BY component HAVING count(*) <= 200)
+SELECT substr(sha256('near_image|' || component), 1, 16) AS cluster_id, 'near_image' AS kind, 'similar images' AS label, hash FROM comp JOIN n USING (component) WHERE component NOT IN (SELECT component FROM old)""", False)
+def g4_banded_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near images as the index clusters them, at that radius; components with an image below '00000030' are left alone."""
+    signatures = _image_signatures(spark, sf_dir)
+    return near.image_clusters(signatures, signatures.where("hash < '00000030'").select("hash"), 22)
+
+
 # --- topics
 
 
@@ -406,6 +431,35 @@ def t6_topic_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topics.topic_clusters(tags, paths, rows.where("page_id < 20").select("hash"))
 
 
+def _whole_titles(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """As :func:`_topic_rows`, with the whole title."""
+    rows, paths = _topic_rows(spark, sf_dir)
+    title = F.regexp_extract("html", "<title>([^<]*)</title>", 1)
+    texts = table(spark, sf_dir, "pages").select(F.lpad(F.col("page_id").cast("string"), 8, "0").alias("hash"), "page_id", F.concat(F.when(F.col("page_id") % 9 == 0, "").otherwise("\n# "), title, F.lit(" #\nbody")).alias("text"))
+    return texts.select(*rows.columns), paths
+
+
+_WHOLE_TOPICS = """WITH p AS (SELECT page_id, lpad(CAST(page_id AS VARCHAR), 8, '0') AS hash, trim(regexp_extract(html, '<title>([^<]*)</title>', 1)) AS title, page_id % 10 <> 7 AS live FROM pages),
+t0 AS (SELECT hash, trim(rtrim(trim(title || ' #'), '#')) AS topic, live FROM p WHERE page_id % 9 <> 0),
+t1 AS (SELECT hash, substr(topic, 1, 60) AS topic, live FROM t0 WHERE length(topic) > 0),
+t AS (SELECT hash, topic, live, coalesce(nullif(substr(trim(regexp_replace(lower(topic), '[^a-z0-9]+', '-', 'g'), '-'), 1, 60), ''), 'untitled') AS slug FROM t1)
+"""
+
+
+@query("t1_whole_headings", _WHOLE_TOPICS + "SELECT hash, topic, slug, 'document' AS kind, 0.9::DOUBLE AS confidence FROM t", False)
+def t1_whole_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = topics.infer_by_heading(_whole_titles(spark, sf_dir)[0], "hash", "text")
+    return found.withColumn("confidence", F.col("confidence").cast("double"))
+
+
+@query("t6_whole_topic_clusters", _WHOLE_TOPICS + """, g AS (SELECT slug, min(topic) AS label, min(hash) AS first FROM t WHERE live GROUP BY slug HAVING count(*) >= 2)
+SELECT substr(sha256('topic|' || first), 1, 16) AS cluster_id, 'topic' AS kind, label, hash FROM g JOIN t USING (slug) WHERE live""", False)
+def t6_whole_topic_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, paths = _whole_titles(spark, sf_dir)
+    tags = topics.as_tags(topics.infer_by_heading(rows, "hash", "text"), "rule")
+    return topics.topic_clusters(tags, paths, rows.limit(0).select("hash"))
+
+
 # --- review and relocation
 
 _KEEP = """, act AS (SELECT m.cluster_id, p.id AS path_id, m.hash FROM members m JOIN paths p USING (hash) WHERE p.status = 'active'),
