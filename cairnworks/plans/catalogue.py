@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from cairnworks.functions import bits, names, text
 from cairnworks.functions.simhash import simhash_arrow, simhash_md5
-from cairnworks.operators import archives, clusters, ingest, moves, near, review, stats, topics
+from cairnworks.operators import archives, clusters, diagnostics, ingest, moves, near, review, stats, topics
 from cairnworks.operators.components import connected_components
 from cairnworks.scratch import materialize
 from cairnworks.sources.warehouse import archive, table
@@ -304,6 +304,56 @@ def a18_popcounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _image_signatures(spark, sf_dir).groupBy(F.bit_count("sig").alias("n_bits")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("sig").alias("n_distinct"))
 
 
+@query("a18_common_signatures", "WITH " + _IMAGES.replace("{radius}", "6") + """, coarse AS (SELECT sig & 15::UBIGINT AS sig FROM img)
+SELECT CAST(sig AS BIGINT) AS sig, count(*) AS n, CAST(bit_count(sig) AS INTEGER) AS n_bits FROM coarse GROUP BY sig ORDER BY n DESC, sig LIMIT 6""", False)
+def a18_common_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The six commonest values, of the signatures' last four bits so that values repeat."""
+    return diagnostics.common_signatures(_image_signatures(spark, sf_dir).select(F.col("sig").bitwiseAND(F.lit(15)).alias("sig")))
+
+
+@query("a18_cluster_sizes", "SELECT c.id AS cluster_id, count(m.hash) AS n_members FROM clusters c JOIN members m ON m.cluster_id = c.id WHERE c.kind = 'exact' GROUP BY c.id")
+def a18_cluster_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = archive(spark, sf_dir)
+    return diagnostics.cluster_sizes(a.clusters, a.members, "exact")
+
+
+@query("p15_missing_dimensions", "SELECT DISTINCT lpad(CAST(vec_id AS VARCHAR), 8, '0') AS hash FROM embeddings WHERE vec_id % 7 = 0 OR vec_id % 11 = 0", False)
+def p15_missing_dimensions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Widths are unknown for every seventh signature, heights for every eleventh."""
+    v = F.col("vec_id")
+    known = lambda n: F.when(v % n != 0, F.lit(640))
+    rows = table(spark, sf_dir, "embeddings").select(F.lpad(v.cast("string"), 8, "0").alias("hash"), F.lit("phash_image").alias("algo"), known(7).alias("w"), known(11).alias("h"))
+    return diagnostics.without_dimensions(rows)
+
+
+@query("p11_hash_prefix", "SELECT hash, size FROM files WHERE hash LIKE 'a%'")
+def p11_hash_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return diagnostics.hash_prefix(archive(spark, sf_dir).files, "a").select("hash", "size")
+
+
+@query("o10_drives_by_label", "SELECT id, label, root_path, kind FROM drives ORDER BY label, id")
+def o10_drives_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return diagnostics.drives_by_label(archive(spark, sf_dir).drives).select("id", "label", "root_path", "kind")
+
+
+@query("a19_exact_verdicts", """, disk AS (SELECT p.id, CASE WHEN p.id % 5 = 0 THEN NULL ELSE f.size + CASE WHEN p.id % 11 = 0 THEN 1 ELSE 0 END END AS disk_size,
+ CASE WHEN p.id % 5 = 0 OR p.id % 3 = 0 THEN NULL WHEN p.id % 7 = 0 THEN 'other' ELSE p.hash END AS fresh_hash FROM paths p JOIN files f USING (hash)),
+g AS (SELECT p.hash, count(*) AS n_paths, count(d.disk_size) AS n_found, count(CASE WHEN d.disk_size IS NOT NULL AND d.fresh_hash IS NULL THEN 1 END) AS n_unread,
+ count(DISTINCT d.disk_size) AS n_sizes, count(DISTINCT d.fresh_hash) AS n_hashes, min(d.fresh_hash) AS fresh FROM paths p LEFT JOIN disk d ON d.id = p.id WHERE p.status = 'active' GROUP BY p.hash)
+SELECT hash, size, n_paths, n_found, n_sizes, n_hashes, CASE WHEN n_found = 0 THEN 'missing' WHEN n_sizes > 1 THEN 'sizes differ' WHEN n_hashes > 1 THEN 'hashes differ'
+ WHEN n_hashes = 1 AND fresh <> hash THEN 'changed' WHEN n_unread > 0 THEN 'not hashed' ELSE 'identical' END AS verdict FROM g JOIN files USING (hash)""")
+def a19_exact_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A disk where some files are gone, some have grown, some weren't read and some have other contents."""
+    a = archive(spark, sf_dir)
+    i = F.col("id")
+    disk = a.paths.join(a.files.select("hash", "size"), "hash").select(
+        "id",
+        F.when(i % 5 != 0, F.col("size") + F.when(i % 11 == 0, 1).otherwise(0)).alias("disk_size"),
+        F.when((i % 5 != 0) & (i % 3 != 0), F.when(i % 7 == 0, "other").otherwise(F.col("hash"))).alias("fresh_hash"),
+    )
+    return diagnostics.exact_verdicts(a.files, a.paths, disk)
+
+
 @query("j10_band_pairs", "WITH " + _IMAGES.replace("{radius}", "6") + " SELECT * FROM imgpairs", False)
 def j10_band_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Eight bands find every pair within six bits."""

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from cairnworks.functions import bits, names, text
 from cairnworks.functions.simhash import simhash_arrow, simhash_blake2, simhash_md5
-from cairnworks.operators import archives, clusters, ingest, moves, near, review, state, topics
+from cairnworks.operators import archives, clusters, diagnostics, ingest, moves, near, review, state, topics
 from cairnworks.operators.components import connected_components
 from cairnworks.scratch import materialize
 from cairnworks.sources import treewalk
@@ -328,3 +328,12 @@ def test_stream_of_observations_equals_one_batch(spark, tmp_path):
     paths = spark.read.schema(PATHS).parquet(f"{tmp_path}/index/paths-{last}")
     files = spark.read.schema(FILES).parquet(f"{tmp_path}/index/files-{last}")
     assert {r["path"]: r["hash"] for r in paths.collect()} == {f"p{i}": f"h{15 + i}" for i in range(5)} and files.count() == 20
+
+
+def test_verdicts_of_stored_hashes(spark):
+    files = spark.createDataFrame([(h, 3) for h in "abcdef"], "hash string, size long")
+    paths = spark.createDataFrame([(1, "a", "active"), (2, "a", "active"), (3, "b", "active"), (4, "b", "active"), (5, "c", "active"), (6, "d", "active"), (7, "e", "active"), (8, "e", "active"), (9, "f", "purgatory")], "id long, hash string, status string")
+    disk = spark.createDataFrame([(1, 3, "a"), (2, 3, "a"), (3, 3, "b"), (4, 2, None), (5, 3, "x"), (7, 3, "e"), (8, 3, None)], "id long, disk_size long, fresh_hash string")
+    found = {r["hash"]: r["verdict"] for r in diagnostics.exact_verdicts(files, paths, disk).collect()}
+    assert found == {"a": "identical", "b": "sizes differ", "c": "changed", "d": "missing", "e": "not hashed"}
+    assert diagnostics.hash_prefix(files, "%").count() == 0 and diagnostics.hash_prefix(files, "b").count() == 1
