@@ -6,8 +6,10 @@ import argparse
 import json
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from cairnworks.index import Index
+from cairnworks.operators.diagnostics import drives_by_label
 
 
 def main(argv: list[str] | None = None) -> None:
@@ -25,6 +27,7 @@ def main(argv: list[str] | None = None) -> None:
     commands.add_parser("overview")
     p = commands.add_parser("dups")
     p.add_argument("--limit", type=int, default=20)
+    p.add_argument("--min-size", type=int, default=1)
     p = commands.add_parser("cluster")
     p.add_argument("--reset-near", action="store_true")
     p = commands.add_parser("topics")
@@ -39,6 +42,11 @@ def main(argv: list[str] | None = None) -> None:
     p.add_argument("path_id", type=int)
     commands.add_parser("undo")
     commands.add_parser("plan")
+    p = commands.add_parser("process")
+    p.add_argument("--apply", action="store_true", help="move files; without it only the plan is shown")
+    p.add_argument("--no-verify", action="store_true")
+    commands.add_parser("undo-process")
+    commands.add_parser("drives")
     p = commands.add_parser("config")
     p.add_argument("key")
     p.add_argument("value", nargs="?")
@@ -51,7 +59,7 @@ def main(argv: list[str] | None = None) -> None:
     elif a.command == "reconcile":
         show(index.reconcile(a.drive, a.dry_run))
     elif a.command == "dups":
-        show(index.duplicates().orderBy("reclaimable", ascending=False).limit(a.limit))
+        show(index.duplicates(a.min_size).orderBy(F.desc("reclaimable"), "hash").limit(a.limit))
     elif a.command == "cluster":
         print(json.dumps(index.cluster(a.reset_near)))
     elif a.command == "topics":
@@ -66,6 +74,12 @@ def main(argv: list[str] | None = None) -> None:
         print(json.dumps(index.undo()))
     elif a.command == "plan":
         show(index.plan_moves())
+    elif a.command == "process":
+        show(index.process(dry_run=not a.apply, verify=not a.no_verify))
+    elif a.command == "undo-process":
+        print(json.dumps(index.undo_process()))
+    elif a.command == "drives":
+        show(drives_by_label(index.drives))
     elif a.command == "config":
         if a.value is not None:
             index.set_setting(a.key, json.loads(a.value))

@@ -9,19 +9,23 @@ import time
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairnworks.functions.bits import aspect_bucket
 from cairnworks.functions.names import is_text
 from cairnworks.functions.simhash import TEXT_CHARS, simhash_arrow
-from cairnworks.operators import clusters, ingest, moves, near, review, stats, topics
+from cairnworks.operators import clusters, diagnostics, ingest, moves, near, review, stats, topics
 from cairnworks.scratch import materialize
+from cairnworks.sources import images
 from cairnworks.sources.relocate import execute, move_file
 from cairnworks.sources.snapshots import SCHEMAS, Snapshots
 from cairnworks.sources.treewalk import MARKER, hash_files, walk
 
 MAX_DESTINATIONS = 5
+#: Deleted paths that one decision row tells of, about.
+DELETED_A_ROW = 1000
 
 
 def drive_identity(root: str, label: str | None = None) -> dict:
@@ -50,10 +54,14 @@ def managed_id(root: str) -> str:
 
 
 class Index:
-    """All state is in ``folder``; see :class:`Snapshots`. Times are seconds and may be given for repeatable runs."""
+    """All state is in ``folder``; see :class:`Snapshots`. Times are seconds and may be given for repeatable runs.
 
-    def __init__(self, spark: SparkSession, folder: str, now: Callable[[], int] = lambda: int(time.time())):
+    ``decoder`` gives pixels of images (see :mod:`cairnworks.sources.images`); Pillow's where that is installed.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, now: Callable[[], int] = lambda: int(time.time()), decoder: images.Decoder | None = None):
         self.spark, self.now = spark, now
+        self.decoder = decoder or (images.pillow_decoder() if images.Image is not None else None)
         self.tables = Snapshots(spark, folder)
 
     def __getattr__(self, name: str) -> DataFrame:
@@ -110,21 +118,29 @@ class Index:
         return report
 
     def _delete(self, gone: DataFrame, reason: str) -> int:
+        """Paths go; decision rows of bounded size, told by one batch name, keep them."""
         n = gone.count()
         if n:
             left, lost = review.deleted_paths(self.paths, gone, reason)
-            payload = lost.groupBy("action").agg(F.to_json(F.struct(F.collect_list("payload").alias("rows"))).alias("payload"))
+            share = F.pmod(F.xxhash64("payload"), F.lit(-(-n // DELETED_A_ROW)))
+            told = F.to_json(F.struct(F.lit(uuid.uuid4().hex).alias("batch"), F.collect_list("payload").alias("rows")))
+            payload = lost.groupBy("action", share.alias("share")).agg(told.alias("payload")).drop("share")
             self.tables.commit(paths=left, decisions=self._decided(payload, "auto"))
         return n
 
     # --- clusters and topics
 
     def cluster(self, reset_near: bool = False) -> dict:
-        """Exact groups, text signatures, document versions and near images; counts of new clusters."""
+        """Exact groups, text signatures, document versions and near images; counts of new clusters.
+
+        Images are signed where there is a decoder; signatures can also come by :meth:`add_image_signatures`.
+        """
         if reset_near:
             self.reset_clusters("near_image")
         new = {"exact": clusters.new_exact_clusters(self.files, self.paths, self._of_kind("exact")).select("cluster_id", F.lit("exact").alias("kind"), F.lit(None).cast("string").alias("label"), "hash")}
         self._sign_texts()
+        if self.decoder is not None:
+            self._sign_images()
         text = self.signatures.where("algo = 'simhash_text'")
         image = self.signatures.where("algo = 'phash_image'").withColumn("aspect", aspect_bucket(F.col("w"), F.col("h")))
         live = self.paths.where("status = 'active'").select("hash").distinct()
@@ -180,6 +196,23 @@ class Index:
         signed = simhash_arrow(self._texts(rows, TEXT_CHARS), "hash", "text").select("hash", F.lit("simhash_text").alias("algo"), "sig", F.lit(None).cast("int").alias("w"), F.lit(None).cast("int").alias("h"))
         self.tables.commit(signatures=self.signatures.unionByName(signed))
 
+    def _sign_images(self) -> None:
+        """Signs active images that have no signature, or one without dimensions."""
+        known = self.signatures.where("algo = 'phash_image'").join(diagnostics.without_dimensions(self.signatures), "hash", "left_anti")
+        rows = stats.one_location(self.files, self.paths, self.drives).where(F.col("mime").startswith("image/")).join(known.select("hash"), "hash", "left_anti")
+
+        def read(batches):
+            for batch in batches:
+                for key, path in zip(batch["hash"], batch["abspath"], strict=True):  # one file at a time
+                    try:
+                        with open(path, "rb") as f:
+                            yield pd.DataFrame({"hash": [key], "content": [f.read()]})
+                    except OSError:
+                        continue
+
+        contents = rows.select("hash", "abspath").mapInPandas(read, "hash string, content binary")
+        self.add_image_signatures(materialize(images.image_signatures(contents, self.decoder), "image-signatures"))
+
     def add_image_signatures(self, signed: DataFrame) -> None:
         """signed(hash, sig, w, h), from any decoder; later rows replace earlier ones."""
         rows = signed.select("hash", F.lit("phash_image").alias("algo"), F.col("sig").cast("long").alias("sig"), F.col("w").cast("int").alias("w"), F.col("h").cast("int").alias("h"))
@@ -257,6 +290,10 @@ class Index:
             raise ValueError("clusters were reset; build them again")
         row = self.decisions.where(F.col("id") == last["id"]).select("id", "action", "payload")
         if last["action"] in ("reconcile_delete", "ingest_prune"):
+            batch = json.loads(last["payload"]).get("batch")  # rows of older indexes have none and stand alone
+            if batch:
+                same = (F.col("action") == last["action"]) & (F.get_json_object("payload", "$.batch") == batch)
+                row = self.decisions.where(same).select("id", "action", "payload")
             rows = row.select(F.explode(F.from_json(F.get_json_object("payload", "$.rows"), "array<string>")).alias("payload"))
             again = review.restored_deletions(rows, SCHEMAS["paths"])
             told = row.select(F.lit("undo").alias("action"), F.to_json(F.struct(F.col("id").alias("target"), F.col("action").alias("of_action"))).alias("payload"))
@@ -277,6 +314,32 @@ class Index:
         new = rows.select((F.lit(base) + F.monotonically_increasing_id()).alias("id"), F.lit(self.now()).cast("long").alias("ts"), F.lit(actor).alias("actor"), "action", "payload")
         return self.decisions.unionByName(materialize(new, "decisions"))
 
+    # --- the queue of relocations
+
+    def moving(self) -> DataFrame:
+        """Moves that were begun and not finished."""
+        return self.moves.where("status = 'moving'")
+
+    def pending_for(self, path_id: int, statuses: tuple[str, ...] = ("pending", "moving", "executed")) -> DataFrame:
+        return self.moves.where((F.col("path_id") == path_id) & F.col("status").isin(*statuses))
+
+    def cancel_move(self, move_id: int) -> None:
+        """A pending move leaves the queue; others are left alone."""
+        self._advance(move_id, ("pending",), "canceled")
+
+    def begin_move(self, move_id: int, src_abspath: str, final_path: str) -> None:
+        """Notes where a pending move's file comes from and goes to, before the file is touched."""
+        self._advance(move_id, ("pending", "moving"), "moving", src_abspath=F.lit(src_abspath), final_path=F.lit(final_path))
+
+    def revert_move(self, move_id: int) -> None:
+        """A move that was begun is pending again."""
+        self._advance(move_id, ("moving",), "pending", src_abspath=F.lit(None).cast("string"))
+
+    def _advance(self, move_id: int, states: tuple[str, ...], status: str, **columns: Column) -> None:
+        mine = (F.col("id") == move_id) & F.col("status").isin(*states)
+        changed = {c: F.when(mine, v).otherwise(F.col(c)) for c, v in (columns | {"status": F.lit(status)}).items()}
+        self.tables.commit(moves=self.moves.withColumns(changed))
+
     # --- settings and relocation
 
     def get_setting(self, key: str, default=None):

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import io
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -25,24 +25,36 @@ def _need_pillow() -> None:
         raise RuntimeError("Pillow is not installed; give pixel arrays to difference_hash instead")
 
 
-def image_signatures(images: DataFrame) -> DataFrame:
-    """images(hash, content) to (hash, sig, w, h); what can't be decoded is left out."""
+Decoder = Callable[[bytes], tuple[list[int], int, int]]
+
+
+def pillow_decoder() -> Decoder:
+    """Gives 9 x 8 grey values in rows, width and height of an image's bytes, by Pillow."""
     _need_pillow()
 
-    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def decode(content: bytes) -> tuple[list[int], int, int]:
+        with Image.open(io.BytesIO(content)) as im:
+            grey = im.convert("L").resize((SIZE + 1, SIZE), Image.LANCZOS)
+            return list(grey.tobytes()), *im.size
+
+    return decode
+
+
+def image_signatures(images: DataFrame, decoder: Decoder | None = None) -> DataFrame:
+    """images(hash, content) to (hash, sig, w, h); what can't be decoded is left out."""
+    decode = decoder or pillow_decoder()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for key, content in zip(batch["hash"], batch["content"], strict=True):
                 try:
-                    with Image.open(io.BytesIO(bytes(content))) as im:
-                        w, h = im.size
-                        grey = im.convert("L").resize((SIZE + 1, SIZE), Image.LANCZOS)
-                        out.append((key, list(grey.tobytes()), w, h))
+                    out.append((key, *decode(bytes(content))))
                 except Exception:  # noqa: BLE001  decoders raise what they like
                     continue
             yield pd.DataFrame(out, columns=["hash", "pixels", "w", "h"])
 
-    pixels = images.select("hash", "content").mapInPandas(decode, "hash string, pixels array<int>, w int, h int")
+    pixels = images.select("hash", "content").mapInPandas(run, "hash string, pixels array<int>, w int, h int")
     return pixels.select("hash", difference_hash(F.col("pixels"), SIZE).alias("sig"), "w", "h")
 
 

@@ -9,6 +9,7 @@ import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
+from cairnworks.index import Index
 from cairnworks.operators import moves, near
 from cairnworks.plans.catalogue import QUERIES
 from cairnworks.settings import load_env
@@ -124,3 +125,64 @@ def test_image_clusters_of_any_size(spark):
     signatures = spark.createDataFrame(rows, "hash string, sig long, aspect string")
     none = signatures.limit(0).select("hash")
     assert near.image_clusters(signatures, none).count() == 0 and near.image_clusters(signatures, none, most=None).count() == 250
+
+
+def _moves(index: Index, *states: str):
+    rows = [(i, i, "h", "keeper", None, "/d", None, None, 1, s) for i, s in enumerate(states, 1)]
+    index.tables.commit(moves=index._rows("moves", rows))
+
+
+def test_moves_advance_and_go_back(spark, tmp_path):
+    index = Index(spark, str(tmp_path))
+    _moves(index, "pending", "pending", "executed")
+    index.begin_move(1, "/s/a", "a")
+    index.cancel_move(1)  # begun: stays
+    index.cancel_move(2)
+    index.cancel_move(3)
+    index.revert_move(3)
+    assert [(r["id"], r["src_abspath"], r["final_path"]) for r in index.moving().collect()] == [(1, "/s/a", "a")]
+    assert {r["id"]: r["status"] for r in index.moves.collect()} == {1: "moving", 2: "canceled", 3: "executed"}
+    index.revert_move(1)
+    assert index.moving().count() == 0
+    assert [(r["status"], r["src_abspath"], r["final_path"]) for r in index.pending_for(1).collect()] == [("pending", None, "a")]
+    assert index.pending_for(2).count() == 0 and index.pending_for(3).count() == 1
+
+
+def test_many_deleted_paths_come_back_at_once(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("cairnworks.index.DELETED_A_ROW", 10)
+    index = Index(spark, str(tmp_path))
+    rows = [(i, f"h{i}", "d", f"p{i}", 1, 1, 1, "active") for i in range(60)]
+    index.tables.commit(paths=index._rows("paths", rows))
+    before = sorted(index.paths.collect())
+    assert index._delete(index.paths.where("id < 50").select("id"), "ingest_prune") == 50
+    told = index.decisions.where("action = 'ingest_prune'").count()
+    assert 1 < told <= 5 and index.paths.count() == 10
+    assert index._delete(index.paths.where("id = 55").select("id"), "ingest_prune") == 1
+    assert index.undo()["action"] == "ingest_prune" and index.paths.count() == 10
+    assert index.undo()["action"] == "ingest_prune" and sorted(index.paths.collect()) == before
+    assert index.undo() is None
+
+
+def test_images_are_signed_by_the_cluster_pass(spark, tmp_path):
+    root = tmp_path / "tree"
+    root.mkdir()
+    pixels = [(i * 37) % 251 for i in range(72)]
+    for name, shift in (("a.png", 0), ("b.png", 1), ("c.png", 0)):
+        (root / name).write_bytes(bytes(p + shift for p in pixels) + name.encode())
+    (root / "bad.png").write_bytes(b"no image")
+
+    def decode(content):
+        if len(content) < 72:
+            raise ValueError("no image")
+        return list(content[:72]), 640, 480
+
+    index = Index(spark, str(tmp_path / "index"), decoder=decode)
+    index.ingest(str(root))
+    assert index.cluster()["near_image"] == 1
+    signed = index.signatures.where("algo = 'phash_image'").collect()
+    assert len(signed) == 3 and {(r["w"], r["h"]) for r in signed} == {(640, 480)}
+    assert index.cluster()["near_image"] == 0
+    # a signature without dimensions is made again
+    index.add_image_signatures(index.signatures.where("algo = 'phash_image'").withColumn("w", F.lit(None)))
+    index.cluster()
+    assert {r["w"] for r in index.signatures.where("algo = 'phash_image'").collect()} == {640}
