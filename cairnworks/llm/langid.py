@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cairnworks.llm.batches import map_arrow, map_batches
+from cairnworks.scratch import discard, materialize
 
 #: Hashed features, n-gram sizes and code points counted at a time.
 FEATURES = 1 << 15
@@ -189,14 +190,18 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     df[list(found)] = list(found.values())
     idf = np.log((1 + total) / (1 + df)) + 1
 
-    counts = own.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    place = F.pmod(F.xxhash64(F.col("id").cast("string"), "lang", "t"), F.lit(1 << 40)) / (1 << 40)
+    counts = materialize(own.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("least")), "label-counts")
     n_languages = counts.count()
     if not n_languages:
+        discard(counts)
         return None
     per_language = max(1, min(per_language, SAMPLE_ROWS // n_languages))
-    # a row's place is even in [0, 1): a few more rows than wanted are ranked in each language
-    place = F.pmod(F.xxhash64(F.col("id").cast("string"), F.col("lang")), F.lit(1 << 40)) / (1 << 40)
-    picked = own.join(counts, "lang").where(place * F.col("n") < 1.5 * (per_language + 20))
+    # a row's place is even in [0, 1): a few more rows than wanted are ranked in each language, and the
+    # first by place is among them where all rows of a label are copies
+    # a row for each label, which the model holds too: texts must not be dealt by label to meet it
+    few = F.broadcast(counts) if n_languages <= SAMPLE_ROWS else counts
+    picked = own.join(few, "lang").where((place * F.col("n") < 1.5 * (per_language + 20)) | (place == F.col("least")))
     nth = F.row_number().over(Window.partitionBy("lang").orderBy(place, F.xxhash64("t")))
     picked = picked.withColumn("nth", nth).where(F.col("nth") <= per_language)
 
@@ -213,6 +218,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         return features
 
     sample = map_batches(picked.select("lang", "t", "nth"), make, "lang string, nth int, at binary, counts binary").collect()
+    discard(counts)
     rows = [(r["lang"], np.frombuffer(r["at"], "<u2").astype(np.int64), np.frombuffer(r["counts"], "<u4")) for r in sorted(sample, key=lambda r: (r["lang"], r["nth"]))]
     return fit(rows, idf)
 

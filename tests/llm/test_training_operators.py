@@ -729,3 +729,29 @@ def test_sources_of_every_file_system():
     for uri in ("s3a://bucket/a", "s3n://bucket/a", "s3://bucket/a"):
         store, path = warc.file_system(uri + "?region=us-east-1")
         assert store.type_name == "s3" and path == "bucket/a"
+
+
+def test_a_label_of_copies_is_learned(spark):
+    rows = [(None, "der hund und die katze", "de")] * 300 + [(None, "le chien et le chat", "fr")] * 200 + [(i, f"the dog and cat {i}", "en") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(docs, per_language=5)
+    assert model.languages == ["de", "en", "fr"]
+
+
+def test_language_sample_is_cut_before_the_shuffle(spark, monkeypatch):
+    plans = []
+    real = langid.map_batches
+
+    def spy(df, *rest):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return real(df, *rest)
+
+    monkeypatch.setattr(langid, "map_batches", spy)
+    rows = [(i, f"the dog and cat {i}" if i % 3 else f"der hund {i}", "en" if i % 3 else "de") for i in range(600)]
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string")).languages == ["de", "en"]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert "BroadcastHashJoin" in plans[0] and "SortMergeJoin" not in plans[0] and plans[0].count("Exchange hashpartitioning(lang") == 1
