@@ -6,9 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairnworks.llm import decontaminate, exact_dedup, extract, langid, line_dedup, packing, pii, simhash_dedup, tokens, warc
+from cairnworks.llm import bpe, centroids, decontaminate, exact_dedup, extract, langid, line_dedup, packing, pii, simhash_dedup, tokens, vector_codes, warc
 
-#: The tokenizer that the contracts of op1 and op6 name.
+#: The tokenizer that the contracts of op1, op6 and op13 name.
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
@@ -72,6 +72,26 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.with_inertia(*centroids.cluster_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet")))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, books = vector_codes.encode_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    found = vector_codes.with_label_error(rows).select("vec_id", "code", "error", "label_error")
+    return found.withColumn("codebooks_sha256", F.lit(vector_codes.books_digest(books)))
+
+
+def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = bpe.decode(bpe.encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), TOKENIZER), TOKENIZER)
+    return found.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -89,6 +109,9 @@ QUERIES = {
     "op8_html_extraction": op8_html_extraction,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_language_id": op10_language_id,
+    "op11_centroid_clustering": op11_centroid_clustering,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_bpe": op13_bpe,
     "pipeline": pipeline,
 }
 
@@ -96,7 +119,53 @@ _FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghij
 
 _WORDS = "regexp_extract_all(" + _FOLD + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
+#: The floor of a quotient of whole numbers.
+_FLOOR = "CAST(({s} - ((({s}) % {n}) + {n}) % {n}) // {n} AS BIGINT)"
+
+
+def _clustering_sql(k: int = 8, rounds: int = 10) -> str:
+    """Lloyd's rounds, each a common table expression; a row for each component."""
+    parts = [
+        """WITH kept AS (SELECT vec_id, embedding FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda e: e IS NOT NULL AND isfinite(e))) = 64),
+        v AS MATERIALIZED (SELECT vec_id, unnest(range(64)) AS j, CAST(floor(1024 * CAST(unnest(embedding) AS DOUBLE)) AS BIGINT) AS x FROM kept)""",
+        f"""drawn AS (SELECT vec_id, row_number() OVER (ORDER BY sha256('3:' || vec_id)) - 1 AS c FROM kept QUALIFY c < {k}),
+        c0 AS MATERIALIZED (SELECT c, j, x FROM drawn JOIN v USING (vec_id))""",
+    ]
+    for r in range(rounds + 1):
+        parts.append(f"""a{r} AS MATERIALIZED (SELECT vec_id, c, d FROM (SELECT vec_id, c, CAST(sum((v.x - k.x) * (v.x - k.x)) AS BIGINT) AS d FROM v JOIN c{r} k USING (j) GROUP BY vec_id, c)
+          QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d, c) = 1)""")
+        if r < rounds:
+            parts.append(f"""c{r + 1} AS MATERIALIZED (SELECT k.c, k.j, coalesce(m.x, k.x) AS x FROM c{r} k LEFT JOIN
+              (SELECT c, j, {_FLOOR.format(s="sum(x)", n="count(*)")} AS x FROM a{r} JOIN v USING (vec_id) GROUP BY c, j) m ON m.c = k.c AND m.j = k.j)""")
+    return ", ".join(parts) + f"""
+        SELECT vec_id, CAST(c AS INTEGER) AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia,
+          (SELECT sha256(string_agg(x, ',' ORDER BY j)) FROM c{rounds} k WHERE k.c = a.c) AS centroid_sha256 FROM a{rounds} a"""
+
+
+def _codes_sql(rounds: int = 6) -> str:
+    """Codebooks by part p, entry e and position j within the part."""
+    parts = [
+        """WITH kept AS (SELECT vec_id, label, embedding FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda e: e IS NOT NULL AND isfinite(e))) = 64),
+        u AS (SELECT vec_id, unnest(range(64)) AS i, CAST(floor(4096 * CAST(unnest(embedding) AS DOUBLE)) AS BIGINT) AS x FROM kept),
+        v AS MATERIALIZED (SELECT vec_id, i // 8 AS p, i % 8 AS j, x FROM u)""",
+        """first AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM kept QUALIFY e < 16),
+        b0 AS MATERIALIZED (SELECT p, e, j, x FROM first JOIN v USING (vec_id))""",
+    ]
+    for r in range(rounds + 1):
+        parts.append(f"""a{r} AS MATERIALIZED (SELECT vec_id, p, e, d FROM (SELECT vec_id, v.p, e, CAST(sum((v.x - k.x) * (v.x - k.x)) AS BIGINT) AS d FROM v JOIN b{r} k ON k.p = v.p AND k.j = v.j GROUP BY vec_id, v.p, e)
+          QUALIFY row_number() OVER (PARTITION BY vec_id, p ORDER BY d, e) = 1)""")
+        if r < rounds:
+            parts.append(f"""b{r + 1} AS MATERIALIZED (SELECT k.p, k.e, k.j, coalesce(m.x, k.x) AS x FROM b{r} k LEFT JOIN
+              (SELECT a.p, e, j, {_FLOOR.format(s="sum(x)", n="count(*)")} AS x FROM a{r} a JOIN v ON v.vec_id = a.vec_id AND v.p = a.p GROUP BY a.p, e, j) m ON m.p = k.p AND m.e = k.e AND m.j = k.j)""")
+    return ", ".join(parts) + f""",
+        coded AS (SELECT vec_id, string_agg(printf('%02x', e), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM a{rounds} GROUP BY vec_id)
+        SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, (SELECT sha256(string_agg(x, ',' ORDER BY p, e, j)) FROM b{rounds}) AS codebooks_sha256
+        FROM coded JOIN kept USING (vec_id)"""
+
+
 ORACLES = {
+    "op11_centroid_clustering": _clustering_sql(),
+    "op12_vector_codes": _codes_sql(),
     "op3_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
         h AS (SELECT page_id, body, array_to_string(list_transform(string_split(sha1(body), ''),
