@@ -223,7 +223,7 @@ def n2_shingles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.size("s").cast("long").alias("n_shingles"), F.get("s", F.lit(0)).alias("first_shingle"))
 
 
-_SIMHASH = """t AS (SELECT doc_id, regexp_extract_all(lower(substr(text, 1, 262144)), '[\\p{L}\\p{N}_]+') AS t FROM documents),
+_SIMHASH = """t AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+') AS t FROM documents),
 s AS (SELECT doc_id, unnest(CASE WHEN len(t) >= 4 THEN list_transform(range(1, len(t) - 2), lambda i: array_to_string(t[i:i + 3], ' ')) WHEN len(t) > 0 THEN [array_to_string(t, ' ')] ELSE [] END) AS s FROM t),
 h AS (SELECT doc_id, CAST(('0x' || substr(md5(s), 1, 16)) AS UBIGINT) AS h FROM s),
 b AS (SELECT doc_id, count(*) AS n, """ + ", ".join(f"sum((h >> {b}) & 1) AS b{b}" for b in range(64)) + """ FROM h GROUP BY doc_id),
@@ -406,18 +406,26 @@ def g4_image_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters.as_clusters(near.components_of(pairs), "near_image", "similar images", near.MAX_IMAGE_CLUSTER)
 
 
-@query("g1_integer_components", """WITH RECURSIVE e AS (SELECT DISTINCT o_custkey AS a, -o_orderkey % 977 - 1 AS b FROM orders WHERE o_orderkey % 13 = 0), s AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
-reach(n, m) AS (SELECT a, a FROM s UNION SELECT r.n, s.b FROM reach r JOIN s ON s.a = r.m) SELECT n AS node, min(m) AS component FROM reach GROUP BY n""", False)
+def _least_labels(rounds: int = 24) -> str:
+    """Components of all orders' links by labels that spread a step a round; the links are dense, a few steps reach all."""
+    parts = ["""WITH e AS (SELECT DISTINCT o_custkey AS a, -o_orderkey % 977 - 1 AS b FROM orders), s AS MATERIALIZED (SELECT a, b FROM e UNION SELECT b, a FROM e), l0 AS (SELECT DISTINCT a AS node, a AS component FROM s)"""]
+    parts += [f"l{r + 1} AS MATERIALIZED (SELECT s.a AS node, least(min(x.component), min(y.component)) AS component FROM s JOIN l{r} x ON x.node = s.a JOIN l{r} y ON y.node = s.b GROUP BY s.a)" for r in range(rounds)]
+    return ", ".join(parts) + f" SELECT node, component FROM l{rounds}"
+
+
+def _order_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers and groups of orders that all orders link."""
+    return table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("src"), (-F.col("o_orderkey") % 977 - 1).alias("dst"))
+
+
+@query("g1_integer_components", _least_labels(), False)
 def g1_integer_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = table(spark, sf_dir, "orders").where("o_orderkey % 13 = 0").select(F.col("o_custkey").alias("src"), (-F.col("o_orderkey") % 977 - 1).alias("dst"))
-    return connected_components(edges)
+    return connected_components(_order_links(spark, sf_dir))
 
 
-@query("g1_order_components")
+@query("g1_order_components", _least_labels(), False)
 def g1_order_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers and groups of orders that all orders link; tested against union-find."""
-    edges = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("src"), (-F.col("o_orderkey") % 977 - 1).alias("dst"))
-    return connected_components(edges)
+    return connected_components(_order_links(spark, sf_dir))
 
 
 _BANDED = "WITH RECURSIVE " + _IMAGES.replace("{radius}", "22") + """, dp AS (SELECT p.* FROM imgpairs p JOIN good x ON x.hash = p.a JOIN good y ON y.hash = p.b
@@ -444,13 +452,14 @@ def g4_banded_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _topic_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Pages as text files with a Markdown title; every ninth title is no heading."""
     title = F.regexp_extract("html", "<title>([^<]*)</title>", 1)
-    rows = table(spark, sf_dir, "pages").select(F.lpad(F.col("page_id").cast("string"), 8, "0").alias("hash"), "page_id", F.concat(F.when(F.col("page_id") % 9 == 0, "").otherwise("\n# "), F.substring(title, 1, 40), F.lit(" #\nbody")).alias("text"))
+    rows = table(spark, sf_dir, "pages").select(F.lpad(F.col("page_id").cast("string"), 8, "0").alias("hash"), "page_id", F.concat(F.when(F.col("page_id") % 9 == 0, "").otherwise("\n# "), title, F.lit(" #\nbody")).alias("text"))
     paths = rows.select("hash", F.when(F.col("page_id") % 10 == 7, "purgatory").otherwise("active").alias("status"))
     return rows, paths
 
 
-_TOPICS = """WITH p AS (SELECT page_id, lpad(CAST(page_id AS VARCHAR), 8, '0') AS hash, trim(substr(regexp_extract(html, '<title>([^<]*)</title>', 1), 1, 40)) AS title, page_id % 10 <> 7 AS live FROM pages),
-t0 AS (SELECT hash, trim(rtrim(trim(title || ' #'), '#')) AS topic, live FROM p WHERE page_id % 9 <> 0),
+#: A heading has 60 characters after the mark and the space; the closing marks go after that cut.
+_TOPICS = """WITH p AS (SELECT page_id, lpad(CAST(page_id AS VARCHAR), 8, '0') AS hash, trim(regexp_extract(html, '<title>([^<]*)</title>', 1)) AS title, page_id % 10 <> 7 AS live FROM pages),
+t0 AS (SELECT hash, trim(rtrim(trim(substr(trim(title || ' #'), 1, 60)), '#')) AS topic, live FROM p WHERE page_id % 9 <> 0),
 t AS (SELECT hash, topic, live, coalesce(nullif(substr(trim(regexp_replace(lower(topic), '[^a-z0-9]+', '-', 'g'), '-'), 1, 60), ''), 'untitled') AS slug FROM t0 WHERE length(topic) > 0)
 """
 
@@ -481,31 +490,16 @@ def t6_topic_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topics.topic_clusters(tags, paths, rows.where("page_id < 20").select("hash"))
 
 
-def _whole_titles(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """As :func:`_topic_rows`, with the whole title."""
-    rows, paths = _topic_rows(spark, sf_dir)
-    title = F.regexp_extract("html", "<title>([^<]*)</title>", 1)
-    texts = table(spark, sf_dir, "pages").select(F.lpad(F.col("page_id").cast("string"), 8, "0").alias("hash"), "page_id", F.concat(F.when(F.col("page_id") % 9 == 0, "").otherwise("\n# "), title, F.lit(" #\nbody")).alias("text"))
-    return texts.select(*rows.columns), paths
-
-
-_WHOLE_TOPICS = """WITH p AS (SELECT page_id, lpad(CAST(page_id AS VARCHAR), 8, '0') AS hash, trim(regexp_extract(html, '<title>([^<]*)</title>', 1)) AS title, page_id % 10 <> 7 AS live FROM pages),
-t0 AS (SELECT hash, trim(rtrim(trim(title || ' #'), '#')) AS topic, live FROM p WHERE page_id % 9 <> 0),
-t1 AS (SELECT hash, substr(topic, 1, 60) AS topic, live FROM t0 WHERE length(topic) > 0),
-t AS (SELECT hash, topic, live, coalesce(nullif(substr(trim(regexp_replace(lower(topic), '[^a-z0-9]+', '-', 'g'), '-'), 1, 60), ''), 'untitled') AS slug FROM t1)
-"""
-
-
-@query("t1_whole_headings", _WHOLE_TOPICS + "SELECT hash, topic, slug, 'document' AS kind, 0.9::DOUBLE AS confidence FROM t", False)
+@query("t1_whole_headings", _TOPICS + "SELECT hash, topic, slug, 'document' AS kind, 0.9::DOUBLE AS confidence FROM t", False)
 def t1_whole_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = topics.infer_by_heading(_whole_titles(spark, sf_dir)[0], "hash", "text")
+    found = topics.infer_by_heading(_topic_rows(spark, sf_dir)[0], "hash", "text")
     return found.withColumn("confidence", F.col("confidence").cast("double"))
 
 
-@query("t6_whole_topic_clusters", _WHOLE_TOPICS + """, g AS (SELECT slug, min(topic) AS label, min(hash) AS first FROM t WHERE live GROUP BY slug HAVING count(*) >= 2)
+@query("t6_whole_topic_clusters", _TOPICS + """, g AS (SELECT slug, min(topic) AS label, min(hash) AS first FROM t WHERE live GROUP BY slug HAVING count(*) >= 2)
 SELECT substr(sha256('topic|' || first), 1, 16) AS cluster_id, 'topic' AS kind, label, hash FROM g JOIN t USING (slug) WHERE live""", False)
 def t6_whole_topic_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, paths = _whole_titles(spark, sf_dir)
+    rows, paths = _topic_rows(spark, sf_dir)
     tags = topics.as_tags(topics.infer_by_heading(rows, "hash", "text"), "rule")
     return topics.topic_clusters(tags, paths, rows.limit(0).select("hash"))
 
