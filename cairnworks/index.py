@@ -84,15 +84,16 @@ class Index:
         same = listing.join(known.where("known_hash is not null").select("drive_id", "path", "known_hash"), ["drive_id", "path"])
         same = same.select("drive_id", "path", F.col("known_hash").alias("hash"), "mtime", "ctime")
         seen = good.select("drive_id", "path", "hash", "mtime", "ctime").unionByName(same)
-        files = ingest.fold_files(self.files, good.select("hash", "size", "mime", F.lit(now).cast("long").alias("first_seen_at"), F.lit(now).cast("long").alias("seq")))
-        old = self.paths.select("drive_id", "path", "hash", "mtime", "observed_at", "status")
+        files = ingest.fold_files(self.files.join(good.select("hash"), "hash", "left_semi"), good.select("hash", "size", "mime", F.lit(now).cast("long").alias("first_seen_at"), F.lit(now).cast("long").alias("seq")))
+        known_paths = self.paths.join(seen.select("drive_id", "path"), ["drive_id", "path"], "left_semi")
+        old = known_paths.select("drive_id", "path", "hash", "mtime", "observed_at", "status")
         folded = ingest.fold_paths(old, seen.select("drive_id", "path", "hash", "mtime", F.lit(now).cast("long").alias("observed_at"), F.lit(now).cast("long").alias("seq")))
-        ids = self.paths.select("drive_id", "path", "id", F.col("ctime").alias("old_ctime"))
-        base = (self.paths.agg(F.max("id")).first()[0] or 0) + 1
+        ids = known_paths.select("drive_id", "path", "id", F.col("ctime").alias("old_ctime"))
+        base = self.tables.next_id("paths")
         paths = folded.join(ids, ["drive_id", "path"], "left").join(seen.select("drive_id", "path", "ctime"), ["drive_id", "path"], "left")
         paths = paths.withColumn("id", F.coalesce("id", F.lit(base) + F.monotonically_increasing_id())).withColumn("ctime", F.coalesce("ctime", "old_ctime"))
-        drives = self.drives.where(F.col("id") != drive["id"]).unionByName(self._rows("drives", [(drive["id"], drive["label"], os.path.abspath(root), now, "scanned")]))
-        self.tables.commit(files=files, paths=paths, drives=drives)
+        drives = self._rows("drives", [(drive["id"], drive["label"], os.path.abspath(root), now, "scanned")])
+        self.tables.commit({"files": files, "paths": paths, "drives": drives})
         out = {"drive_id": drive["id"], "links": listing.where("is_link").count(), "hashed": good.count(), "skipped": same.count(), "errors": errors.count() + unreadable, "pruned": 0}
         if prune and not unreadable:  # what lies below a folder that can't be read is not gone
             gone = stats.stale(self.files, self.paths.where(F.col("drive_id") == drive["id"]), now, errors)
@@ -121,11 +122,11 @@ class Index:
         """Paths go; decision rows of bounded size, told by one batch name, keep them."""
         n = gone.count()
         if n:
-            left, lost = review.deleted_paths(self.paths, gone, reason)
+            lost = review.deleted_paths(self.paths, gone, reason)
             share = F.pmod(F.xxhash64("payload"), F.lit(-(-n // DELETED_A_ROW)))
             told = F.to_json(F.struct(F.lit(uuid.uuid4().hex).alias("batch"), F.collect_list("payload").alias("rows")))
             payload = lost.groupBy("action", share.alias("share")).agg(told.alias("payload")).drop("share")
-            self.tables.commit(paths=left, decisions=self._decided(payload, "auto"))
+            self.tables.commit({"decisions": self._decided(payload, "auto")}, {"paths": gone.select("id")})
         return n
 
     # --- clusters and topics
@@ -158,7 +159,7 @@ class Index:
         if n:
             made = heads.select(F.col("cluster_id").alias("id"), "kind", "label", F.lit(None).cast("string").alias("canonical_hash"), F.lit(self.now()).cast("long").alias("created_at"), F.lit("open").alias("status"))
             bridge = rows.select("cluster_id", "hash", F.lit(1.0).alias("confidence")).distinct()
-            self.tables.commit(clusters=self.clusters.unionByName(made), members=self.members.unionByName(bridge))
+            self.tables.commit({"clusters": made, "members": bridge})
         return n
 
     def reset_clusters(self, kind: str) -> int:
@@ -170,8 +171,7 @@ class Index:
         if n:
             lost = self.members.join(gone.select(F.col("id").alias("cluster_id")), "cluster_id", "left_semi")
             payload = lost.groupBy("cluster_id").agg(F.sort_array(F.collect_list("hash")).alias("hashes")).select(F.lit("reset_clusters").alias("action"), F.to_json(F.struct(F.lit(kind).alias("kind"), "cluster_id", "hashes")).alias("payload"))
-            left = self.members.join(gone.select(F.col("id").alias("cluster_id")), "cluster_id", "left_anti")
-            self.tables.commit(clusters=self.clusters.where(F.col("kind") != kind), members=left, decisions=self._decided(payload, "auto"))
+            self.tables.commit({"decisions": self._decided(payload, "auto")}, {"clusters": gone.select("id"), "members": lost.select("cluster_id", "hash")})
         return n
 
     def _texts(self, rows: DataFrame, chars: int) -> DataFrame:
@@ -194,7 +194,7 @@ class Index:
         rows = stats.one_location(self.files, self.paths, self.drives).where(is_text(F.col("rel"), F.col("mime")))
         rows = rows.join(self.signatures.where("algo = 'simhash_text'").select("hash"), "hash", "left_anti")
         signed = simhash_arrow(self._texts(rows, TEXT_CHARS), "hash", "text").select("hash", F.lit("simhash_text").alias("algo"), "sig", F.lit(None).cast("int").alias("w"), F.lit(None).cast("int").alias("h"))
-        self.tables.commit(signatures=self.signatures.unionByName(signed))
+        self.tables.commit({"signatures": signed})
 
     def _sign_images(self) -> None:
         """Signs active images that have no signature, or one without dimensions."""
@@ -214,10 +214,9 @@ class Index:
         self.add_image_signatures(materialize(images.image_signatures(contents, self.decoder), "image-signatures"))
 
     def add_image_signatures(self, signed: DataFrame) -> None:
-        """signed(hash, sig, w, h), from any decoder; later rows replace earlier ones."""
+        """signed(hash, sig, w, h), a row for each hash, from any decoder; later rows replace earlier ones."""
         rows = signed.select("hash", F.lit("phash_image").alias("algo"), F.col("sig").cast("long").alias("sig"), F.col("w").cast("int").alias("w"), F.col("h").cast("int").alias("h"))
-        kept = self.signatures.join(rows.select("hash", "algo"), ["hash", "algo"], "left_anti")
-        self.tables.commit(signatures=kept.unionByName(rows))
+        self.tables.commit({"signatures": rows})
 
     def topics(self, model: Callable[[], Callable[[str], str]] | None = None, limit: int | None = None) -> dict:
         """Tags texts by their heading, or by a model's answers; groups of two make clusters."""
@@ -226,7 +225,7 @@ class Index:
         found = topics.infer_by_model(texts, "hash", "text", model) if model else topics.infer_by_heading(texts, "hash", "text")
         tags = materialize(topics.as_tags(found, "llm" if model else "rule"), "tags")
         tagged = tags.select("hash").distinct().count()
-        self.tables.commit(tags=self.tags.unionByName(tags))
+        self.tables.commit({"tags": tags.dropDuplicates(["hash", "key", "value"])})
         made = self._add_clusters(topics.topic_clusters(self.tags, self.paths, self._of_kind("topic")))
         return {"tagged": tagged, "skipped": todo.count() - tagged, "clusters": made}
 
@@ -262,9 +261,8 @@ class Index:
         requests = self.spark.createDataFrame([(cluster_id, path_id)], "cluster_id string, keep_path_id long")
         extra = {}
         if dest_root:
-            move_id = (self.moves.agg(F.max("id")).first()[0] or 0) + 1
-            row = self.paths.where(F.col("id") == path_id).select(F.lit(move_id).alias("id"), F.col("id").alias("path_id"), "hash", F.lit("keeper").alias("kind"), F.lit(dest_label).alias("dest_label"), F.lit(dest_root).alias("dest_root"), F.lit(None).cast("string").alias("src_abspath"), F.lit(None).cast("string").alias("final_path"), F.lit(self.now()).alias("enqueued_at"), F.lit("pending").alias("status"))
-            extra["moves"] = self.moves.unionByName(row)
+            row = self.paths.where(F.col("id") == path_id).select(F.lit(self.tables.next_id("moves")).alias("id"), F.col("id").alias("path_id"), "hash", F.lit("keeper").alias("kind"), F.lit(dest_label).alias("dest_label"), F.lit(dest_root).alias("dest_root"), F.lit(None).cast("string").alias("src_abspath"), F.lit(None).cast("string").alias("final_path"), F.lit(self.now()).alias("enqueued_at"), F.lit("pending").alias("status"))
+            extra["moves"] = row
         self._apply(review.resolve_keep(self.clusters, self.members, self.paths, requests), **extra)
 
     def purge_all(self, cluster_id: str) -> None:
@@ -277,7 +275,7 @@ class Index:
         bad = out.rejected.first()
         if bad:
             raise ValueError(bad["reason"])
-        self.tables.commit(paths=review.fold_paths(self.paths, out.path_changes), clusters=review.fold_clusters(self.clusters, out.cluster_changes), decisions=self._decided(out.decisions, "user"), **extra)
+        self.tables.commit({"paths": review.changed_paths(self.paths, out.path_changes), "clusters": review.changed_clusters(self.clusters, out.cluster_changes), "decisions": self._decided(out.decisions, "user"), **extra})
 
     def undo(self) -> dict | None:
         """Reverses the newest decision that isn't undone; moved files and dropped clusters are left to their own commands."""
@@ -297,22 +295,23 @@ class Index:
             rows = row.select(F.explode(F.from_json(F.get_json_object("payload", "$.rows"), "array<string>")).alias("payload"))
             again = review.restored_deletions(rows, SCHEMAS["paths"])
             told = row.select(F.lit("undo").alias("action"), F.to_json(F.struct(F.col("id").alias("target"), F.col("action").alias("of_action"))).alias("payload"))
-            self.tables.commit(paths=self.paths.unionByName(again), decisions=self._decided(told, "user"))
+            self.tables.commit({"paths": again, "decisions": self._decided(told, "user")})
         else:
             back, closed, told = review.undo(row)
-            self.tables.commit(paths=review.fold_paths(self.paths, back), clusters=review.fold_clusters(self.clusters, closed), decisions=self._decided(told, "user"), moves=self._canceled(last["payload"]))
+            self.tables.commit({"paths": review.changed_paths(self.paths, back), "clusters": review.changed_clusters(self.clusters, closed), "decisions": self._decided(told, "user"), "moves": self._canceled(last["payload"])})
         return {"undone_decision_id": last["id"], "action": last["action"]}
 
     def _canceled(self, payload: str) -> DataFrame:
         """A keeper that was queued with the decision leaves the queue."""
         kept = json.loads(payload).get("kept_path_id")
         mine = (F.col("path_id") == F.lit(kept)) & (F.col("status") == "pending") & (F.col("kind") == "keeper")
-        return self.moves.withColumn("status", F.when(F.coalesce(mine, F.lit(False)), "canceled").otherwise(F.col("status")))
+        return self.moves.where(mine).withColumn("status", F.lit("canceled"))
 
     def _decided(self, rows: DataFrame, actor: str) -> DataFrame:
-        base = (self.decisions.agg(F.max("id")).first()[0] or 0) + 1
+        """New rows of the log of decisions."""
+        base = self.tables.next_id("decisions")
         new = rows.select((F.lit(base) + F.monotonically_increasing_id()).alias("id"), F.lit(self.now()).cast("long").alias("ts"), F.lit(actor).alias("actor"), "action", "payload")
-        return self.decisions.unionByName(materialize(new, "decisions"))
+        return materialize(new, "decisions")
 
     # --- the queue of relocations
 
@@ -337,8 +336,7 @@ class Index:
 
     def _advance(self, move_id: int, states: tuple[str, ...], status: str, **columns: Column) -> None:
         mine = (F.col("id") == move_id) & F.col("status").isin(*states)
-        changed = {c: F.when(mine, v).otherwise(F.col(c)) for c, v in (columns | {"status": F.lit(status)}).items()}
-        self.tables.commit(moves=self.moves.withColumns(changed))
+        self.tables.commit({"moves": self.moves.where(mine).withColumns(columns | {"status": F.lit(status)})})
 
     # --- settings and relocation
 
@@ -349,7 +347,7 @@ class Index:
     def set_setting(self, key: str, value) -> None:
         if key == "destinations" and len(value) > MAX_DESTINATIONS:
             raise ValueError(f"at most {MAX_DESTINATIONS} destinations")
-        self.tables.commit(settings=self.settings.where(F.col("key") != key).unionByName(self._rows("settings", [(key, json.dumps(value))])))
+        self.tables.commit({"settings": self._rows("settings", [(key, json.dumps(value))])})
 
     def plan_moves(self) -> DataFrame:
         """What processing the queue would move where; no file is touched."""
@@ -372,20 +370,16 @@ class Index:
             if not os.path.isdir(r["src_root"]):
                 raise FileNotFoundError(r["src_root"])
         queued = self.moves.where(F.col("status").isin("pending", "moving")).select(F.col("path_id").alias("item"))
-        base = (self.moves.agg(F.max("id")).first()[0] or 0) + 1
+        base = self.tables.next_id("moves")
         dups = plan.where("kind = 'dup'").join(queued, "item", "left_anti")
-        new = dups.select((F.lit(base) + F.monotonically_increasing_id()).alias("id"), F.col("item").alias("path_id"), "hash", "kind", F.lit(None).cast("string").alias("dest_label"), "dest_root", F.lit(None).cast("string").alias("src_abspath"), F.lit(None).cast("string").alias("final_path"), F.lit(self.now()).alias("enqueued_at"), F.lit("pending").alias("status"))
-        mine = plan.select(F.col("item").alias("path_id"), F.col("src").alias("__src"), F.col("final_rel").alias("__rel"))
-        queue = self.moves.unionByName(new).join(mine, "path_id", "left")
-        moving = F.col("__src").isNotNull() & F.col("status").isin("pending", "moving")
-        for c, v in (("src_abspath", F.col("__src")), ("final_path", F.col("__rel")), ("status", F.lit("moving"))):
-            queue = queue.withColumn(f"__{c}", F.when(moving, v).otherwise(F.col(c)))
-        queue = queue.select(*[F.col(f"__{c}").alias(c) if c in ("src_abspath", "final_path", "status") else c for c in self.moves.columns])
-        self.tables.commit(moves=queue)
+        new = dups.select((F.lit(base) + F.monotonically_increasing_id()).alias("id"), F.col("item").alias("path_id"), "hash", "kind", F.lit(None).cast("string").alias("dest_label"), "dest_root", F.lit(self.now()).alias("enqueued_at"))
+        waiting = self.moves.where(F.col("status").isin("pending", "moving")).select(*new.columns)
+        mine = plan.select(F.col("item").alias("path_id"), F.col("src").alias("src_abspath"), F.col("final_rel").alias("final_path"))
+        queue = waiting.unionByName(new).join(mine, "path_id").withColumn("status", F.lit("moving"))
+        self.tables.commit({"moves": queue})
         result = materialize(execute(plan, verify), "moved")
         self.commit_moves(result.where("reason is null").select(F.col("item").alias("path_id"), "dest_root", "final_rel", "mtime"))
-        still = F.col("status") == "moving"
-        self.tables.commit(moves=self.moves.withColumn("status", F.when(still, "pending").otherwise(F.col("status"))))
+        self.tables.commit({"moves": self.moving().withColumn("status", F.lit("pending"))})
         return result
 
     def _sources(self) -> DataFrame:
@@ -408,18 +402,17 @@ class Index:
         """done(path_id, dest_root, final_rel, mtime): files that were moved. Paths point to managed drives afterwards."""
         done = materialize(done, "done-moves")
         roots = [r["dest_root"] for r in done.select("dest_root").distinct().collect()]  # destinations and the holding folder
-        drives = self.drives.where(~F.col("id").isin(*[managed_id(r) for r in roots] or [""])).unionByName(self._rows("drives", [(managed_id(r), os.path.basename(r), os.path.abspath(r), self.now(), "managed") for r in roots]))
+        drives = self._rows("drives", [(managed_id(r), os.path.basename(r), os.path.abspath(r), self.now(), "managed") for r in roots])
         ids = self.spark.createDataFrame([(r, managed_id(r)) for r in roots], "dest_root string, new_drive string")
-        rows = self.paths.join(done.join(ids, "dest_root").select(F.col("path_id").alias("id"), "new_drive", "final_rel", F.col("mtime").alias("new_mtime")), "id", "left")
-        told = rows.where("new_drive is not null").select(
+        rows = self.paths.join(done.join(ids, "dest_root").select(F.col("path_id").alias("id"), "new_drive", "final_rel", F.col("mtime").alias("new_mtime")), "id")
+        told = rows.select(
             F.when(F.col("status") == "active", "apply_move").otherwise("apply_remove").alias("action"),
             F.to_json(F.struct(F.col("id").alias("path_id"), F.struct("drive_id", "path", "mtime").alias("src"), F.struct(F.col("new_drive").alias("drive_id"), F.col("final_rel").alias("path")).alias("dest"))).alias("payload"),
         )
         paths = rows.withColumn("drive_id", F.coalesce("new_drive", "drive_id")).withColumn("path", F.coalesce("final_rel", "path")).withColumn("mtime", F.coalesce("new_mtime", "mtime"))
-        queue = self.moves.join(done.select("path_id", "final_rel"), "path_id", "left")
-        hit = F.col("final_rel").isNotNull() & (F.col("status").isin("pending", "moving"))
-        queue = queue.withColumn("final_path", F.when(hit, F.col("final_rel")).otherwise(F.col("final_path"))).withColumn("status", F.when(hit, "executed").otherwise(F.col("status")))
-        self.tables.commit(paths=paths, drives=drives, moves=queue, decisions=self._decided(told, "user"))
+        queue = self.moves.where(F.col("status").isin("pending", "moving")).join(done.select("path_id", "final_rel"), "path_id")
+        queue = queue.withColumn("final_path", F.col("final_rel")).withColumn("status", F.lit("executed"))
+        self.tables.commit({"paths": paths, "drives": drives, "moves": queue, "decisions": self._decided(told, "user")})
 
     def reverse_move(self, real_path: str | None = None) -> dict | None:
         """The index side of undoing the newest relocation; ``real_path`` is where the file went back to."""
@@ -429,13 +422,20 @@ class Index:
         p = json.loads(last["payload"])
         mine = F.col("id") == p["path_id"]
         back = {"drive_id": p["src"]["drive_id"], "path": real_path or p["src"]["path"], "mtime": p["src"]["mtime"]}
-        paths = self.paths
-        for c, v in back.items():
-            paths = paths.withColumn(c, F.when(mine, F.lit(v)).otherwise(F.col(c)))
-        queue = self.moves.withColumn("status", F.when((F.col("path_id") == p["path_id"]) & (F.col("status") == "executed"), "pending").otherwise(F.col("status")))
+        paths = self.paths.where(mine).withColumns({c: F.lit(v) for c, v in back.items()})
+        queue = self.moves.where((F.col("path_id") == p["path_id"]) & (F.col("status") == "executed")).withColumn("status", F.lit("pending"))
         told = self.spark.createDataFrame([("undo", json.dumps({"target": last["id"], "of_action": last["action"]}))], "action string, payload string")
-        self.tables.commit(paths=paths, moves=queue, decisions=self._decided(told, "user"))
+        self.tables.commit({"paths": paths, "moves": queue, "decisions": self._decided(told, "user")})
         return {"reversed_decision_id": last["id"], "action": last["action"], **back}
 
+    # --- upkeep
+
+    def compact(self, vacuum: bool = False) -> dict[str, list[int]]:
+        """Works the logs of changes into the tables: the buckets rewritten, by table. ``vacuum`` also deletes what no longer counts."""
+        done = {name: touched for name in SCHEMAS if name in self.tables.versions and (touched := self.tables.compact(name))}
+        if vacuum:
+            self.tables.vacuum()
+        return done
+
     def _rows(self, table: str, rows: list[tuple]) -> DataFrame:
         return self.spark.createDataFrame(rows, SCHEMAS[table])

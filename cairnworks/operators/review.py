@@ -89,6 +89,15 @@ def restore(clusters: DataFrame, members: DataFrame, paths: DataFrame, drives: D
     )
 
 
+def changed_paths(paths: DataFrame, changes: DataFrame) -> DataFrame:
+    """The changed paths alone, with their new states."""
+    return paths.drop("status").join(changes.select(F.col("path_id").alias("id"), "status"), "id")
+
+
+def changed_clusters(clusters: DataFrame, changes: DataFrame) -> DataFrame:
+    return clusters.drop("canonical_hash", "status").join(changes.select(F.col("cluster_id").alias("id"), "canonical_hash", "status"), "id")
+
+
 def fold_paths(paths: DataFrame, changes: DataFrame) -> DataFrame:
     """Paths with changed states."""
     new = changes.select(F.col("path_id").alias("id"), F.col("status").alias("__new"))
@@ -137,12 +146,10 @@ def undo(decision: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return back.union(again), closed.union(reclosed), told
 
 
-def deleted_paths(paths: DataFrame, gone: DataFrame, reason: str) -> tuple[DataFrame, DataFrame]:
-    """(paths without the gone ids, a decision row for each drive with a snapshot of its deleted rows)."""
-    left = paths.join(gone.select("id"), "id", "left_anti")
+def deleted_paths(paths: DataFrame, gone: DataFrame, reason: str) -> DataFrame:
+    """(drive_id, payload, action): a snapshot of each path with one of the gone ids."""
     lost = paths.join(gone.select("id"), "id", "left_semi")
-    snapshot = lost.select("drive_id", F.to_json(F.struct(*lost.columns)).alias("payload"), F.lit(reason).alias("action"))
-    return left, snapshot
+    return lost.select("drive_id", F.to_json(F.struct(*lost.columns)).alias("payload"), F.lit(reason).alias("action"))
 
 
 def restored_deletions(snapshots: DataFrame, schema: str) -> DataFrame:

@@ -15,7 +15,8 @@ from cairnworks.functions import bits, names, text
 from cairnworks.functions.simhash import simhash_arrow, simhash_md5
 from cairnworks.operators import archives, clusters, diagnostics, ingest, moves, near, review, stats, topics
 from cairnworks.operators.components import connected_components
-from cairnworks.scratch import materialize
+from cairnworks.scratch import materialize, scratch_path
+from cairnworks.sources.snapshots import Snapshots
 from cairnworks.sources.warehouse import archive, table
 from cairnworks.streaming.ingest import windowed_activity
 
@@ -658,3 +659,22 @@ def f3_listing_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def x1_daily_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An addition: the batch form of the streaming window."""
     return windowed_activity(table(spark, sf_dir, "events")).select(F.date_format("day", "yyyy-MM-dd").alias("day"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+# --- the store of the index
+
+
+@query("s16_merge_on_read", """SELECT id, hash, path, CASE WHEN id % 13 = 0 THEN mtime + 2 WHEN id % 7 = 0 THEN mtime + 1 ELSE mtime END AS mtime, CASE WHEN id % 22 = 0 THEN 'restored' ELSE status END AS status
+FROM paths WHERE id % 11 <> 0 OR id % 22 = 0 OR id % 13 = 0""")
+def s16_merge_on_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths after a base, three rounds of puts and deletes and a compaction between them, as readers of the store see them."""
+    paths = archive(spark, sf_dir).paths.withColumn("ctime", F.lit(None).cast("long"))
+    i, later = F.col("id"), lambda n: (F.col("mtime") + n).alias("mtime")
+    store = Snapshots(spark, scratch_path(spark, "store"))
+    store.commit(paths=paths)
+    store.commit({"paths": paths.where(i % 7 == 0).withColumn("mtime", later(1))}, {"paths": paths.where(i % 77 == 0).select("id")})
+    store.compact("paths")
+    store.commit(None, {"paths": paths.where(i % 11 == 0).select("id")})
+    store.commit({"paths": paths.where(i % 22 == 0).withColumn("status", F.lit("restored")).withColumn("mtime", F.when(i % 7 == 0, F.col("mtime") + 1).otherwise(F.col("mtime")))})
+    store.commit({"paths": paths.where(i % 13 == 0).withColumn("mtime", later(2)).withColumn("status", F.when(i % 22 == 0, "restored").otherwise(F.col("status")))})
+    return store.table("paths").select("id", "hash", "path", "mtime", "status")
