@@ -56,3 +56,25 @@ def _small_star(links: DataFrame) -> DataFrame:
     m = _minima(links)
     moved = links.join(m, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.union(m.select("u", "m")).distinct()
+
+
+def grow_components(known: DataFrame, edges: DataFrame, src: str = "src", dst: str = "dst") -> tuple[DataFrame, DataFrame]:
+    """(changed rows (node, component), merges (component, into)) when ``edges`` are added to the components known(node, component).
+
+    Each end of a new edge stands for its old component, itself if it has none, and components are found among
+    those alone: rounds follow the new edges, however many are known. The known table is read twice, for the
+    ends and for members of components that merged. Components are named by their smallest node, as by
+    :func:`connected_components`, so growing by parts gives the same table as all edges at once.
+    """
+    e = materialize(edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u is not null and v is not null").distinct(), "new-edges")
+    ends = e.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    old = known.select("node", "component")
+    placed = materialize(ends.join(old.join(ends, "node", "left_semi"), "node", "left").select("node", F.col("component").alias("had"), F.coalesce("component", "node").alias("at")), "ends")
+    side = lambda name, at: placed.select(F.col("node").alias(name), F.col("at").alias(at))
+    contracted = e.join(side("u", "a"), "u").join(side("v", "b"), "v").select("a", "b")
+    found = materialize(connected_components(contracted, "a", "b"), "grown")
+    merges = found.where("node != component").join(placed.where("had is not null").select(F.col("had").alias("node")).distinct(), "node", "left_semi")
+    merges = merges.select(F.col("node").alias("component"), F.col("component").alias("into"))
+    moved = old.join(merges, "component").select("node", F.col("into").alias("component"))
+    fresh = placed.where("had is null").select("node").join(found, "node").select("node", "component")
+    return moved.union(fresh), merges

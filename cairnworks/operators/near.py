@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairnworks.functions.bits import band, hamming, informative, to_hex
 from cairnworks.functions.names import normal_stem, parent_dir
 from cairnworks.operators.clusters import as_clusters, without_overlap
-from cairnworks.operators.components import connected_components
-from cairnworks.scratch import materialize
+from cairnworks.operators.components import connected_components, grow_components
+from cairnworks.scratch import materialize, shuffle_partitions
 
 DOC_RADIUS = 16
 IMAGE_RADIUS = 6
@@ -42,11 +45,75 @@ def block_pairs(keyed: DataFrame, radius: int, tile: int = TILE) -> DataFrame:
     return pairs.select(F.col("a.hash").alias("a"), F.col("b.hash").alias("b"), hamming(F.col("a.sig"), F.col("b.sig")).alias("distance")).distinct()
 
 
+def spanning_forest(nodes: np.ndarray, signatures: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links (a, b) of nodes, fewer than nodes, with the components that all pairs within the radius have."""
+    bits = signatures.view(np.uint64)  # counts of signed numbers are those of their absolute values
+    left = np.arange(len(nodes))  # what no link has reached
+    a, b = [], []
+    while len(left):
+        reached, left = [left[0]], left[1:]
+        while reached and len(left):
+            at = reached.pop()
+            close = np.bitwise_count(bits[left] ^ bits[at]) <= radius
+            if close.any():
+                found, left = left[close], left[~close]
+                a.append(np.repeat(nodes[at], len(found)))
+                b.append(nodes[found])
+                reached.extend(found)
+    return (np.concatenate(a), np.concatenate(b)) if a else (nodes[:0], nodes[:0])
+
+
+def block_links(keyed: DataFrame, radius: int, tile: int = TILE) -> DataFrame:
+    """Links (a, b) with the components that pairs of the same ``block`` within the radius have; keyed(block, node, sig[, fresh]).
+
+    Equal signatures of a block are one point, linked to its other members by a star. The points of a block
+    are packed into tiles, a row each; a task takes two tiles and returns a spanning forest of them, never
+    the pairs. With a boolean ``fresh`` two tiles without a fresh member aren't compared: their links are known.
+    """
+    fresh = "fresh" in keyed.columns
+    rows = keyed if fresh else keyed.withColumn("fresh", F.lit(True))
+    points = materialize(rows.groupBy("block", "sig").agg(F.min("node").alias("point"), F.count_distinct("node").alias("n"), F.max("fresh").alias("fresh")), "points")
+    stars = rows.join(points.where("n > 1 and fresh").select("block", "sig", "point"), ["block", "sig"]).where("node != point").select(F.col("point").alias("a"), F.col("node").alias("b"))
+    counts = points.groupBy("block", "fresh").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("tiles"))
+    dealt = points.join(counts, ["block", "fresh"]).withColumn("tile", F.pmod(F.xxhash64("sig"), F.col("tiles")).cast("int"))
+    packed = dealt.groupBy("block", "fresh", "tile").agg(F.collect_list(F.struct("point", "sig")).alias("held"))  # about ``tile`` points
+    packed = materialize(packed.select("block", F.struct("fresh", "tile").alias("name"), F.col("held.point").alias("points"), F.col("held.sig").alias("sigs")), "tiles")
+    a, b = packed.alias("a"), packed.alias("b")
+    two = a.join(b, (F.col("a.block") == F.col("b.block")) & (F.col("a.name") <= F.col("b.name")) & (F.col("a.name.fresh") | F.col("b.name.fresh")))
+    two = two.where((F.col("a.name") < F.col("b.name")) | (F.size("a.points") > 1))
+    same = F.col("a.name") == F.col("b.name")
+    sides = [F.when(~same, F.col(f"b.{c}")).otherwise(F.array().cast("array<long>")).alias(f"b_{c}") for c in ("points", "sigs")]
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                points, sigs, more_points, more_sigs = (c.slice(k, 1).flatten().to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns)
+                x, y = spanning_forest(np.concatenate([points, more_points]), np.concatenate([sigs, more_sigs]), radius)
+                if len(x):
+                    yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["a", "b"])
+
+    found = two.select(F.col("a.points").alias("points"), F.col("a.sigs").alias("sigs"), *sides)
+    dealt_out = found.repartition(shuffle_partitions(keyed.sparkSession), F.xxhash64("points", "b_points"))  # a block's pairs of tiles go to all tasks
+    return dealt_out.mapInArrow(link, "a long, b long").union(stars)
+
+
+def document_blocks(paths: DataFrame, signatures: DataFrame) -> DataFrame:
+    """(block, hash, sig and what else signatures have): the folders and normal stems of every active path, whatever the drive."""
+    seen = paths.where("status = 'active'").select("hash", "path").join(signatures, "hash")
+    keys = F.array(F.concat(F.lit("d:"), parent_dir(F.col("path"))), F.concat(F.lit("s:"), normal_stem(F.col("path"))))
+    return seen.select(F.explode(keys).alias("block"), *signatures.columns).distinct()
+
+
+def document_links(paths: DataFrame, signatures: DataFrame, radius: int = DOC_RADIUS) -> DataFrame:
+    """Links (a, b) of nodes, which stand for hashes, with the components of :func:`document_pairs`; signatures(hash, sig[, fresh])."""
+    wanted = ["hash", "sig", *(["fresh"] if "fresh" in signatures.columns else [])]
+    rows = document_blocks(paths, signatures.select(*wanted)).withColumn("node", node_of(F.col("hash"))).drop("hash")
+    return block_links(rows, radius)
+
+
 def document_pairs(paths: DataFrame, signatures: DataFrame, radius: int = DOC_RADIUS) -> DataFrame:
     """Pairs that share a folder or a normal stem in any active path, whatever the drive."""
-    seen = paths.where("status = 'active'").select("hash", "path").join(signatures.select("hash", "sig"), "hash")
-    keys = F.array(F.concat(F.lit("d:"), parent_dir(F.col("path"))), F.concat(F.lit("s:"), normal_stem(F.col("path"))))
-    return block_pairs(seen.select(F.explode(keys).alias("block"), "hash", "sig"), radius)
+    return block_pairs(document_blocks(paths, signatures.select("hash", "sig")), radius)
 
 
 def band_pairs(signatures: DataFrame, radius: int = IMAGE_RADIUS, bands: int = BANDS, tile: int = TILE) -> DataFrame:
@@ -98,22 +165,40 @@ def _banded(rows: DataFrame, bands: int) -> DataFrame:
     return rows.select("hash", "sig", "aspect", F.posexplode(F.array(*[band(F.col("sig"), F.lit(i)) for i in range(bands)])).alias("i", "value"))
 
 
+def node_of(key: Column) -> Column:
+    """A 64-bit number that stands for a hash while components are found."""
+    return F.xxhash64(key)
+
+
 def components_of(pairs: DataFrame) -> DataFrame:
-    """(hash, component) of pairs of hashes.
+    """(hash, component) of pairs of hashes; a component is named by its smallest hash."""
+    hashes = pairs.select(F.explode(F.array("a", "b")).alias("hash")).distinct()
+    return named_components(pairs.select(node_of(F.col("a")).alias("a"), node_of(F.col("b")).alias("b")), hashes)
 
-    A 64-bit number stands for each hash while components are found; a component is then named
-    by its smallest hash.
-    """
-    nodes = materialize(pairs.select(F.explode(F.array("a", "b")).alias("hash")).distinct().withColumn("node", F.xxhash64("hash")), "nodes")
-    edges = pairs.select(F.xxhash64("a").alias("src"), F.xxhash64("b").alias("dst"))
-    found = connected_components(edges)
-    placed = nodes.join(found, "node")
+
+def named_components(links: DataFrame, hashes: DataFrame) -> DataFrame:
+    """(hash, component) of links of nodes; see :func:`named`."""
+    return named(connected_components(links, "a", "b"), hashes)
+
+
+def named(components: DataFrame, hashes: DataFrame) -> DataFrame:
+    """(hash, component) of components(node, component), named by their smallest hash; ``hashes`` are unique and may hold others too."""
+    placed = materialize(hashes.select("hash", node_of(F.col("hash")).alias("node")).join(components, "node"), "placed")
     names = placed.groupBy("component").agg(F.min("hash").alias("name"))
     return placed.join(names, "component").select("hash", F.col("name").alias("component"))
 
 
+def grown_documents(paths: DataFrame, signatures: DataFrame, known: DataFrame, radius: int = DOC_RADIUS) -> tuple[DataFrame, DataFrame]:
+    """(changed rows (node, component), merges (component, into)) when documents were added to known(node, component).
+
+    ``signatures(hash, sig, fresh)`` says which are new; only tiles with new documents are compared, and only their links
+    are followed. A document that only has new locations is fresh too.
+    """
+    return grow_components(known, document_links(paths, signatures, radius), "a", "b")
+
+
 def document_clusters(paths: DataFrame, signatures: DataFrame, clustered: DataFrame, radius: int = DOC_RADIUS) -> DataFrame:
-    found = components_of(document_pairs(paths, signatures, radius))
+    found = named_components(document_links(paths, signatures, radius), signatures.select("hash").distinct())
     return as_clusters(without_overlap(found, clustered), "doc_version", "document versions")
 
 

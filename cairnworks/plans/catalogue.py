@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from cairnworks.functions import bits, names, text
 from cairnworks.functions.simhash import simhash_arrow, simhash_md5
 from cairnworks.operators import archives, clusters, diagnostics, ingest, moves, near, review, stats, topics
-from cairnworks.operators.components import connected_components
+from cairnworks.operators.components import connected_components, grow_components
 from cairnworks.scratch import materialize, scratch_path
 from cairnworks.sources.snapshots import Snapshots
 from cairnworks.sources.warehouse import archive, table
@@ -387,7 +387,8 @@ _REACH = """, e AS (SELECT a, b FROM dp UNION SELECT b, a FROM dp), reach(n, m)
 
 @query("g1_components", _NEAR + _REACH + "SELECT hash, component FROM comp")
 def g1_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near.components_of(near.document_pairs(archive(spark, sf_dir).paths, _document_signatures(spark, sf_dir)))
+    signatures = _document_signatures(spark, sf_dir)
+    return near.named_components(near.document_links(archive(spark, sf_dir).paths, signatures), signatures.select("hash"))
 
 
 @query("g3_document_clusters", _NEAR + _REACH + """, bad AS (SELECT DISTINCT component FROM comp WHERE hash < '1')
@@ -403,8 +404,8 @@ SELECT substr(sha256('near_image|' || component), 1, 16) AS cluster_id, 'near_im
 def g4_image_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """With a radius wide enough to find links among the embeddings, blocked by shape alone."""
     signatures = _image_signatures(spark, sf_dir).where(bits.informative(F.col("sig")))
-    pairs = near.block_pairs(signatures.select(F.col("aspect").alias("block"), "hash", "sig"), 18)
-    return clusters.as_clusters(near.components_of(pairs), "near_image", "similar images", near.MAX_IMAGE_CLUSTER)
+    links = near.block_links(signatures.select(F.col("aspect").alias("block"), near.node_of(F.col("hash")).alias("node"), "sig"), 18)
+    return clusters.as_clusters(near.named_components(links, signatures.select("hash")), "near_image", "similar images", near.MAX_IMAGE_CLUSTER)
 
 
 def _least_labels(rounds: int = 24) -> str:
@@ -429,6 +430,29 @@ def g1_order_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return connected_components(_order_links(spark, sf_dir))
 
 
+@query("g7_grown_components", _least_labels(), False)
+def g7_grown_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All orders' links in four parts, each added to the components of those before."""
+    links = _order_links(spark, sf_dir).withColumn("part", F.pmod(F.xxhash64("src", "dst"), F.lit(4)))
+    known = spark.createDataFrame([], links.select(F.col("src").alias("node"), F.col("dst").alias("component")).schema)
+    for part in range(4):
+        changed, _ = grow_components(known, links.where(F.col("part") == part))
+        changed = materialize(changed, "changed")
+        known = materialize(known.join(changed, "node", "left_anti").union(changed), "components")
+    return known
+
+
+@query("g7_grown_versions", _NEAR + _REACH + "SELECT hash, component FROM comp")
+def g7_grown_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Document versions when half of the documents came later: only tiles with later ones are compared."""
+    paths, signatures = archive(spark, sf_dir).paths, _document_signatures(spark, sf_dir)
+    later = F.substring("hash", 1, 1).isin(*"89abcdef")
+    known = materialize(connected_components(near.document_links(paths, signatures.where(~later)), "a", "b"), "components")
+    changed, _ = near.grown_documents(paths, signatures.withColumn("fresh", later), known)
+    changed = materialize(changed, "changed")
+    return near.named(known.join(changed, "node", "left_anti").union(changed), signatures.select("hash"))
+
+
 _BANDED = "WITH RECURSIVE " + _IMAGES.replace("{radius}", "22") + """, dp AS (SELECT p.* FROM imgpairs p JOIN good x ON x.hash = p.a JOIN good y ON y.hash = p.b
  WHERE len(list_filter(range(8), lambda i: ((x.sig >> (8 * i)::UBIGINT) & 255) = ((y.sig >> (8 * i)::UBIGINT) & 255))) > 0)"""
 
