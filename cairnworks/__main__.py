@@ -47,6 +47,8 @@ def main(argv: list[str] | None = None) -> None:
     p.add_argument("--no-verify", action="store_true")
     commands.add_parser("undo-process")
     commands.add_parser("drives")
+    p = commands.add_parser("as-of")
+    p.add_argument("decision", type=int)
     p = commands.add_parser("compact")
     p.add_argument("--vacuum", action="store_true", help="also delete versions that no pointer needs")
     p = commands.add_parser("config")
@@ -80,6 +82,8 @@ def main(argv: list[str] | None = None) -> None:
         show(index.process(dry_run=not a.apply, verify=not a.no_verify))
     elif a.command == "undo-process":
         print(json.dumps(index.undo_process()))
+    elif a.command == "as-of":
+        show(index.clusters_as_of(a.decision).orderBy("id"))
     elif a.command == "compact":
         print(json.dumps(index.compact(a.vacuum)))
     elif a.command == "drives":

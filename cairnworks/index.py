@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from cairnworks.functions.bits import aspect_bucket
 from cairnworks.functions.names import is_text
 from cairnworks.functions.simhash import TEXT_CHARS, simhash_arrow
-from cairnworks.operators import clusters, diagnostics, ingest, moves, near, review, stats, topics
+from cairnworks.operators import clusters, diagnostics, ingest, moves, near, replay, review, stats, topics
 from cairnworks.scratch import materialize
 from cairnworks.sources import images
 from cairnworks.sources.relocate import execute, move_file
@@ -313,6 +313,13 @@ class Index:
         new = rows.select((F.lit(base) + F.monotonically_increasing_id()).alias("id"), F.lit(self.now()).cast("long").alias("ts"), F.lit(actor).alias("actor"), "action", "payload")
         return materialize(new, "decisions")
 
+    def paths_as_of(self, decision_id: int) -> DataFrame:
+        """The paths once a decision was made; see :mod:`cairnworks.operators.replay`."""
+        return replay.paths_as_of(self.paths, self.decisions, decision_id)
+
+    def clusters_as_of(self, decision_id: int) -> DataFrame:
+        return replay.clusters_as_of(self.clusters, self.paths_as_of(decision_id), self.decisions, decision_id)
+
     # --- the queue of relocations
 
     def moving(self) -> DataFrame:

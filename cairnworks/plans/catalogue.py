@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from cairnworks.functions import bits, names, text
 from cairnworks.functions.simhash import simhash_arrow, simhash_md5
-from cairnworks.operators import archives, clusters, diagnostics, ingest, moves, near, review, stats, topics
+from cairnworks.operators import archives, clusters, diagnostics, ingest, moves, near, replay, review, stats, topics
 from cairnworks.operators.components import connected_components, grow_components
 from cairnworks.scratch import materialize, scratch_path
 from cairnworks.sources.snapshots import Snapshots
@@ -603,6 +603,49 @@ def d5_next_undo(spark: SparkSession, sf_dir: str) -> DataFrame:
     return review.next_undo(_log(spark, sf_dir)).select("id", "action", "needs_process_undo")
 
 
+_AS_OF = """, e AS (SELECT event_id AS id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events),
+l AS (SELECT id, k, CASE WHEN id % 3 = 0 THEN 'undo' WHEN id % 17 = 1 THEN 'restore' WHEN id % 19 = 1 THEN 'apply_move' ELSE 'resolve_keep' END AS action, id - 1 - k % 3 AS target, (id * 7 + k) % 700 AS pid FROM e),
+u AS (SELECT min(id) AS id, target FROM l WHERE action = 'undo' AND id <= 6000 GROUP BY target),
+w(root, top, n) AS (SELECT target, id, 1 FROM u UNION ALL SELECT root, u.id, n + 1 FROM w JOIN u ON u.target = w.top),
+live AS (SELECT * FROM l WHERE id <= 6000 AND action <> 'undo' AND id NOT IN (SELECT root FROM w GROUP BY root HAVING max(n) % 2 = 1))"""
+
+
+def _decision_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as a log in which every third is an undo, of decisions and of undos alike."""
+    e, k = F.col("event_id"), F.get_json_object("props", "$.k").cast("long")
+    pid = (e * 7 + k) % 700
+    action = F.when(e % 3 == 0, "undo").when(e % 17 == 1, "restore").when(e % 19 == 1, "apply_move").otherwise("resolve_keep")
+    cluster = F.concat(F.lit("c"), k)
+    payload = (
+        F.when(action == "undo", F.to_json(F.struct((e - 1 - k % 3).alias("target"))))
+        .when(action == "restore", F.to_json(F.struct(pid.alias("path_id"), F.array(F.struct(cluster.alias("cluster_id"), F.lit("resolved").alias("prev_status"), F.concat(F.lit("x"), e).alias("prev_canonical"))).alias("reopened"))))
+        .when(action == "apply_move", F.to_json(F.struct(pid.alias("path_id"), F.struct(F.lit("old").alias("drive_id"), F.concat(F.lit("old/"), pid).alias("path")).alias("src"), F.struct(F.lit("new").alias("drive_id"), F.concat(F.lit("new/"), e).alias("path")).alias("dest"))))
+        .otherwise(F.to_json(F.struct(cluster.alias("cluster_id"), (e * 3 % 500).alias("kept_path_id"), F.array(F.struct(pid.alias("id"), F.lit("active").alias("prev_status"))).alias("purged"), F.concat(F.lit("x"), e).alias("prev_canonical"), F.lit("open").alias("prev_status"))))
+    )
+    return table(spark, sf_dir, "events").select(e.alias("id"), action.alias("action"), payload.alias("payload"))
+
+
+@query("d5_paths_as_of", _AS_OF + """,
+f AS (SELECT pid, arg_min(CASE action WHEN 'restore' THEN 'purgatory' ELSE 'active' END, id) FILTER (WHERE action <> 'apply_move') AS was, count(*) FILTER (WHERE action = 'apply_move') AS moved FROM l WHERE action <> 'undo' GROUP BY pid),
+n AS (SELECT pid, arg_max(CASE action WHEN 'restore' THEN 'active' ELSE 'purgatory' END, id) FILTER (WHERE action <> 'apply_move') AS status, max(id) FILTER (WHERE action = 'apply_move') AS place FROM live GROUP BY pid)
+SELECT p.id, p.hash, CASE WHEN place IS NOT NULL THEN 'new' WHEN moved > 0 THEN 'old' ELSE drive_id END AS drive_id, CASE WHEN place IS NOT NULL THEN 'new/' || place WHEN moved > 0 THEN 'old/' || p.id ELSE path END AS path,
+ coalesce(n.status, f.was, p.status) AS status FROM paths p LEFT JOIN f ON f.pid = p.id LEFT JOIN n ON n.pid = p.id""")
+def d5_paths_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths once decision 6000 was made, whatever was decided and undone before and after."""
+    return replay.paths_as_of(archive(spark, sf_dir).paths, _decision_log(spark, sf_dir), 6000)
+
+
+@query("d5_clusters_as_of", _AS_OF + """,
+n AS (SELECT 'c' || k AS id, arg_max(struct_pack(action := action, pid := id * 3 % 500), id) AS x FROM live WHERE action <> 'apply_move' GROUP BY k),
+f AS (SELECT 'c' || k AS id, arg_min(struct_pack(canonical := 'x' || id, status := CASE action WHEN 'restore' THEN 'resolved' ELSE 'open' END), id) AS was FROM l WHERE action NOT IN ('undo', 'apply_move') GROUP BY k)
+SELECT c.id, CASE WHEN x IS NULL THEN was.canonical WHEN x.action = 'resolve_keep' THEN p.hash END AS canonical_hash, CASE WHEN x IS NULL THEN coalesce(was.status, 'now') WHEN x.action = 'restore' THEN 'open' ELSE 'resolved' END AS status
+FROM (SELECT DISTINCT 'c' || k AS id FROM e) c LEFT JOIN n USING (id) LEFT JOIN f USING (id) LEFT JOIN paths p ON p.id = x.pid AND x.action = 'resolve_keep'""")
+def d5_clusters_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    named = F.concat(F.lit("c"), F.get_json_object("props", "$.k"))
+    now = table(spark, sf_dir, "events").select(named.alias("id"), F.lit(None).cast("string").alias("canonical_hash"), F.lit("now").alias("status")).distinct()
+    return replay.clusters_as_of(now, archive(spark, sf_dir).paths, _decision_log(spark, sf_dir), 6000)
+
+
 @query("d10_last_relocation", _LOG + "SELECT id, action FROM live WHERE action = 'apply_move' ORDER BY id DESC LIMIT 1", False)
 def d10_last_relocation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return review.last_relocation(_log(spark, sf_dir)).select("id", "action")
