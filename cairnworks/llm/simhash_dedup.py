@@ -188,8 +188,13 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Rows are told apart by id and text; of repeated rows one is kept.
     """
     found = near_groups(docs, id_col, text_col, radius, words)
-    first = found.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("r"))
-    kept = first.select(F.col("r.doc_id").alias("__keep"), F.col("r.text_hash").alias("__text"))
-    rows = docs.withColumn("__own_text", F.xxhash64(whole_text(text_col)))
-    rows = rows.join(kept, F.col(id_col).eqNullSafe(F.col("__keep")) & (F.col("__own_text") == F.col("__text")), "left_semi")
-    return rows.dropDuplicates([id_col, "__own_text"]).drop("__own_text")
+    slim = found.groupBy("component_id", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n"))
+    first = slim.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash", "n")).alias("best"))
+    kept = materialize(first.select(F.col("best.doc_id").alias("keep"), F.col("best.text_hash").alias("text_hash"), F.col("best.n").alias("n")), "kept")
+    # a row is one column on its way, so that no name of its columns can meet one used here
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("r"), F.col(id_col).cast("long").alias("id"), F.xxhash64(whole_text(text_col)).alias("own"))
+    met = rows.join(kept, F.col("id").eqNullSafe(F.col("keep")) & (F.col("own") == F.col("text_hash")))
+    if kept.where("n > 1").isEmpty():
+        return met.select("r.*")
+    repeated = met.where("n > 1").groupBy("id", "own").agg(F.first("r").alias("r"))
+    return met.where("n = 1").select("r").union(repeated.select("r")).select("r.*")

@@ -45,8 +45,20 @@ def test_stages_keep_what_plain_code_keeps(spark):
 def test_stages_take_empty_tables_and_extra_columns(spark):
     from pyspark.sql import functions as F
 
-    held = spark.read.parquet(f"{SF}/documents.parquet").withColumn("rank", F.lit(1)).withColumn("r", F.array(F.lit("x")))
-    for name, stage in corpus_pipeline.STAGES[:-1]:
+    held = spark.read.parquet(f"{SF}/documents.parquet")
+    names = ["rank", "__keep", "__text", "__own_text", "keep", "own", "id", "text_hash", "n", "component_id", "fp", "salt", "d", "best"]
+    held = held.withColumns({name: F.lit(k) for k, name in enumerate(names)}).withColumn("r", F.array(F.lit("x")))
+    some_docs = held.limit(30).union(held.limit(1)).union(held.limit(1).withColumn("doc_id", F.lit(None).cast("long")))
+    for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, held.limit(0), SF).count() == 0, name
-        some = stage(spark, held.limit(30), SF)
-        assert some.columns == held.columns and some.count() > 0, name
+        some = stage(spark, some_docs, SF)
+        if name != "pack":
+            assert some.columns == held.columns and some.select(*names).distinct().collect() == [tuple(range(len(names)))], name
+        assert some.count() > 0, name
+
+
+def test_repeated_rows_of_a_component_leave_one(spark):
+    rows = [(1, "some words stand here in a row", "x"), (1, "some words stand here in a row", "y"), (2, "some words stand here in a row", "z"), (None, None, "n"), (None, "", "n"), (7, "entirely other things that nobody else wrote down", "q")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, own string")
+    got = sorted(((r["doc_id"], r["text"] or "") for r in corpus_pipeline.near(spark, docs, SF).collect()), key=repr)
+    assert got == sorted([(1, rows[0][1]), (7, rows[5][1]), (None, "")], key=repr)
