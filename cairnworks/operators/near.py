@@ -14,6 +14,7 @@ from cairnworks.functions.bits import band, hamming, informative, to_hex
 from cairnworks.functions.names import normal_stem, parent_dir
 from cairnworks.operators.clusters import as_clusters, without_overlap
 from cairnworks.operators.components import connected_components, grow_components
+from cairnworks.operators.spread import join_spread
 from cairnworks.scratch import materialize, shuffle_partitions
 
 DOC_RADIUS = 16
@@ -63,19 +64,50 @@ def spanning_forest(nodes: np.ndarray, signatures: np.ndarray, radius: int) -> t
     return (np.concatenate(a), np.concatenate(b)) if a else (nodes[:0], nodes[:0])
 
 
+def cross_links(nodes: np.ndarray, signatures: np.ndarray, other: np.ndarray, others: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links (a, b) from a tile to another that join components of the two, one for each that they have less together.
+
+    What is linked inside a tile is known from the tile alone, so its components are the points here.
+    """
+    label = np.arange(len(nodes) + len(other))
+    where = {n: k for k, n in enumerate(nodes.tolist())} | {n: k + len(nodes) for k, n in enumerate(other.tolist())}
+
+    def find(k: int) -> int:
+        while label[k] != k:
+            label[k] = label[label[k]]
+            k = label[k]
+        return k
+
+    for some, sigs in ((nodes, signatures), (other, others)):
+        for x, y in zip(*(z.tolist() for z in spanning_forest(some, sigs, radius)), strict=True):
+            label[find(where[y])] = find(where[x])
+    first = np.array([find(k) for k in range(len(label))])  # components of the tiles by themselves
+    bits, a, b = others.view(np.uint64), [], []
+    for k, sig in enumerate(signatures.view(np.uint64)):
+        close = np.flatnonzero(np.bitwise_count(bits ^ sig) <= radius)
+        if len(close):
+            for at in close[np.unique(first[len(nodes) + close], return_index=True)[1]]:
+                x, y = find(k), find(len(nodes) + at)
+                if x != y:
+                    label[y] = x
+                    a.append(nodes[k])
+                    b.append(other[at])
+    return np.array(a, np.int64), np.array(b, np.int64)
+
+
 def block_links(keyed: DataFrame, radius: int, tile: int = TILE) -> DataFrame:
     """Links (a, b) with the components that pairs of the same ``block`` within the radius have; keyed(block, node, sig[, fresh]).
 
     Equal signatures of a block are one point, linked to its other members by a star. The points of a block
-    are packed into tiles, a row each; a task takes two tiles and returns a spanning forest of them, never
-    the pairs. With a boolean ``fresh`` two tiles without a fresh member aren't compared: their links are known.
+    are packed into tiles, a row each; a task takes a tile and returns a spanning forest of it, or two tiles and
+    returns the links that join their components, never the pairs. With a boolean ``fresh`` two tiles without a fresh member aren't compared: their links are known.
     """
     fresh = "fresh" in keyed.columns
     rows = keyed if fresh else keyed.withColumn("fresh", F.lit(True))
     points = materialize(rows.groupBy("block", "sig").agg(F.min("node").alias("point"), F.count_distinct("node").alias("n"), F.max("fresh").alias("fresh")), "points")
     stars = rows.join(points.where("n > 1 and fresh").select("block", "sig", "point"), ["block", "sig"]).where("node != point").select(F.col("point").alias("a"), F.col("node").alias("b"))
     counts = points.groupBy("block", "fresh").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("tiles"))
-    dealt = points.join(counts, ["block", "fresh"]).withColumn("tile", F.pmod(F.xxhash64("sig"), F.col("tiles")).cast("int"))
+    dealt = join_spread(points, counts, ["block", "fresh"], "sig").withColumn("tile", F.pmod(F.xxhash64("sig"), F.col("tiles")).cast("int"))
     packed = dealt.groupBy("block", "fresh", "tile").agg(F.collect_list(F.struct("point", "sig")).alias("held"))  # about ``tile`` points
     packed = materialize(packed.select("block", F.struct("fresh", "tile").alias("name"), F.col("held.point").alias("points"), F.col("held.sig").alias("sigs")), "tiles")
     a, b = packed.alias("a"), packed.alias("b")
@@ -88,7 +120,7 @@ def block_links(keyed: DataFrame, radius: int, tile: int = TILE) -> DataFrame:
         for batch in batches:
             for k in range(batch.num_rows):
                 points, sigs, more_points, more_sigs = (c.slice(k, 1).flatten().to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns)
-                x, y = spanning_forest(np.concatenate([points, more_points]), np.concatenate([sigs, more_sigs]), radius)
+                x, y = cross_links(points, sigs, more_points, more_sigs, radius) if len(more_points) else spanning_forest(points, sigs, radius)
                 if len(x):
                     yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["a", "b"])
 

@@ -47,6 +47,19 @@ def test_forests_have_the_components_of_all_pairs():
         assert len(a) == len(want) - len(set(want.values()))
 
 
+def test_cross_links_are_as_few_as_the_components_they_join():
+    r = random.Random(4)
+    for n, radius in ((1, 64), (40, 3), (150, 4), (60, 40)):
+        sigs = np.array(signatures(r, 2 * n), np.int64)
+        left, right = np.arange(n), np.arange(n, 2 * n)
+        inside = [e for t in (left, right) for e in zip(*(z.tolist() for z in near.spanning_forest(t, sigs[t], radius)), strict=True)]
+        a, b = (z.tolist() for z in near.cross_links(left, sigs[left], right, sigs[right], radius))
+        both = union_find([*inside, *zip(a, b, strict=True)], range(2 * n))
+        whole = union_find(zip(*(z.tolist() for z in near.spanning_forest(np.arange(2 * n), sigs, radius)), strict=True), range(2 * n))
+        assert both == whole and set(a) <= set(left) and set(b) <= set(right)
+        assert len(a) == len(set(union_find(inside, range(2 * n)).values())) - len(set(whole.values()))
+
+
 def test_block_links_join_what_block_pairs_join(spark):
     r = random.Random(3)
     sigs = signatures(r, 240)
