@@ -131,9 +131,10 @@ class Index:
 
     # --- clusters and topics
 
-    def cluster(self, reset_near: bool = False) -> dict:
+    def cluster(self, reset_near: bool = False, most_images: int | None = near.MAX_IMAGE_CLUSTER) -> dict:
         """Exact groups, text signatures, document versions and near images; counts of new clusters.
 
+        Components of more than ``most_images`` images make no cluster, None keeps all; :meth:`oversize_images` tells of them.
         Images are signed where there is a decoder; signatures can also come by :meth:`add_image_signatures`.
         """
         if reset_near:
@@ -143,12 +144,20 @@ class Index:
         if self.decoder is not None:
             self._sign_images()
         text = self.signatures.where("algo = 'simhash_text'")
-        image = self.signatures.where("algo = 'phash_image'").withColumn("aspect", aspect_bucket(F.col("w"), F.col("h")))
         live = self.paths.where("status = 'active'").select("hash").distinct()
         new["doc_version"] = near.document_clusters(self.paths, text.join(live, "hash", "left_semi"), self._of_kind("doc_version"))
-        new["near_image"] = near.image_clusters(image.join(live, "hash", "left_semi"), self._of_kind("near_image"))
+        new["near_image"] = near.image_clusters(self._live_images(), self._of_kind("near_image"), most=most_images)
         return {kind: self._add_clusters(rows) for kind, rows in new.items()}
 
+    def _live_images(self) -> DataFrame:
+        live = self.paths.where("status = 'active'").select("hash").distinct()
+        image = self.signatures.where("algo = 'phash_image'").withColumn("aspect", aspect_bucket(F.col("w"), F.col("h")))
+        return image.join(live, "hash", "left_semi")
+
+    def oversize_images(self, most: int = near.MAX_IMAGE_CLUSTER) -> DataFrame:
+        """(component, n): components of near images that :meth:`cluster` leaves out for their size."""
+        return near.oversize(near.components_of(near.band_links(self._live_images())), most)
+
     def _of_kind(self, kind: str) -> DataFrame:
         return self.members.join(self.clusters.where(F.col("kind") == kind).select(F.col("id").alias("cluster_id")), "cluster_id", "left_semi")
 

@@ -26,11 +26,30 @@ def content_hash(path: str) -> tuple[str, int]:
     return digest.hexdigest(), n
 
 
+def _rename_to_free(src: str, dst: str) -> None:
+    """Gives a file a name that nobody has; raises FileExistsError where it is taken, however late."""
+    try:
+        os.link(src, dst)
+    except FileExistsError:
+        raise
+    except OSError:  # another volume, or one without hard links: an empty file of one's own holds the name
+        os.close(os.open(dst, os.O_CREAT | os.O_EXCL | os.O_WRONLY))
+        try:
+            os.replace(src, dst)
+        except OSError:
+            os.remove(dst)
+            raise
+    else:
+        os.unlink(src)
+
+
 def move_file(src: str, dst: str, want: str | None, size: int | None, verify: bool = True) -> str | None:
     """None when the file is at ``dst``, else why it was left alone."""
     if os.path.lexists(dst):
         if os.path.lexists(src):
-            return "destination already exists"
+            if os.path.islink(src) or os.path.islink(dst) or not os.path.samefile(src, dst):
+                return "destination already exists"
+            os.unlink(src)  # an attempt died between the new name and the old
         return None if not verify or content_hash(dst)[0] == want else "destination holds other content"
     if not os.path.lexists(src):
         return "source file is gone"
@@ -44,14 +63,20 @@ def move_file(src: str, dst: str, want: str | None, size: int | None, verify: bo
             return "content changed since ingest"
     os.makedirs(os.path.dirname(dst), exist_ok=True)
     try:
-        os.rename(src, dst)
+        _rename_to_free(src, dst)
+    except FileExistsError:
+        return "destination already exists"
     except OSError:
         part = f"{dst}.part"
         shutil.copy2(src, part)
         if want is not None and content_hash(part)[0] != want:
             os.remove(part)
             return "copy verification failed"
-        os.rename(part, dst)
+        try:
+            _rename_to_free(part, dst)
+        except FileExistsError:
+            os.remove(part)
+            return "destination already exists"
         os.remove(src)
     return None
 

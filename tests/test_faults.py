@@ -186,3 +186,43 @@ def test_images_are_signed_by_the_cluster_pass(spark, tmp_path):
     index.add_image_signatures(index.signatures.where("algo = 'phash_image'").withColumn("w", F.lit(None)))
     index.cluster()
     assert {r["w"] for r in index.signatures.where("algo = 'phash_image'").collect()} == {640}
+
+
+def test_large_image_components_are_told_and_can_be_kept(spark, tmp_path):
+    index = Index(spark, str(tmp_path))
+    index.tables.commit(paths=index._rows("paths", [(i, f"h{i}", "d", f"p{i}", 1, 1, 1, "active") for i in range(6)]), files=index._rows("files", [(f"h{i}", 1, "image/png", 1) for i in range(6)]))
+    index.add_image_signatures(spark.createDataFrame([(f"h{i}", 0x0F0F0F0F0F0F0F0F if i < 4 else 0x3333333333333333, 64, 48) for i in range(6)], "hash string, sig long, w int, h int"))
+    assert [(r["component"], r["n"]) for r in index.oversize_images(3).collect()] == [("h0", 4)]
+    assert index.cluster(most_images=3)["near_image"] == 1 and index.cluster(most_images=None)["near_image"] == 1
+    assert index.oversize_images().count() == 0 and index.members.count() == 6
+
+
+def test_a_name_taken_at_the_last_moment_is_left_alone(tmp_path, monkeypatch):
+    from cairnworks.sources import relocate
+
+    src, dst = tmp_path / "a", tmp_path / "out/b"
+    src.write_text("mine")
+    real = os.makedirs
+
+    def late(path, exist_ok):
+        real(path, exist_ok=exist_ok)
+        dst.write_text("theirs")
+
+    with monkeypatch.context() as m:
+        m.setattr(os, "makedirs", late)
+        assert relocate.move_file(str(src), str(dst), None, None, False) == "destination already exists"
+    assert (src.read_text(), dst.read_text()) == ("mine", "theirs")
+    dst.unlink()
+    # volumes without hard links, and others
+    no = lambda *a: (_ for _ in ()).throw(OSError("no"))
+    monkeypatch.setattr(os, "link", no)
+    assert relocate.move_file(str(src), str(dst), None, None, False) is None and dst.read_text() == "mine" and not src.exists()
+    src.write_text("more")
+    dst.unlink()
+    replace = os.replace
+    monkeypatch.setattr(os, "replace", lambda a, b: replace(a, b) if a.endswith(".part") else no())
+    assert relocate.move_file(str(src), str(dst), None, None, False) is None and dst.read_text() == "more" and os.listdir(tmp_path) == ["out"]
+    # an attempt that died between the two names
+    monkeypatch.undo()
+    os.link(dst, src)
+    assert relocate.move_file(str(src), str(dst), None, None, False) is None and not src.exists() and dst.read_text() == "more"
