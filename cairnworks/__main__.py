@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from cairnworks.index import Index
 from cairnworks.operators.diagnostics import drives_by_label
+from cairnworks.sources.chat import ChatServer, choose_backend, server_base, server_key
 
 
 def main(argv: list[str] | None = None) -> None:
@@ -32,6 +33,11 @@ def main(argv: list[str] | None = None) -> None:
     p.add_argument("--reset-near", action="store_true")
     p = commands.add_parser("topics")
     p.add_argument("--limit", type=int)
+    p.add_argument("--backend", choices=("auto", "heading", "server"), default="heading")
+    p.add_argument("--llm-url", help="host, host:port or URL of a chat server")
+    p.add_argument("--model", default="default")
+    p.add_argument("--per-second", type=float, help="requests of all tasks together")
+    p.add_argument("--at-once", type=int, default=4)
     commands.add_parser("queue")
     p = commands.add_parser("search")
     p.add_argument("pattern")
@@ -67,7 +73,11 @@ def main(argv: list[str] | None = None) -> None:
     elif a.command == "cluster":
         print(json.dumps(index.cluster(a.reset_near)))
     elif a.command == "topics":
-        print(json.dumps(index.topics(limit=a.limit)))
+        if choose_backend(a.backend, a.llm_url) == "server":
+            server = ChatServer(server_base(a.llm_url), a.model, server_key())
+            print(json.dumps(index.topics(limit=a.limit, server=server, at_once=a.at_once, per_second=a.per_second)))
+        else:
+            print(json.dumps(index.topics(limit=a.limit)))
     elif a.command == "search":
         show(index.search(a.pattern))
     elif a.command == "keep":

@@ -10,15 +10,16 @@ import uuid
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from cairnworks.functions.bits import aspect_bucket
 from cairnworks.functions.names import is_text
 from cairnworks.functions.simhash import TEXT_CHARS, simhash_arrow
-from cairnworks.operators import clusters, diagnostics, ingest, moves, near, replay, review, stats, topics
+from cairnworks.operators import archives, clusters, diagnostics, ingest, moves, near, replay, review, stats, topics
 from cairnworks.scratch import materialize
 from cairnworks.sources import images
+from cairnworks.sources.chat import ChatServer, ask_all
 from cairnworks.sources.relocate import execute, move_file
 from cairnworks.sources.snapshots import SCHEMAS, Snapshots
 from cairnworks.sources.treewalk import MARKER, hash_files, walk
@@ -227,16 +228,45 @@ class Index:
         rows = signed.select("hash", F.lit("phash_image").alias("algo"), F.col("sig").cast("long").alias("sig"), F.col("w").cast("int").alias("w"), F.col("h").cast("int").alias("h"))
         self.tables.commit({"signatures": rows})
 
-    def topics(self, model: Callable[[], Callable[[str], str]] | None = None, limit: int | None = None) -> dict:
-        """Tags texts by their heading, or by a model's answers; groups of two make clusters."""
+    def topics(self, model: Callable[[], Callable[[str], str]] | None = None, limit: int | None = None, server: ChatServer | None = None, **pace) -> dict:
+        """Tags texts by their heading, by a model's answers or by those of a server; groups of two make clusters.
+
+        ``pace`` goes to :meth:`_ask`; texts that a server gave no answer to are counted as ``errors`` and asked again next time.
+        """
         todo = materialize(topics.untagged_texts(stats.one_location(self.files, self.paths, self.drives), self.tags, limit), "untagged")
-        texts = self._texts(todo, topics.TOPIC_CHARS)
-        found = topics.infer_by_model(texts, "hash", "text", model) if model else topics.infer_by_heading(texts, "hash", "text")
-        tags = materialize(topics.as_tags(found, "llm" if model else "rule"), "tags")
+        texts, failed = self._texts(todo, topics.TOPIC_CHARS), {}
+        if server:
+            texts = materialize(topics.keyed_texts(texts, "hash", "text"), "shown-texts")
+            answers = self._ask(texts, server, **pace)
+            failed["errors"] = topics.unanswered(texts, answers).count()
+            found = topics.infer_by_answers(texts, "hash", answers)
+        else:
+            found = topics.infer_by_model(texts, "hash", "text", model) if model else topics.infer_by_heading(texts, "hash", "text")
+        tags = materialize(topics.as_tags(found, "llm" if model or server else "rule"), "tags")
         tagged = tags.select("hash").distinct().count()
         self.tables.commit({"tags": tags.dropDuplicates(["hash", "key", "value"])})
         made = self._add_clusters(topics.topic_clusters(self.tags, self.paths, self._of_kind("topic")))
-        return {"tagged": tagged, "skipped": todo.count() - tagged, "clusters": made}
+        return {"tagged": tagged, "skipped": todo.count() - tagged, "clusters": made} | failed
+
+    def _ask(self, texts: DataFrame, server: ChatServer, at_once: int = 4, per_second: float | None = None, share: int = 64) -> DataFrame:
+        """The server's answers, once texts(text_key, t) without one were asked for.
+
+        Rounds of about ``share`` texts for each of ``at_once`` tasks, each kept by one commit: a lost task repeats its share
+        of a round, and a run that died is taken up where its last round ended. A round without any answer is the last.
+        """
+        known = lambda: self.answers.where(F.col("model") == server.model)
+        open_texts = materialize(topics.unanswered(texts, known()), "unanswered")
+        rounds = -(-open_texts.count() // (at_once * share))
+        if rounds:
+            dealt = open_texts.withColumn("round", F.pmod(F.xxhash64("text_key"), F.lit(rounds)))
+            dealt = materialize(dealt.repartitionByRange("round").sortWithinPartitions("round"), "dealt")  # a round reads its row groups
+        for k in range(rounds):
+            seen = Observation()
+            asked = ask_all(dealt.where(F.col("round") == k), server, at_once, per_second)
+            self.tables.commit({"answers": asked.observe(seen, F.count("answer").alias("answered"), F.count("error").alias("failed"))})
+            if seen.get["failed"] and not seen.get["answered"]:
+                break
+        return known()
 
     # --- reading
 
@@ -264,6 +294,12 @@ class Index:
     def purgatory(self, limit: int = 1000) -> DataFrame:
         return stats.purgatory_list(self.files, self.paths, limit)
 
+    def archive_members(self) -> DataFrame:
+        """Entries of every active zip and tar file, each archive's from one of its paths; see :mod:`cairnworks.operators.archives`."""
+        held = stats.one_location(self.files, self.paths, self.drives).where(archives.listable(F.col("rel")))
+        rows = archives.list_files(held.select(F.col("rel").alias("path"), "abspath", "hash"))
+        return rows.drop("abspath")
+
     # --- review
 
     def keep(self, cluster_id: str, path_id: int, dest_root: str | None = None, dest_label: str | None = None) -> None:

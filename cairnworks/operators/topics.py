@@ -37,6 +37,23 @@ def infer_by_model(rows: DataFrame, key: str, text: str, make: Callable[[], Call
     return asked.select(key, model_answer(F.col("answer")).alias("r")).where("r is not null").select(key, "r.*")
 
 
+def keyed_texts(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, text_key, t): what a model is shown of each text, and its hash; equal ones are asked once."""
+    shown = rows.select(key, F.substring(F.coalesce(F.col(text), F.lit("")), 1, TOPIC_CHARS).alias("t"))
+    return shown.select(key, F.sha2("t", 256).alias("text_key"), "t")
+
+
+def unanswered(texts: DataFrame, answers: DataFrame) -> DataFrame:
+    """(text_key, t) of texts that no answer is known for, each once."""
+    return texts.join(answers.where("answer is not null").select("text_key"), "text_key", "left_anti").groupBy("text_key").agg(F.first("t").alias("t"))
+
+
+def infer_by_answers(texts: DataFrame, key: str, answers: DataFrame) -> DataFrame:
+    """(key, topic, slug, kind, confidence) of texts(key, text_key) with a usable answer."""
+    found = answers.select("text_key", model_answer(F.col("answer")).alias("r")).where("r is not null")
+    return texts.select(key, "text_key").join(found, "text_key").select(key, "r.*")
+
+
 def untagged_texts(locations: DataFrame, tags: DataFrame, limit: int | None = None) -> DataFrame:
     """Active text files without a topic; the first by hash where a limit is given."""
     rows = locations.where(is_text(F.col("rel"), F.col("mime"))).join(tags.where("key = 'topic_slug'").select("hash"), "hash", "left_anti")

@@ -33,10 +33,11 @@ SCHEMAS = {
     "settings": "key string, value string",
     "moves": "id long, path_id long, hash string, kind string, dest_label string, dest_root string, src_abspath string, final_path string, enqueued_at long, status string",
     "observed": "drive_id string, path string, observed_at long, hash string, size long, mime string, mtime long",
+    "answers": "text_key string, model string, answer string, error string",
 }
 DEFAULTS = {("paths", "status"): "active", ("clusters", "status"): "open", ("drives", "kind"): "scanned", ("members", "confidence"): 1.0}
 #: What tells a table's rows apart.
-KEYS = {"files": ["hash"], "members": ["cluster_id", "hash"], "signatures": ["hash", "algo"], "tags": ["hash", "key", "value"], "settings": ["key"], "observed": ["drive_id", "path"]}
+KEYS = {"files": ["hash"], "members": ["cluster_id", "hash"], "signatures": ["hash", "algo"], "tags": ["hash", "key", "value"], "settings": ["key"], "observed": ["drive_id", "path"], "answers": ["text_key", "model"]}
 #: Tables whose ids are numbers given out here.
 NUMBERED = ("paths", "decisions", "moves")
 #: Rows of a bucket that a table is laid out for, and pieces of a log after which it is compacted.
