@@ -17,7 +17,7 @@ from cairnworks.functions.bits import aspect_bucket
 from cairnworks.functions.names import is_text
 from cairnworks.functions.simhash import TEXT_CHARS, simhash_arrow
 from cairnworks.operators import archives, clusters, diagnostics, ingest, moves, near, replay, review, stats, topics
-from cairnworks.scratch import materialize
+from cairnworks.scratch import counted, materialize
 from cairnworks.sources import images
 from cairnworks.sources.chat import ChatServer, ask_all
 from cairnworks.sources.relocate import execute, move_file
@@ -73,14 +73,16 @@ class Index:
     # --- ingest
 
     def ingest(self, root: str, label: str | None = None, prune: bool = False) -> dict:
-        """Indexes a tree; unchanged files aren't read again. Counts of what happened."""
+        """Indexes a tree; unchanged files aren't read again. Counts of what happened, taken while the listing and the hashes are written."""
         drive, now = drive_identity(root, label), self.now()
         roots = [r["root_path"] for r in self.drives.where("kind = 'managed'").select("root_path").collect()]  # a few destinations
-        walked = materialize(walk(self.spark, root, roots, errors=True).withColumn("drive_id", F.lit(drive["id"])), "listing")
-        listing, unreadable = walked.where("error is null").drop("error"), walked.where("error is not null").count()
+        walked = walk(self.spark, root, roots, errors=True).withColumn("drive_id", F.lit(drive["id"]))
+        walked, saw = counted(walked, "listing", unreadable=F.count("error"), links=F.count_if(F.expr("error is null and is_link")), files=F.count_if(F.expr("error is null and not is_link")))
+        listing = walked.where("error is null").drop("error")
         known = ingest.to_hash(listing.where("not is_link"), self.paths, self.files)
         todo = listing.join(known.where("known_hash is null").select("drive_id", "path"), ["drive_id", "path"], "left_semi")
-        hashed = materialize(hash_files(todo.select("drive_id", "path", "abspath", "size", "mtime", "ctime")), "hashed")
+        hashed = hash_files(todo.select("drive_id", "path", "abspath", "size", "mtime", "ctime"))
+        hashed, read = counted(hashed, "hashed", all=F.count(F.lit(1)), good=F.count_if(ingest.is_good()))
         good, errors = ingest.short_reads(hashed)
         same = listing.join(known.where("known_hash is not null").select("drive_id", "path", "known_hash"), ["drive_id", "path"])
         same = same.select("drive_id", "path", F.col("known_hash").alias("hash"), "mtime", "ctime")
@@ -95,8 +97,9 @@ class Index:
         paths = paths.withColumn("id", F.coalesce("id", F.lit(base) + F.monotonically_increasing_id())).withColumn("ctime", F.coalesce("ctime", "old_ctime"))
         drives = self._rows("drives", [(drive["id"], drive["label"], os.path.abspath(root), now, "scanned")])
         self.tables.commit({"files": files, "paths": paths, "drives": drives})
-        out = {"drive_id": drive["id"], "links": listing.where("is_link").count(), "hashed": good.count(), "skipped": same.count(), "errors": errors.count() + unreadable, "pruned": 0}
-        if prune and not unreadable:  # what lies below a folder that can't be read is not gone
+        failed = read["all"] - read["good"] + saw["unreadable"]
+        out = {"drive_id": drive["id"], "links": saw["links"], "hashed": read["good"], "skipped": saw["files"] - read["all"], "errors": failed, "pruned": 0}
+        if prune and not saw["unreadable"]:  # what lies below a folder that can't be read is not gone
             gone = stats.stale(self.files, self.paths.where(F.col("drive_id") == drive["id"]), now, errors)
             out["pruned"] = self._delete(materialize(gone.select("id"), "gone"), "ingest_prune")
         return out
@@ -233,7 +236,8 @@ class Index:
 
         ``pace`` goes to :meth:`_ask`; texts that a server gave no answer to are counted as ``errors`` and asked again next time.
         """
-        todo = materialize(topics.untagged_texts(stats.one_location(self.files, self.paths, self.drives), self.tags, limit), "untagged")
+        todo = topics.untagged_texts(stats.one_location(self.files, self.paths, self.drives), self.tags, limit)
+        todo, saw = counted(todo, "untagged", files=F.count(F.lit(1)))
         texts, failed = self._texts(todo, topics.TOPIC_CHARS), {}
         if server:
             texts = materialize(topics.keyed_texts(texts, "hash", "text"), "shown-texts")
@@ -242,11 +246,11 @@ class Index:
             found = topics.infer_by_answers(texts, "hash", answers)
         else:
             found = topics.infer_by_model(texts, "hash", "text", model) if model else topics.infer_by_heading(texts, "hash", "text")
-        tags = materialize(topics.as_tags(found, "llm" if model or server else "rule"), "tags")
-        tagged = tags.select("hash").distinct().count()
+        tags = topics.as_tags(found, "llm" if model or server else "rule")
+        tags, told = counted(tags, "tags", files=F.count_if(F.col("key") == "topic"))  # one such tag a file
         self.tables.commit({"tags": tags.dropDuplicates(["hash", "key", "value"])})
         made = self._add_clusters(topics.topic_clusters(self.tags, self.paths, self._of_kind("topic")))
-        return {"tagged": tagged, "skipped": todo.count() - tagged, "clusters": made} | failed
+        return {"tagged": told["files"], "skipped": saw["files"] - told["files"], "clusters": made} | failed
 
     def _ask(self, texts: DataFrame, server: ChatServer, at_once: int = 4, per_second: float | None = None, share: int = 64) -> DataFrame:
         """The server's answers, once texts(text_key, t) without one were asked for.

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -30,11 +30,15 @@ def fold_paths(old: DataFrame, seen: DataFrame) -> DataFrame:
     return rows.groupBy("drive_id", "path").agg(last, F.coalesce(F.max("status"), F.lit("active")).alias("status")).select("drive_id", "path", "o.*", "status")
 
 
+def is_good() -> Column:
+    """Whether a row of hashed(size, n_read, error) was read to its end."""
+    return F.col("error").isNull() & F.coalesce(F.col("n_read") == F.col("size"), F.lit(False))
+
+
 def short_reads(hashed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(indexable rows, errors) of hashed(drive_id, path, size, n_read, error)."""
-    short = F.coalesce(F.col("n_read") != F.col("size"), F.lit(True))
-    errors = hashed.where(F.col("error").isNotNull() | short).select("drive_id", "path", F.coalesce("error", F.format_string("short_read: expected %d bytes, got %d", "size", "n_read")).alias("error"))
-    return hashed.where(F.col("error").isNull() & ~short), errors
+    errors = hashed.where(~is_good()).select("drive_id", "path", F.coalesce("error", F.format_string("short_read: expected %d bytes, got %d", "size", "n_read")).alias("error"))
+    return hashed.where(is_good()), errors
 
 
 def missing_paths(paths: DataFrame, files: DataFrame, drives: DataFrame, listing: DataFrame, reachable: DataFrame) -> DataFrame:

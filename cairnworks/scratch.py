@@ -12,7 +12,7 @@ import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
@@ -52,6 +52,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return table
 
 
+def counted(df: DataFrame, name: str, **figures: Column) -> tuple[DataFrame, dict[str, int]]:
+    """:func:`materialize`, and aggregates over the rows, taken while they are written; null ones are 0."""
+    seen = Observation()
+    table = materialize(df.observe(seen, *[c.alias(k) for k, c in figures.items()]), name)
+    return table, {k: v or 0 for k, v in seen.get.items()}
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
