@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from cairnworks.functions.names import absolute, base_name, parent_dir
+from cairnworks.operators.running import running_sum
 
 
 def pending(moves: DataFrame, paths: DataFrame, files: DataFrame, drives: DataFrame, kind: str | None = None, statuses: tuple[str, ...] = ("pending",)) -> DataFrame:
@@ -37,26 +37,26 @@ def free_names(items: DataFrame, taken: DataFrame) -> DataFrame:
     """items(item, dest_root, rel) with ``final_rel``: ' (n)' is put on the stem until the name is free.
 
     ``taken`` has (dest_root, rel) of what lies there. The plan knows its own names: the k-th
-    item of one name takes the k-th free number. Numbers go by item; a suffixed name that is
-    itself planned or taken is passed over.
+    item of one name takes the k-th free number, where 1 is the name itself. Numbers go by item; a
+    suffixed name that is itself planned or taken is passed over. Null folders and names are
+    groups of their own. Items and used numbers are counted by :func:`running_sum`, so one name may have any share of all rows.
     """
     stem = F.regexp_replace(base_name(F.col("rel")), r"^(.+)\.[^.]+$", "$1")
     ending = F.regexp_extract(base_name(F.col("rel")), r"^.+(\.[^.]+)$", 1)
     folder = F.when(parent_dir(F.col("rel")) == ".", "").otherwise(F.concat(parent_dir(F.col("rel")), F.lit("/")))
-    rows = items.withColumn("k", F.row_number().over(Window.partitionBy("dest_root", "rel").orderBy("item")))
     there = taken.select("dest_root", F.col("rel").alias("name")).union(items.select("dest_root", F.col("rel").alias("name"))).distinct()
-    numbered = there.select("dest_root", F.regexp_extract("name", r" \((\d+)\)(?:\.[^./]+)?$", 1).alias("n"), F.regexp_replace("name", r" \(\d+\)(\.[^./]+)?$", "$1").alias("rel"))
-    used = numbered.where("n != '' and length(n) < 10").select("dest_root", "rel", F.col("n").cast("int").alias("n")).where("n >= 2").distinct()
-    on_disk = taken.select("dest_root", "rel").distinct().withColumn("occupied", F.lit(True))
-    rows = rows.join(on_disk, ["dest_root", "rel"], "left").withColumn("need", F.col("k") - F.when(F.col("occupied"), 0).otherwise(1))
-    # the j-th used number has n - 2 - j free ones below; a row passes over those with fewer than it needs
-    name = Window.partitionBy("dest_root", "rel")
-    used = used.select("dest_root", "rel", (F.col("n") - 1 - F.row_number().over(name.orderBy("n"))).alias("need"), F.lit(None).cast(items.schema["item"].dataType).alias("item"), F.lit(1).alias("is_used"))
-    both = rows.select("dest_root", "rel", "need", "item", F.lit(0).alias("is_used")).unionByName(used)
-    passed = F.sum("is_used").over(name.orderBy("need", "is_used").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    rows = both.withColumn("number", F.col("need") + 1 + passed).where("is_used = 0")
-    final = F.when(F.col("need") <= 0, F.col("rel")).otherwise(F.concat(folder, stem, F.lit(" ("), "number", F.lit(")"), ending))
-    return rows.select("item", "dest_root", "rel", final.alias("final_rel"))
+    suffixed = there.select("dest_root", F.regexp_replace("name", r" \(\d+\)(\.[^./]+)?$", "$1").alias("rel"), F.regexp_extract("name", r" \((\d+)\)(?:\.[^./]+)?$", 1).alias("n"))
+    suffixed = suffixed.where("n != '' and length(n) < 10").select("dest_root", "rel", F.col("n").cast("int").alias("n")).where("n >= 2")
+    used = suffixed.union(taken.select("dest_root", "rel", F.lit(1))).distinct()
+    both = items.select("dest_root", "rel", "item", F.lit(None).cast("int").alias("n")).unionByName(used.withColumn("item", F.lit(None).cast(items.schema["item"].dataType)))
+    both = both.withColumn("is_used", F.col("n").isNotNull().cast("int"))
+    both = running_sum(both, ["dest_root", "rel", "is_used"], ["item", "n"], F.lit(1), "nth")
+    # the j-th used number has n - j free ones below; the k-th item passes over those with fewer than k
+    both = both.withColumn("at", F.when(F.col("is_used") == 1, F.col("n") - F.col("nth")).otherwise(F.col("nth")))
+    both = running_sum(both, ["dest_root", "rel"], ["at", "is_used", "n", "item"], F.col("is_used"), "passed")
+    number = F.col("at") + F.col("passed")
+    final = F.when(number == 1, F.col("rel")).otherwise(F.concat(folder, stem, F.lit(" ("), number, F.lit(")"), ending))
+    return both.where("is_used = 0").select("item", "dest_root", "rel", final.alias("final_rel"))
 
 
 def verify_sources(items: DataFrame, listing: DataFrame, by_content: bool = True) -> DataFrame:

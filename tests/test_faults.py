@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import random
 from collections import Counter
 
 import pytest
@@ -10,8 +11,9 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from cairnworks.index import Index
-from cairnworks.operators import moves, near
+from cairnworks.operators import moves, near, running
 from cairnworks.plans.catalogue import QUERIES
+from cairnworks.scratch import materialize
 from cairnworks.settings import load_env
 from cairnworks.sources.snapshots import Snapshots
 from cairnworks.sources.treewalk import TreeReader
@@ -102,6 +104,44 @@ def test_free_names_of_many_copies(spark):
     assert max(Counter(got.values()).values()) == 1
 
 
+def test_free_names_equal_a_greedy_walk_where_one_name_has_most_rows(spark):
+    chance = random.Random(5)
+    names = ["hot.txt"] * 6 + ["x/cold.md", "bare", "hot (3).txt", "hot (7).txt"]
+    items = [(i, chance.choice(["/d", "/e"]), chance.choice(names)) for i in range(600)]
+    taken = {("/d", f"hot ({n}).txt") for n in range(40, 300)} | {("/d", "hot.txt"), ("/e", "bare"), ("/e", "bare (2)"), ("/e", "x/cold (1).md")}
+    left, want, planned = {}, {}, taken | {(d, x) for _, d, x in items}
+    for i, d, x in items:  # in order of item
+        stem, dot, end = x.rpartition(".") if "." in x else (x, "", "")
+        n = left.get((d, x), 1)
+        while (n == 1 and (d, x) in taken) or (n > 1 and (d, f"{stem} ({n}){dot}{end}") in planned):
+            n += 1
+        left[d, x], want[i] = n + 1, x if n == 1 else f"{stem} ({n}){dot}{end}"
+    chance.shuffle(items)
+    got = moves.free_names(spark.createDataFrame(items, "item long, dest_root string, rel string"), spark.createDataFrame(sorted(taken), "dest_root string, rel string"))
+    assert {r["item"]: r["final_rel"] for r in got.collect()} == want
+    empty = spark.createDataFrame([], "item long, dest_root string, rel string")
+    assert moves.free_names(empty, spark.createDataFrame(sorted(taken), "dest_root string, rel string")).count() == 0
+
+
+def test_running_sums_carry_over_between_tasks(spark, monkeypatch):
+    rows = [(None if i % 3 else i % 5, i, i % 7) for i in range(3000)]
+    seen = []
+
+    def spy(df, name):
+        seen.append(materialize(df, name))
+        return seen[-1]
+
+    monkeypatch.setattr(running, "materialize", spy)
+    got = running.running_sum(spark.createDataFrame(rows, "k int, i long, v long").repartition(3), ["k"], ["i"], F.col("v"), "s").collect()
+    totals, want = Counter(), {}
+    for k, i, v in rows:
+        totals[k] += v
+        want[i] = totals[k]
+    assert {r["i"]: r["s"] for r in got} == want
+    shares = [r["count"] for r in seen[0].groupBy("stretch").count().collect()]  # the null key has two thirds of all rows
+    assert len(shares) == 4 and max(shares) < 2 * sorted(shares)[1]
+
+
 def test_all_orders_link_what_union_find_links(spark):
     rows = [(r["o_custkey"], -(r["o_orderkey"] % 977) - 1) for r in spark.read.parquet(f"{SF}/orders.parquet").collect()]
     parent = {}
