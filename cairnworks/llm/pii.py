@@ -1,13 +1,13 @@
 """Personal data by rules and by bootstrapped contextual extraction (DataFrame operations only).
 
-Rules find base entities. These are the seeds: the last words to the left of a seed make a lexical
-pattern for its kind. Identifiers in looser forms, such as "name (at) host (dot) org" or a phone
-number without its country code, are candidates; every other number counts against the words it
-follows. Patterns and instances form a bipartite graph that is scored in rounds: a pattern is as
+Rules find base entities. These are the seeds: the last words to the left of a seed, the first ones
+to its right and the two words round it make lexical patterns for its kind. Identifiers in looser forms, such as "name (at) host (dot) org" or a phone
+number without its country code, are candidates; every other number counts against the words
+before, behind and round it. Patterns and instances form a bipartite graph that is scored in rounds: a pattern is as
 good as the share of its instances that are known, an instance as its patterns together. In each
-round instances with good scores count as known wherever they stand, so the words before them make
+round instances with good scores count as known wherever they stand, so the words round them make
 patterns of their own, as good as any once enough distinct instances stand behind them. Candidates
-behind good patterns are added to the base spans, which all stay.
+at good patterns are added to the base spans, which all stay.
 
 The texts are read once; what is found, with its contexts, is written to the shared folder and
 all later steps run on that. Pattern counts are combined before the shuffle, and the joins back
@@ -39,8 +39,8 @@ LOOSE = {
         r"(?i)[\[({]at[\])}]|＠| at  ?[A-Za-z0-9-]{1,63}+ ?(?:\.|\[dot\]|\(dot\)|\{dot\}| dot ) ?[A-Za-z0-9-]",
     ),
     "ip": (
-        r"(?<![0-9.])[0-9]{1,3}+(?: ?(?:\[\.\]|\(\.\)|\[dot\]|\(dot\)) ?[0-9]{1,3}+){3}+(?![0-9])|(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}+:){7}+[0-9A-Fa-f]{1,4}+(?![0-9A-Za-z:])",
-        r"\[\.\]|\(\.\)|\[dot\]|\(dot\)|(?:[0-9A-Fa-f]{1,4}:){3}",
+        r"(?<![0-9.])[0-9]{1,3}+(?: ?(?:\[\.\]|\(\.\)|\[dot\]|\(dot\)) ?[0-9]{1,3}+){3}+(?![0-9])|(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}+:){7}+[0-9A-Fa-f]{1,4}+(?![0-9A-Za-z:])|(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}+(?::[0-9A-Fa-f]{1,4}+){0,6}+)?+::(?:[0-9A-Fa-f]{1,4}+(?::[0-9A-Fa-f]{1,4}+){0,6}+)?+(?![0-9A-Za-z:])",
+        r"[0-9A-Fa-f]::|::[0-9A-Fa-f]|\[\.\]|\(\.\)|\[dot\]|\(dot\)|(?:[0-9A-Fa-f]{1,4}:){3}",
     ),
     "card": (r"(?<![0-9])[0-9]{4}+([._/])[0-9]{4}+\1[0-9]{4}+\1[0-9]{4}+(?![0-9])", r"[0-9]{4}[._/][0-9]{4}[._/]"),
     "phone": (
@@ -51,8 +51,13 @@ LOOSE = {
 #: Any number behind words: evidence against their pattern, where it is no identifier.
 NUMBER = r"(?<!\p{L})(?:\p{L}++[^\p{L}0-9]{1,3}+)?\p{L}++[^\p{L}0-9]{0,8}+[0-9]++(?![0-9A-Za-z])"
 
+#: A number with the word before it and the words behind it in its line and sentence.
+NUMBER_BEFORE = r"(?<!\p{L})(?:\p{L}++[^\p{L}0-9]{0,8}+)?+(?<![0-9A-Za-z])[0-9]++(?![0-9A-Za-z])[^\p{L}0-9\n.!?]{1,8}+\p{L}++(?:[^\p{L}0-9\n.!?]{1,3}+\p{L}++){0,2}+"
+
 #: The last two words of a text that is read backwards.
 LAST_WORDS = r"^[^\p{L}]*+\p{L}++(?:[^\p{L}]++\p{L}++)?+"
+#: The first three words of a text, in its line and sentence.
+FIRST_WORDS = r"^[^\p{L}0-9\n.!?]{1,8}+\p{L}++(?:[^\p{L}0-9\n.!?]{1,3}+\p{L}++){0,2}+"
 #: Matches whose places are summed up at a time.
 CHUNK = 128
 #: Rounds of scoring, distinct known instances that make a pattern, least score.
@@ -91,30 +96,33 @@ def valid(kind: str, value: Column) -> Column:
 
 def _loose_valid(kind: str, value: Column) -> Column:
     if kind == "ip":
-        return value.contains(":") | valid("ip", F.regexp_replace(value, r"[^0-9]+", "."))
+        groups = F.size(F.filter(F.split(value, ":"), lambda g: g != ""))
+        short = F.when(value.contains("::"), (groups >= 1) & (groups <= 7) & F.rlike(value, F.lit("[0-9]")))
+        return short.when(value.contains(":"), True).otherwise(valid("ip", F.regexp_replace(value, r"[^0-9]+", ".")))
     if kind == "phone":
         n = F.length(_digits(value))
         return (n >= 7) & (n <= 15)
     return valid(kind, value)
 
 
-SPANS = "array<struct<start:int,kind:int,end:int,value:string,words:string>>"
+SPANS = "array<struct<start:int,kind:int,end:int,value:string,words:string,after:string>>"
 
 
 def _spans(text: Column, pattern: str, kind: int, where: Column) -> Column:
-    """Array of (start, kind, end, value, words) of the pattern's matches; words are the two before it.
+    """Array of (start, kind, end, value, words, after) of the pattern's matches: two words before each, three behind.
 
     Matches and the stretches between them come from the same pattern; starts are running sums
     of their lengths in code points, first of chunks of matches, then inside each.
     """
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
-    pairs = F.zip_with(values, F.slice(gaps, F.lit(1), F.size(values)), lambda v, g: F.struct(F.char_length(g).alias("gap"), F.char_length(v).alias("size"), v.alias("value"), F.lower(F.reverse(F.regexp_extract(F.reverse(g), LAST_WORDS, 0))).alias("words")))
+    behind = F.zip_with(values, F.slice(gaps, F.lit(2), F.size(values)), lambda v, g: F.struct(v.alias("value"), F.lower(F.regexp_extract(g, FIRST_WORDS, 0)).alias("after")))
+    pairs = F.zip_with(behind, F.slice(gaps, F.lit(1), F.size(values)), lambda v, g: F.struct(F.char_length(g).alias("gap"), F.char_length(v["value"]).alias("size"), v["value"].alias("value"), F.lower(F.reverse(F.regexp_extract(F.reverse(g), LAST_WORDS, 0))).alias("words"), v["after"].alias("after")))
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + x["gap"]
         end = start + x["size"]
-        one = F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), x["value"].alias("value"), x["words"].alias("words"))
+        one = F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), x["value"].alias("value"), x["words"].alias("words"), x["after"].alias("after"))
         return F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
 
     def places(pairs: Column) -> Column:
@@ -166,9 +174,11 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     rows = rows.withColumn("loose", F.concat(*loose))
     for kind in KINDS:
         rows = rows.withColumn("r", _masked(r, LOOSE[kind][0], _loose_valid, kind, F.col(f"might_{kind}")))
-    found = F.when(F.rlike(r, F.lit("[0-9]")), F.array_distinct(F.regexp_extract_all(r, F.lit(NUMBER), F.lit(0)))).otherwise(F.array().cast("array<string>"))
+    found = lambda pattern: F.when(F.rlike(r, F.lit("[0-9]")), F.array_distinct(F.regexp_extract_all(r, F.lit(pattern), F.lit(0)))).otherwise(F.array().cast("array<string>"))
     words = lambda m: F.lower(F.reverse(F.regexp_extract(F.reverse(F.regexp_replace(m, "[0-9]+$", "")), LAST_WORDS, 0)))
-    numbers = F.transform(found, lambda m: F.struct(F.regexp_extract(m, "[0-9]+$", 0).alias("value"), words(m).alias("words")))
+    before = F.transform(found(NUMBER), lambda m: F.struct(F.regexp_extract(m, "[0-9]+$", 0).alias("value"), words(m).alias("words"), F.lit("").alias("after")))
+    behind = F.transform(found(NUMBER_BEFORE), lambda m: F.struct(F.regexp_extract(m, "[0-9]+", 0).alias("value"), F.lower(F.regexp_extract(m, r"^\p{L}+", 0)).alias("words"), F.lower(F.regexp_extract(m, r"[0-9]([^0-9]+)$", 1)).alias("after")))
+    numbers = F.concat(before, behind)
     # kinds may overlap: places that base spans and candidates share are few, as the former are blanked out
     covered = lambda spans: F.flatten(F.transform(spans, lambda s: F.sequence(s["start"], s["end"] - 1)))
     shared = F.when(F.size("loose") > 0, F.array_intersect(covered("base"), covered("loose"))).otherwise(F.array().cast("array<int>"))
@@ -177,11 +187,13 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     return rows.select("doc_id", "text_hash", "base", F.filter("loose", apart).alias("loose"), "numbers")
 
 
-def _patterns(words: Column) -> Column:
-    """The last word, and the last two, of the words to the left."""
-    words = F.regexp_extract_all(words, F.lit(r"\p{L}+"), F.lit(0))
-    one, two = F.slice(words, -1, 1), F.slice(words, -2, 2)
-    return F.when(F.size(words) > 1, F.array(F.array_join(one, " "), F.array_join(two, " "))).when(F.size(words) == 1, F.array(F.array_join(one, " "))).otherwise(F.array().cast("array<string>"))
+def _patterns(words: Column, after: Column) -> Column:
+    """The last word and the last two to the left, the first two and three to the right, and the two words round the place."""
+    words, after = (F.regexp_extract_all(w, F.lit(r"\p{L}+"), F.lit(0)) for w in (words, after))
+    left = [F.when(F.size(words) >= n, F.array_join(F.slice(words, -n, n), " ")) for n in (1, 2)]
+    right = [F.when(F.size(after) >= n, F.concat(F.lit("> "), F.array_join(F.slice(after, 1, n), " "))) for n in (2, 3)]
+    both = F.when((F.size(words) > 0) & (F.size(after) > 0), F.concat(F.element_at(words, -1), F.lit(" <> "), F.get(after, F.lit(0))))
+    return F.array_compact(F.array(*left, *right, both))
 
 
 def _edges(found: DataFrame) -> DataFrame:
@@ -189,10 +201,10 @@ def _edges(found: DataFrame) -> DataFrame:
 
     def tag(spans: str, seed: bool) -> Column:
         kind = lambda s: F.lit(-1) if spans == "numbers" else s["kind"]
-        return F.transform(spans, lambda s: F.struct(kind(s).alias("kind"), s["value"].alias("value"), s["words"].alias("words"), F.lit(seed).alias("seed")))
+        return F.transform(spans, lambda s: F.struct(kind(s).alias("kind"), s["value"].alias("value"), s["words"].alias("words"), s["after"].alias("after"), F.lit(seed).alias("seed")))
 
     tagged = found.select(F.explode(F.concat(tag("base", True), tag("loose", False), tag("numbers", False))).alias("s"))
-    return tagged.select(F.explode(_patterns(F.col("s.words"))).alias("pattern"), "s.kind", F.xxhash64("s.value").alias("value"), "s.seed").distinct()
+    return tagged.select(F.explode(_patterns(F.col("s.words"), F.col("s.after"))).alias("pattern"), "s.kind", F.xxhash64("s.value").alias("value"), "s.seed").distinct()
 
 
 def good_patterns(edges: DataFrame) -> DataFrame:
@@ -234,7 +246,7 @@ def discover(found: DataFrame) -> DataFrame:
     good = good_patterns(edges).select("pattern", "kind")
     discard(edges)
     spans = found.where(F.size("loose") > 0).select("doc_id", "text_hash", F.explode("loose").alias("s"))
-    spans = spans.select("doc_id", "text_hash", F.explode(_patterns(F.col("s.words"))).alias("pattern"), F.col("s.kind").alias("kind"), "s")
+    spans = spans.select("doc_id", "text_hash", F.explode(_patterns(F.col("s.words"), F.col("s.after"))).alias("pattern"), F.col("s.kind").alias("kind"), "s")
     return spans.join(good, ["pattern", "kind"]).groupBy("doc_id", "text_hash").agg(F.collect_set("s").alias("added"))
 
 

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from cairnworks.llm import decontaminate, exact_dedup, extract, langid, line_dedup, packing, pii, simhash_dedup, tokens, training_pages, warc
 from cairnworks.llm.dom import parse
 from cairnworks.llm.fingerprints import close_pairs
+from cairnworks.scratch import materialize
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 LOWER = {c: c + 32 for c in range(65, 91)}
@@ -636,6 +637,76 @@ def test_looser_forms_of_varied_values_are_found_and_hard_negatives_are_not(spar
     assert not any(got[k] for k in [*range(600, 610), *range(700, 705)])
 
 
+def test_contexts_to_the_right_lead_to_identifiers(spark):
+    rows = [(i, f"Well, +1 ({300 + 7 * i}) 555-{1000 + i} is my phone.") for i in range(30)]
+    rows += [(100 + i, f"Hm: ({400 + 11 * i}) 555-{2000 + i} is my phone.") for i in range(6)]
+    rows += [(200 + i, f"So ({500 + i}) 555-{3000 + i} is my score. Then {i}21 is my score too.") for i in range(30)]
+    rows += [(300 + i, f"Oh ({600 + i}) 555-{4000 + i}. Is my phone here?") for i in range(5)]  # another sentence
+    got = found_in(spark, rows)
+    assert [got[100 + i] for i in range(6)] == [[("phone", f"({400 + 11 * i}) 555-{2000 + i}")] for i in range(6)]
+    assert not any(got[k] for k in [*range(200, 230), *range(300, 305)])
+
+
+def test_short_ipv6_is_found_where_a_pattern_leads_to_it(spark):
+    short = ["2001:db8::1", "fe80::1ff:fe23:4567:890a", "::1", "2001:db8:1:2:3:4:5::"]
+    rows = [(i, f"peer address 10.{i}.0.7 answered") for i in range(30)]
+    rows += [(100 + i, f"peer address {x} answered") for i, x in enumerate(short)]
+    rows += [(200, "peer address std::vector answered"), (201, "peer address ab::cd answered"), (202, "call 2001:db8::2 later"), (203, "peer address 1:2:3:4::5:6:7:8:9 answered")]
+    got = found_in(spark, rows)
+    assert [got[100 + i] for i in range(4)] == [[("ip", x)] for x in short]
+    assert not any(got[k] for k in range(200, 204))
+
+
+def plain_scores(edges):
+    """The scoring of patterns, one step at a time."""
+    seeds, values, links = {}, {}, {}
+    for e in edges:
+        values.setdefault(e["pattern"], set()).add(e["value"])
+        if e["kind"] >= 0:
+            (seeds if e["seed"] else links).setdefault((e["pattern"], e["kind"]), set()).add(e["value"])
+    pairs = seeds.keys() | links.keys()
+    links = {k: links.get(k, set()) - seeds.get(k, set()) for k in pairs}
+
+    def score(gained, promoted):
+        out = {}
+        for k in pairs:
+            known = len(seeds.get(k, ())) + promoted.get(k, 0)
+            out[k] = min(1.0, (len(seeds.get(k, ())) + gained.get(k, 0.0)) / len(values[k[0]])) if known >= pii.LEAST_SEEDS else 0.0
+        return out
+
+    scores = score({}, {})
+    for _ in range(pii.ROUNDS):
+        doubt = {}
+        for k in pairs:
+            for v in links[k] if scores[k] > 0 else ():
+                doubt[k[1], v] = doubt.get((k[1], v), 1.0) * (1.0001 - scores[k])
+        own = {k: [1 - doubt[k[1], v] for v in links[k] if (k[1], v) in doubt] for k in pairs}
+        scores = score({k: sum(x) for k, x in own.items()}, {k: sum(y >= pii.LEAST_SCORE for y in x) for k, x in own.items()})
+    return {k: x for k, x in scores.items() if x >= pii.LEAST_SCORE}
+
+
+def test_patterns_score_as_a_plain_walk_scores_them(spark):
+    import random
+
+    chance = random.Random(3)
+    cues = [("mail:", "please"), ("write to", "at once"), ("kontakt", "or wait"), ("number", "of the"), ("my", "is my phone")]
+    forms = [lambda n: f"u{n}@h{n}.org", lambda n: f"u{n} (at) h{n} (dot) org", lambda n: f"+1 (212) 555-{1000 + n}", lambda n: f"(212) 555-{1000 + n}", lambda n: f"{n}7", lambda n: f"10.0.0.{n}", lambda n: f"2001:db8::{n}"]
+    rows = []
+    for i in range(400):
+        a, b = chance.choice(cues)
+        form = chance.choice(forms if chance.random() < 0.3 else forms[2 * (cues.index((a, b)) % 3) :][:2])
+        rows.append((i, f"{a} {form(chance.randrange(60))} {b}"))
+    found = materialize(pii.find(spark.createDataFrame(rows, "doc_id long, text string")), "found")
+    edges = materialize(pii._edges(found), "edges")
+    want = plain_scores(edges.collect())
+    got = {(r["pattern"], r["kind"]): r["score"] for r in pii.good_patterns(edges).collect()}
+    assert len(want) > 5 and got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    added = {(r["doc_id"], s["start"], s["end"]) for r in pii.discover(found).collect() for s in r["added"]}
+    loose = found.select("doc_id", F.explode("loose").alias("s")).select("doc_id", "s", pii._patterns(F.col("s.words"), F.col("s.after")).alias("patterns")).collect()
+    behind = {(r["doc_id"], r["s"]["start"], r["s"]["end"]) for r in loose if any((p, r["s"]["kind"]) in want for p in r["patterns"])}
+    assert behind and len(behind) < len(loose) and added == behind
+
+
 def test_promoted_instances_make_patterns_of_their_own(spark):
     rows = [(i, f"write to mail: user{i}@host{i}.org") for i in range(12)]
     shared = [f"person{i} (at) site{i} (dot) net" for i in range(5)]
