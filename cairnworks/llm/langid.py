@@ -2,9 +2,9 @@
 
 Features are hashed character n-grams weighted by TF-IDF. Document frequencies come from all
 documents that may be learned from. The weights are fitted by follow-the-regularised-leader
-(per-coordinate FTRL-proximal, McMahan et al. 2013) with an elastic-net penalty on a bounded
-sample of labelled rows, and the scores are calibrated by a temperature fitted on a part of that
-sample that the weights have not seen. Every label is learned: the sample holds at most
+(per-coordinate FTRL-proximal, McMahan et al. 2013) with an elastic-net penalty, in steps of one row for each
+language on average, on a bounded sample of labelled rows, and the scores are calibrated by a temperature fitted on a part of that
+sample that the weights have not seen, to targets that Platt's rule keeps below one. Every label is learned: the sample holds at most
 ``per_language`` rows of each, and fewer where ``SAMPLE_ROWS`` are not enough for all, but one at least.
 """
 
@@ -99,63 +99,103 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 
 
 class FtrlProximal:
-    """Per-coordinate FTRL for softmax regression with L1 and L2 penalties."""
+    """Per-coordinate FTRL for softmax regression with L1 and L2 penalties; classes are taken a block at a time."""
 
-    def __init__(self, features: int, classes: int, alpha: float = 1.0, beta: float = 1.0, l1: float = 0.02, l2: float = 0.01):
-        self.z, self.n = np.zeros((features, classes)), np.zeros((features, classes))
+    BLOCK = 256
+
+    def __init__(self, features: int, classes: int, alpha: float = 1.0, beta: float = 1.0, l1: float = 0.02, l2: float = 0.01, dtype=np.float64):
+        self.z, self.n = np.zeros((features, classes), dtype), np.zeros((features, classes), dtype)
         self.alpha, self.beta, self.l1, self.l2 = alpha, beta, l1, l2
 
-    def weights(self, at=slice(None)) -> np.ndarray:
-        z, n = self.z[at], self.n[at]
+    def _blocks(self) -> list[slice]:
+        return [slice(k, k + self.BLOCK) for k in range(0, self.z.shape[1], self.BLOCK)]
+
+    def weights(self, at=slice(None), of: slice = slice(None)) -> np.ndarray:
+        z, n = self.z[at, of], self.n[at, of]
         shrunk = np.sign(z) * self.l1 - z
-        return np.where(np.abs(z) <= self.l1, 0.0, shrunk / ((self.beta + np.sqrt(n)) / self.alpha + self.l2))
+        return np.where(np.abs(z) <= self.l1, 0.0, shrunk / ((self.beta + np.sqrt(n)) / self.alpha + self.l2)).astype(z.dtype)
+
+    def scores(self, at: np.ndarray, values: np.ndarray) -> np.ndarray:
+        """Logits of rows over the features ``at``."""
+        return np.concatenate([values @ self.weights(at, of) for of in self._blocks()], axis=-1)
+
+    def learn(self, at: np.ndarray, values: np.ndarray, labels) -> None:
+        """One step on a row, or on rows of values over the same features; their gradients are added up."""
+        values, labels = np.atleast_2d(values).astype(self.z.dtype), np.atleast_1d(labels)
+        z = self.scores(at, values)
+        error = np.exp(z - z.max(axis=1, keepdims=True))
+        error /= error.sum(axis=1, keepdims=True)
+        error[np.arange(len(labels)), labels] -= 1
+        for of in self._blocks():
+            w, n = self.weights(at, of), self.n[at, of]
+            g = values.T @ error[:, of]
+            grown = n + g * g
+            self.z[at, of] += g - (np.sqrt(grown) - np.sqrt(n)) / self.alpha * w
+            self.n[at, of] = grown
+
+
+#: Most rows of one step.
+STEP_ROWS = 256
 
-    def learn(self, at: np.ndarray, values: np.ndarray, label: int) -> None:
-        w = self.weights(at)
-        error = _softmax(values @ w)
-        error[label] -= 1
-        g = values[:, None] * error[None, :]
-        grown = self.n[at] + g * g
-        self.z[at] += g - (np.sqrt(grown) - np.sqrt(self.n[at])) / self.alpha * w
-        self.n[at] = grown
+
+def _together(rows: list[tuple[np.ndarray, np.ndarray, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(features that any row has, values of each row over them, labels)."""
+    at, place = np.unique(np.concatenate([r[0] for r in rows]), return_inverse=True)
+    values = np.zeros((len(rows), len(at)), np.float32)
+    values[np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows]), place] = np.concatenate([r[1] for r in rows])
+    return at, values, np.array([r[2] for r in rows])
 
 
 def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], idf: np.ndarray, epochs: int = 4, seed: int = 7) -> Model | None:
-    """A model of (language, features, counts) rows; None without any. One row in five calibrates."""
+    """A model of (language, features, counts) rows; None without any. One row in five calibrates.
+
+    A step takes as many rows as there are languages, ``STEP_ROWS`` at most, so its matrices stay bounded; the
+    learner's state takes 8 bytes for each feature and language (262 KB a language).
+    """
     languages = sorted({r[0] for r in rows})
     if not languages:
         return None
-    data = []
+    data, place = [], {x: i for i, x in enumerate(languages)}
     for language, at, counts in rows:
         x = _tfidf(counts, idf[at])
-        data.append((np.append(at, FEATURES), np.append(x, 0.1), languages.index(language)))  # the last is the bias
+        data.append((np.append(at, FEATURES), np.append(x, 0.1), place[language]))  # the last is the bias
     order = np.random.default_rng(seed).permutation(len(data))
     taught = {data[i][2]: i for i in order[::-1]}  # a row of each language that never calibrates
     spare = [i for i in order if taught[data[i][2]] != i]
     held = spare[: len(data) // 5]
     calibrates = set(held)
     seen = [i for i in order if i not in calibrates]
-    learner = FtrlProximal(FEATURES + 1, len(languages))
+    learner = FtrlProximal(FEATURES + 1, len(languages), dtype=np.float32)
+    step = min(STEP_ROWS, len(languages))
     for _ in range(epochs):
-        for i in seen:
-            learner.learn(*data[i])
-    w = learner.weights()
-    used = np.nonzero(w[:FEATURES].any(axis=1))[0]
-    model = Model(languages, idf, used, w[used], 0.1 * w[FEATURES])
-    logits = [(data[i][1] @ w[data[i][0]], data[i][2]) for i in held]
-    if logits:
-        z, y = np.array([a for a, _ in logits]), np.array([b for _, b in logits])
-        model.temperature = fit_temperature(z, y)
+        for first in range(0, len(seen), step):
+            learner.learn(*_together([data[i] for i in seen[first : first + step]]))
+    used = np.nonzero((np.abs(learner.z[:FEATURES]) > learner.l1).any(axis=1))[0]
+    model = Model(languages, idf, used, learner.weights(used), 0.1 * learner.weights(np.array([FEATURES]))[0])
+    if held:
+        z = np.concatenate([learner.scores(at, x) for at, x, _ in (_together([data[i] for i in held[k : k + STEP_ROWS]]) for k in range(0, len(held), STEP_ROWS))])
+        model.temperature = fit_temperature(z, np.array([data[i][2] for i in held]))
     return model
 
 
 def fit_temperature(logits: np.ndarray, labels: np.ndarray) -> float:
-    """The temperature with the least log loss, by golden-section search over its logarithm."""
+    """The temperature with the least log loss, by golden-section search over its logarithm.
+
+    A row of a label with n rows counts (n + 1) / (n + 2) for its label (Platt's targets) and the rest for the
+    others, so separable rows don't drive all scores to one.
+    """
+    rows, classes = np.arange(len(labels)), logits.shape[1]
+    if classes < 2:
+        return 1.0
+    target = ((np.bincount(labels)[labels] + 1) / (np.bincount(labels)[labels] + 2))[:, None]
+    others = (1 - target) / (classes - 1)
 
     def loss(log_t: float) -> float:
         z = logits / np.exp(log_t)
         z = z - z.max(axis=1, keepdims=True)
-        return float((np.log(np.exp(z).sum(axis=1)) - z[np.arange(len(z)), labels]).mean())
+        logs = z - np.log(np.exp(z).sum(axis=1, keepdims=True))
+        own = logs[rows, labels][:, None]
+        return float(-(target * own + others * (logs.sum(axis=1, keepdims=True) - own)).mean())
 
     low, high, ratio = np.log(0.02), np.log(20.0), (np.sqrt(5) - 1) / 2
     for _ in range(40):

@@ -795,6 +795,64 @@ def test_ftrl_is_its_formula():
     assert np.allclose(a.weights(), [[weight(i, k) for k in range(3)] for i in range(5)])
 
 
+def test_steps_of_many_rows_add_their_gradients(monkeypatch):
+    r = np.random.default_rng(4)
+    a, b = (langid.FtrlProximal(12, 5) for _ in range(2))
+    monkeypatch.setattr(b, "BLOCK", 2)  # blocks of classes change nothing
+    for _ in range(30):
+        rows = [(r.permutation(12)[:4], r.normal(0, 1, 4).astype(np.float32), int(r.integers(5))) for _ in range(6)]
+        g, old = np.zeros((12, 5)), a.weights()
+        for at, x, y in rows:
+            error = langid._softmax(x.astype(float) @ old[at])
+            error[y] -= 1
+            g[at] += np.outer(x, error)
+        grown = a.n + g * g
+        z = a.z + g - (np.sqrt(grown) - np.sqrt(a.n)) / a.alpha * old
+        a.learn(*langid._together(rows))
+        b.learn(*langid._together(rows))
+        assert np.allclose(a.z, z, atol=1e-6) and np.allclose(a.n, grown, atol=1e-6) and np.allclose(a.z, b.z)
+
+
+def _rows_of_languages(n, each, seed=2):
+    """(language, text) rows; each language has letters of its own beside common ones."""
+    r = np.random.default_rng(seed)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz"))
+    out = []
+    for k in range(n):
+        words = ["".join(np.random.default_rng(1000 * k + j).choice(letters, 5)) for j in range(40)]
+        out += [(f"l{k:03d}", " ".join(r.choice(words, int(r.integers(5, 40))))) for _ in range(each)]
+    return out
+
+
+def _features(text):
+    c = langid.ngram_counts(text)
+    return np.flatnonzero(c), c[np.flatnonzero(c)]
+
+
+def test_many_languages_are_fitted_in_steps_of_rows():
+    import time
+
+    rows = [(lang, *_features(t)) for lang, t in _rows_of_languages(200, 20)]
+    start = time.monotonic()
+    model = langid.fit(rows, np.ones(langid.FEATURES))
+    assert time.monotonic() - start < 60 and len(model.languages) == 200
+    fresh = _rows_of_languages(200, 2, seed=9)
+    assert sum(langid._language(model, t)[0] == lang for lang, t in fresh) > 0.97 * len(fresh)
+
+
+def test_scores_of_short_and_mixed_texts_are_lower():
+    rows = _rows_of_languages(4, 150)
+    model = langid.fit([(lang, *_features(t)) for lang, t in rows], np.ones(langid.FEATURES))
+    by = {}
+    for lang, t in _rows_of_languages(4, 20, seed=9):
+        by.setdefault(lang, []).append(t)
+    long = [" ".join(v) for v in by.values()]
+    short = [t.split()[0][:3] for v in by.values() for t in v]
+    mixed = [f"{a} {b}" for a, b in zip(by["l000"], by["l001"], strict=True)]
+    mean = lambda texts: float(np.mean([langid._language(model, t)[1] for t in texts]))
+    assert 0.9 < mean(long) < 1 and mean(short) < mean(long) - 0.02 and mean(mixed) < mean(long) - 0.1
+
+
 def test_sources_of_every_file_system():
     assert warc.file_system("/x/y")[1] == warc.file_system("file:///x/y")[1] == "/x/y"
     for uri in ("s3a://bucket/a", "s3n://bucket/a", "s3://bucket/a"):
