@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from cairnworks.functions.simhash import _signatures, md5_halves, simhash_md5
 from cairnworks.operators import near
 from cairnworks.operators.components import connected_components, grow_components
 
@@ -117,3 +120,50 @@ def test_fresh_documents_grow_the_versions_known_before(spark):
     grown = near.named(known.join(changed, "node", "left_anti").union(changed), rows.select("hash"))
     whole = near.components_of(near.document_pairs(paths, rows))
     assert sorted(map(tuple, grown.collect())) == sorted(map(tuple, whole.collect())) and whole.count() > 20
+
+
+def test_signatures_shuffle_no_texts_and_no_shingles(spark):
+    rows = spark.createDataFrame([(1, "a b"), (2, None)], "k long, t string")
+    plan = simhash_md5(rows, "k", "t")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Generate" not in plan
+
+
+def test_md5_side_by_side_and_signatures_in_pieces():
+    r = random.Random(6)
+    data = r.randbytes(9_000)
+    lengths = [*range(200), *(r.randrange(60) for _ in range(300)), 4_000]
+    starts = [r.randrange(len(data) - n + 1) for n in lengths]
+    got = md5_halves(np.frombuffer(data, np.uint8), np.array(starts), np.array(lengths)).tolist()
+    assert got == [int.from_bytes(hashlib.md5(data[s : s + n]).digest()[:8], "big") for s, n in zip(starts, lengths, strict=True)]
+
+    texts = [" ".join("xyü"[r.randrange(3)] * r.randrange(1, 90) for _ in range(n)) for n in (0, 1, 3, 4, 5, 400, 0, 700)]
+    whole = _signatures(pa.array(texts), 4, 1 << 20).tolist()
+    assert _signatures(pa.array(["", *texts])[1:], 4, 10).tolist() == whole and whole[0] == whole[6] == 0 and len(set(whole)) == 7
+
+
+def test_pairs_come_from_tiles_with_every_distance(spark):
+    """Rows of a block aren't joined to each other; the least and greatest signatures and repeated hashes are held."""
+    r = random.Random(8)
+    sigs = [*signatures(r, 120), 0, -1, -(2**63), 2**63 - 1, 0, 0]
+    rows = [(f"b{i % 2}", f"h{i:03d}", s) for i, s in enumerate(sigs)] + [("b0", "h000", sigs[1]), ("b1", "h000", sigs[0]), (None, "h001", 0), (None, "h002", 0)]
+    want = set()
+    for x in rows:
+        for y in rows:
+            d = bin((x[2] ^ y[2]) & (2**64 - 1)).count("1")
+            if x[0] and x[0] == y[0] and x[1] < y[1] and d <= 26:
+                want.add((x[1], y[1], d))
+    for tile in (9, 4096):
+        found = near.block_pairs(spark.createDataFrame(rows, "block string, hash string, sig long"), 26, tile)
+        assert sorted(map(tuple, found.collect())) == sorted(want)
+        assert "bit_count" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_tile_finds_its_components_once(spark, monkeypatch):
+    """Two tiles that meet are told their components, they don't look for them again."""
+    r = random.Random(9)
+    sigs = np.array(signatures(r, 80), np.int64)
+    left, right = np.arange(40), np.arange(40, 80)
+    roots = [near._roots(sigs[t], 5) for t in (left, right)]
+    want = [x.tolist() for x in near.cross_links(left, sigs[left], right, sigs[right], 5)]
+    monkeypatch.setattr(near, "_roots", None)
+    assert [x.tolist() for x in near.cross_links(left, sigs[left], right, sigs[right], 5, *roots)] == want
